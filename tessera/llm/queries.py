@@ -39,3 +39,17 @@ def op10_bpe_codec(spark, sf_dir):
     from tessera.llm.encoding import digests
 
     return digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    from tessera.llm.suffix_dedup import digests
+
+    return digests(documents(spark, sf_dir))
+
+
+@query
+def op9_cover_dedup(spark, sf_dir):
+    from tessera.llm.cover_dedup import digests
+
+    return digests(documents(spark, sf_dir))
