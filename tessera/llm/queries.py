@@ -53,3 +53,10 @@ def op9_cover_dedup(spark, sf_dir):
     from tessera.llm.cover_dedup import digests
 
     return digests(documents(spark, sf_dir))
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    from tessera.llm.simhash import digests
+
+    return digests(documents(spark, sf_dir))
