@@ -60,3 +60,11 @@ def op3_simhash(spark, sf_dir):
     from tessera.llm.simhash import digests
 
     return digests(documents(spark, sf_dir))
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    from tessera.llm.quality import judge, train
+
+    docs = documents(spark, sf_dir)
+    return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
