@@ -36,8 +36,8 @@ MONOTONE = np.array([1 if f in RISING else -1 if f in FALLING else 0 for f in FE
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """The trees from documents with labels.quality (0 or 1); sample bounds the rows that reach the driver."""
     own = labels.where("doc_id is not null and quality in (0, 1)").select(labels["doc_id"].cast("long").alias("doc_id"), "quality")
-    # labels are narrow, so the bound is met before any text is read
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    # at most `sample` rows of two numbers: small enough to broadcast whatever the corpus, so texts are not shuffled
+    own = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(own, "doc_id").select("text", "quality")
 
     def run(parts):

@@ -68,3 +68,10 @@ def op7_quality_rules(spark, sf_dir):
 
     docs = documents(spark, sf_dir)
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    from tessera.llm.secrets import digests
+
+    return digests(documents(spark, sf_dir))
