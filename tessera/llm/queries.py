@@ -75,3 +75,25 @@ def op2_secret_scan(spark, sf_dir):
     from tessera.llm.secrets import digests
 
     return digests(documents(spark, sf_dir))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    from tessera.llm.language import identify, learn
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, learn(docs))
+
+
+@query
+def op8_spotsigs(spark, sf_dir):
+    from tessera.llm.spotsigs import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    from tessera.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
