@@ -27,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import components, cut
@@ -37,6 +37,7 @@ CELL = 16_384
 #: First bit and width of each part.
 PARTS = ((0, 22), (22, 21), (43, 21))
 U64 = np.uint64
+LATEST = 2**63 - 1
 
 # Fixed value: a generator polynomial of the binary code of length 23, dimension 12 and distance 7.
 GENERATOR = 0b101011100011
@@ -233,10 +234,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs, one document of each component: the smallest doc_id (of rows that share it, each with a fingerprint in the component, one by its content)."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct()
-    order = [F.hash(*docs.columns), F.xxhash64(*docs.columns)]
-    ranked = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"])).withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(*order)))
-    return ranked.where("__rank = 1").select(*docs.columns)
+    """The rows and columns of docs, one document of each component: the smallest doc_id (of rows that share it, the least by a hash of the row)."""
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LATEST)).alias("__id")).distinct()
+    own = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)))
+    order = [F.xxhash64(*docs.columns), F.hash(*docs.columns)]
+    # the join and the window share one exchange by __id
+    return own.join(found, "__id", "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(*order))).where("__rank = 1").select(*docs.columns)
