@@ -1,10 +1,6 @@
-"""Registered queries of the engine and their DuckDB twins."""
+"""All registered queries of the engine and their DuckDB twins."""
 
-from __future__ import annotations
+from tessera.plans import lineage, parsing, reports, search, streams, vectors, workflow  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
