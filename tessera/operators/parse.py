@@ -246,7 +246,7 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 def pipe_cells(text: Column) -> Column:
     """Rows of cells of a pipe table, without its rule."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~F.rlike(x, F.lit(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$")))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def table_grid(cells: DataFrame, key: str) -> DataFrame:

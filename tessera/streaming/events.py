@@ -17,7 +17,8 @@ def read_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 
 def late(events: DataFrame, ts: str, delay: str) -> DataFrame:
-    return events.withWatermark(ts, delay) if events.isStreaming else events
+    """A watermark for a stream; it needs an instant, so times without a zone are read in the session's zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, ts: str = "ts", size: str = "1 hour", delay: str = "10 minutes", slide: str | None = None, by: str = "event_type") -> DataFrame:
