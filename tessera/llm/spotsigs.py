@@ -4,8 +4,10 @@ A signature is a common word (an anchor) and the two content words that follow
 it. A text's signatures form a set; likeness is the Jaccard similarity of two
 sets, pruned by their lengths: sets whose lengths have a ratio below a
 threshold cannot reach it. `fingerprints` compares each document with its
-edited text and with the next document; `near_pairs` joins by likeness, dealt
-out by ranges of set length.
+edited text and with the next document; `near_duplicates` joins by likeness:
+equal sets are one class, classes are partitioned by set length (only
+neighbouring partitions can reach the threshold), and within a partition they
+meet through their rarest signatures, as many as the threshold requires.
 
 Scale: documents are dealt to ranges of doc_id (one exchange of texts) and
 sorted; each range also gets the first document of the next, so neighbours
@@ -65,7 +67,7 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         _common = word_keys(list(COMMON))
     data, offsets = arrays.utf8(texts)
     sets, size = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
-    for i, j in arrays.slices(offsets, 1 << 20):
+    for i, j in arrays.slices(offsets):
         part, at = _LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         n = j - i
         s, e = arrays.words(part, at, _SPACE)
@@ -166,3 +168,42 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         return pa.record_batch([t.column("doc_id").take(own).combine_chunks(), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
 
     return dealt.repartition("range").sortWithinPartitions("range", "tail", "at", "text").mapInArrow(run, schema)
+
+
+def signature_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, fingerprint, sigs of each row."""
+
+    def run(parts):
+        for b in parts:
+            sets, at = signatures(b.column(1))
+            prints = [printed(sets[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), pa.array(prints, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "fingerprint", "sigs"])
+
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, sigs array<long>")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, class: the smallest doc_id with the same set) and links (a, b, likeness) between classes, a < b.
+
+    No link is lost: two sets with a likeness of `least` share one of their
+    n - ceil(least * n) + 1 rarest signatures, and lie in the same partition of
+    set length or in neighbouring ones. Null doc_ids have classes only.
+    """
+    sets = signature_sets(docs, text, key)
+    classes = sets.groupBy("fingerprint").agg(F.min("doc_id").alias("class"), F.any_value("sigs").alias("sigs"))
+    members = sets.select("doc_id", "fingerprint").join(classes.select("fingerprint", "class"), "fingerprint").select("doc_id", "class")
+    own = classes.where("class is not null and size(sigs) > 0").select("class", "sigs", F.size("sigs").alias("n"))
+    each = own.select("class", "n", F.explode("sigs").alias("sig"))
+    rarity = each.groupBy("sig").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    kept = F.slice("s", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    part = F.floor(F.log(F.col("n").cast("double")) / -np.log(least) + 1e-9)
+    probes = ranked.select("class", "n", part.alias("part"), F.explode(F.transform(kept, lambda x: x["sig"])).alias("sig"))
+    home = probes.select(F.col("class").alias("a"), F.col("n").alias("na"), "part", "sig")
+    visit = probes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
+    fits = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    found = home.join(visit, ["part", "sig"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = own.select(F.col("class").alias("a"), F.col("sigs").alias("sa")), own.select(F.col("class").alias("b"), F.col("sigs").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    scored = found.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness"))
+    return members, scored.where(F.col("likeness") >= least - 1e-9)

@@ -46,3 +46,27 @@ def test_one_row_and_none(spark):
     row = spotsigs.fingerprints(df).first()
     assert row.near_next == 1.0 and row.doc_id == 7
     assert spotsigs.fingerprints(df.limit(0)).collect() == []
+
+
+def test_near_duplicates_lose_no_link(spark):
+    r = random.Random(12)
+    vocab = ["the", "of", "and", "la"] + ["w" + str(i) for i in range(200)]
+    rows = []
+    for i in range(120):
+        if rows and r.random() < 0.6:
+            w = r.choice(rows)[1].split()
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+        else:
+            w = [r.choice(vocab) for _ in range(r.randint(20, 150))]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    members, links = spotsigs.near_duplicates(df)
+    sets = {d: frozenset(plain(t)) for d, t in rows}
+    least = {}
+    for d, s in sets.items():
+        least.setdefault(s, d)
+    assert {tuple(x) for x in members.collect()} == {(d, least[s]) for d, s in sets.items()}
+    reps = sorted(set(least.values()))
+    want = {(a, b) for a in reps for b in reps if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    assert {(x.a, x.b) for x in links.collect()} == want and len(want) > 5
