@@ -34,7 +34,7 @@ MONOTONE = np.array([1 if f in RISING else -1 if f in FALLING else 0 for f in FE
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """The trees from documents with labels.quality (0 or 1); sample bounds the rows that reach the driver."""
+    """The trees from documents with labels.quality (0 or 1); sample bounds the labels, and the rows that reach the driver where documents share a doc_id."""
     own = labels.where("doc_id is not null and quality in (0, 1)").select(labels["doc_id"].cast("long").alias("doc_id"), "quality")
     # at most `sample` rows of two numbers: small enough to broadcast whatever the corpus, so texts are not shuffled
     own = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
@@ -45,7 +45,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             _, x = measure(b.column(0))
             yield pa.record_batch([b.column(1).cast(pa.int32()), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], names=["quality", *FEATURES])
 
-    got = rows.mapInArrow(run, "quality int, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("quality", *FEATURES).toArrow()
+    got = rows.mapInArrow(run, "quality int, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy(F.xxhash64(*FEATURES), "quality", *FEATURES).limit(sample).toArrow()
     x = np.stack([got.column(f).to_numpy() for f in FEATURES], 1) if got.num_rows else np.zeros((0, len(FEATURES)))
     return fit(x, got.column("quality").to_numpy().astype(float), MONOTONE)
 
