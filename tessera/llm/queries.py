@@ -97,3 +97,13 @@ def op4_best_fit_packing(spark, sf_dir):
     from tessera.llm.packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+ORACLE_SQL["op9_cover_dedup"] = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+x as (select r, doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {'i': i, 'h': sha256(array_to_string(ws[i:i + 49], ' '))})) as x from w where len(ws) >= 50),
+m as (select x.h as h, min(doc_id) as d from x group by 1),
+c as (select r, list(distinct x.i + k) as cov from x join m on x.x.h = m.h, range(0, 50) t(k) where m.d < x.doc_id group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(cov), 0)::bigint as n_removed,
+  sha256(array_to_string(case when cov is null then ws else list_filter(ws, lambda v, j: not list_contains(cov, j)) end, ' ')) as kept_sha256
+from w left join c on w.r = c.r"""
