@@ -57,11 +57,11 @@ def bm25_boolean(spark, sf):
 
 
 @query(
-    f"""with {bm25_sql(["of", "the"], "contains(' ' || array_to_string(tk, ' ') || ' ', ' of the ')")}
+    f"""with {bm25_sql(["de", "la"], "contains(' ' || array_to_string(tk, ' ') || ' ', ' de la ')")}
     select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 15"""
 )
 def bm25_phrase(spark, sf):
-    return search.search(Corpus(spark, sf).documents, "doc_id", "text", "of the", 15, phrase=True).withColumn("score", F.round("score", 6))
+    return search.search(Corpus(spark, sf).documents, "doc_id", "text", "de la", 15, phrase=True).withColumn("score", F.round("score", 6))
 
 
 @query(
