@@ -6,6 +6,7 @@ by the batch and nothing here depends on which rows share a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once; a single longer text is still handled whole.
-CHUNK = 2_000_000
+CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd 64-bit value for each byte value: the letters of polynomial hashes.
@@ -24,10 +25,23 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library: its own policy holds
+    _libc = None
+
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: the workers of an executor share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i mod 2**64 for i below n, kept and grown on demand."""
     global _pow, _inv

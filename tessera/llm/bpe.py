@@ -20,9 +20,9 @@ from tokenizers import normalizers, pre_tokenizers
 from tessera.llm import arrays
 
 #: Distinct pieces that a worker keeps between batches; the older half goes when it is full.
-CACHE = 400_000
+CACHE = 150_000
 #: Code points handled at once.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _classes: np.ndarray | None = None

@@ -60,7 +60,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches(texts: list[str | None]):
-    return bpe.batches([t or "" for t in texts], 1_000_000)
+    return bpe.batches([t or "" for t in texts], 300_000)
 
 
 def held_out(key: str) -> Column:

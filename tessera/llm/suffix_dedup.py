@@ -40,10 +40,10 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
-    """Anchors of the windows of each row, in slices of about a megabyte."""
+    """Anchors of the windows of each row, in slices."""
     found = [[np.zeros(0, k) for k in (np.int64, U64, U64, np.int64, np.int64)]]
     span = LENGTH - GRAM + 1
-    for i, j in arrays.slices(offsets, 1 << 20):
+    for i, j in arrays.slices(offsets):
         base, at = offsets[i], offsets[i : j + 1] - offsets[i]
         part = data[offsets[i] : offsets[j]]
         n = len(part)

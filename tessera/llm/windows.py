@@ -39,11 +39,11 @@ from pyspark.sql.types import StructType
 from tessera.llm import arrays
 
 #: UTF-8 bytes of text in a block; blocks and buckets grow in number with the corpus, not in size.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Contexts of one anchor from which its windows are dealt out singly, by their own hash.
 HOT = 20_000
 #: Rows that are resolved at once in a bucket of unresolved contexts.
-CHUNK_ROWS = 60_000
+CHUNK_ROWS = 10_000
 LATEST = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -122,6 +122,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
     keyed = docs.select(docs[key].cast("long").alias("__key"), docs[text].cast("string").alias("__text"), F.pmod(F.hash(docs[key].cast("long")), F.lit(n)).alias("__block"), *[docs[c].alias(c) for c in columns if c not in (key, text)])
 
     def read(t: pa.Table) -> tuple[Block, np.ndarray]:
+        arrays.release()  # what the group before has left
         return scheme.load(t.column("__text")), order_keys(t.column("__key"))
 
     def send(t: pa.Table) -> pa.Table:
@@ -140,6 +141,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
 
     def judge(t: pa.Table) -> pa.Table:
         """0: nothing known, 1: covered, 2: to be compared, 3: the same of an anchor with very many contexts."""
+        arrays.release()
         rows = t.select(["block", "low", "width", "keys", "contexts", "docs"]).to_pylist()
         key = np.concatenate([long(r["keys"], 6) for r in rows])
         size = [len(r["keys"]) // 6 for r in rows]
@@ -215,6 +217,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
             yield from resolve(pa.Table.from_batches(held))
 
     def resolve(t: pa.Table):
+        arrays.release()
         d = t.column("doc").to_numpy()
         owner, place, kind = scheme.classes(t.column("payload").to_pylist(), t.column("key").to_numpy())
         if not len(kind):
