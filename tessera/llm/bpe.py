@@ -8,7 +8,6 @@ points, and keeps one entry for each distinct piece.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
@@ -27,7 +26,7 @@ CHUNK = 500_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _classes: np.ndarray | None = None
 _values: np.ndarray | None = None
-_later: re.Pattern | None = None
+_later: frozenset[str] | None = None
 
 # The Unicode White_Space code points.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -55,13 +54,11 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return _classes, _values
 
 
-def later() -> re.Pattern:
+def later() -> frozenset[str]:
     """Letters that are unassigned in this Python's Unicode version."""
     global _later
     if _later is None:
-        kinds = tables()[0]
-        points = [c for c in np.flatnonzero(kinds == LETTER).tolist() if unicodedata.category(chr(c)) == "Cn"]
-        _later = re.compile("[" + "".join(map(re.escape, map(chr, points))) + "]" if points else r"(?!)")
+        _later = frozenset(c for c in map(chr, np.flatnonzero(tables()[0] == LETTER).tolist()) if unicodedata.category(c) == "Cn")
     return _later
 
 
@@ -141,7 +138,7 @@ class Bpe:
 def lower(text: str) -> str:
     """Canonical composition, then lower case letter by letter (no rule for a final sigma)."""
     if not text.isascii():
-        if later().search(text):  # letters that this Python does not know: as the tokenizer library has them
+        if not later().isdisjoint(text):  # letters that this Python does not know: as the tokenizer library has them
             return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
