@@ -206,12 +206,12 @@ class Words:
         self.old: dict[int, object] = {}
 
     def look(self, key: int, joined: str, s: int, e: int):
-        if (x := self.new.get(key)) is None:
-            if (x := self.old.get(key)) is None:
-                x = self.make(joined[s:e])
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new[key] = x
+        """The entry of a piece that the newer half does not have."""
+        if (x := self.old.get(key)) is None:
+            x = self.make(joined[s:e])
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, {}
+        self.new[key] = x
         return x
 
     def table(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
@@ -226,7 +226,10 @@ class Words:
         starts, ends = cut(points, full, self.lead_space)
         keys = arrays.span_hash(arrays.prefix(tables()[1][points]), starts, ends)
         keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        entries = [self.look(k, joined, s, e) for k, s, e in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
+        keys, starts_at, ends_at = keys.tolist(), starts[at].tolist(), ends[at].tolist()
+        entries = list(map(self.new.get, keys))
+        for i in [i for i, x in enumerate(entries) if x is None]:
+            entries[i] = self.look(keys[i], joined, starts_at[i], ends_at[i])
         return entries, which, arrays.row_of(starts, offsets)
 
 
