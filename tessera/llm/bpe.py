@@ -200,8 +200,8 @@ def cut(points: np.ndarray, offsets: np.ndarray, lead_space: bool) -> tuple[np.n
 class Words:
     """The distinct-word table of a worker: what `make(piece)` gave, by the piece's hash, each distinct piece once while it is kept."""
 
-    def __init__(self, make: Callable[[str], object], lead_space: bool):
-        self.make, self.lead_space = make, lead_space
+    def __init__(self, make: Callable[[str], object], lead_space: bool, size: int = CACHE):
+        self.make, self.lead_space, self.size = make, lead_space, size
         self.new: dict[int, object] = {}
         self.old: dict[int, object] = {}
 
@@ -209,7 +209,7 @@ class Words:
         """The entry of a piece that the newer half does not have."""
         if (x := self.old.get(key)) is None:
             x = self.make(joined[s:e])
-        if len(self.new) >= CACHE:
+        if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
         self.new[key] = x
         return x

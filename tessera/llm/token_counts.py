@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.bpe import Bpe, Words, batches
 
 LIMIT = 1024
+#: Pieces in each half of a worker's table: small integers, about 100 bytes a piece.
+COUNTS = 250_000
 _models: dict[str, tuple[Bpe, Words, re.Pattern | None]] = {}
 
 
@@ -29,7 +31,7 @@ def model(path: str) -> tuple[Bpe, Words, re.Pattern | None]:
     if path not in _models:
         bpe = Bpe(path)
         names = sorted(bpe.special, key=len, reverse=True)
-        _models[path] = bpe, Words(lambda piece: bpe.count(piece.encode()), True), re.compile("|".join(map(re.escape, names))) if names else None
+        _models[path] = bpe, Words(lambda piece: bpe.count(piece.encode()), True, COUNTS), re.compile("|".join(map(re.escape, names))) if names else None
     return _models[path]
 
 
