@@ -1,13 +1,15 @@
-"""Lineage cuts and connected components."""
+"""Lineage cuts, connected components and the first row of each."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LATEST = 2**63 - 1
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; where it is unset (local tests), a folder of the session's own."""
@@ -48,3 +50,18 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark or new[0] == 0:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = new
+
+
+def row_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with __at (doc_id, null last), __h and __g: 96 hash bits of the row, nulls told apart by place."""
+    every = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    return docs.select("*", F.coalesce(docs[key].cast("long"), F.lit(LATEST)).alias("__at"), F.xxhash64(*every).alias("__h"), F.hash(*every).alias("__g"))
+
+
+def keep_first(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """One row of docs for each root. member: (__at, __h, __g, root) of each row."""
+    names = ["__at", "__h", "__g"]
+    found = member.groupBy("root").agg(F.min(F.struct(*names)).alias("row")).select("row.*").distinct()
+    # the join and the window share one exchange; rows of one key are alike in every column
+    same = Window.partitionBy(*names).orderBy("__at")
+    return row_keys(docs).join(found, names, "left_semi").withColumn("__rank", F.row_number().over(same)).where("__rank = 1").select(*docs.columns)
