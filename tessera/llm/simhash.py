@@ -27,17 +27,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, cut
+from tessera.llm.shared import LATEST, components, cut, keep_first, row_keys
 
 BITS = 4
 CELL = 16_384
 #: First bit and width of each part.
 PARTS = ((0, 22), (22, 21), (43, 21))
 U64 = np.uint64
-LATEST = 2**63 - 1
 
 # Fixed value: a generator polynomial of the binary code of length 23, dimension 12 and distance 7.
 GENERATOR = 0b101011100011
@@ -217,12 +216,17 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return distinct.select("fp").mapInArrow(deal, "cell long, kind byte, fp long").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
+def membership(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """fp, least (doc_id of the fingerprint), root (the fingerprint that links reach)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    member = components(links(distinct, bits)).withColumnRenamed("node", "fp")
+    return distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach, for each row."""
     prints = cut(fingerprints(docs, k, text, key))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(distinct, bits)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = membership(prints, bits)
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(component, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -234,9 +238,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs, one document of each component: the smallest doc_id (of rows that share it, the least by a hash of the row)."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LATEST)).alias("__id")).distinct()
-    own = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)))
-    order = [F.xxhash64(*docs.columns), F.hash(*docs.columns)]
-    # the join and the window share one exchange by __id
-    return own.join(found, "__id", "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(*order))).where("__rank = 1").select(*docs.columns)
+    """The rows and columns of docs, one row of each component: the smallest doc_id (null last), then the least by a hash of the row."""
+
+    def run(parts):
+        for b in parts:
+            fps = [fingerprint(t.as_py() or b"") for t in b.column(3)]
+            ids = [None if i == LATEST else i for i in b.column(0).to_pylist()]
+            yield pa.record_batch([*b.columns[:3], pa.array(ids, pa.int64()), pa.array(np.array(fps, U64).view(np.int64))], names=["__at", "__h", "__g", "doc_id", "fp"])
+
+    rows = row_keys(docs).select("__at", "__h", "__g", F.col("text").cast("string").cast("binary").alias("text"))
+    prints = cut(rows.mapInArrow(run, "__at long, __h long, __g int, doc_id long, fp long"))
+    return keep_first(docs, prints.join(membership(prints).select("fp", "root"), "fp").select("__at", "__h", "__g", "root"))
