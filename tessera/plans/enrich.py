@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import enrich
+from tessera.operators import enrich, parse
 from tessera.operators.corpus import Corpus
 from tessera.plans.registry import query
 
@@ -53,11 +53,11 @@ def cross_document_context(spark, sf):
     select distinct doc_id, line from (select doc_id, line, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(rep), '\s+', ' ', 'g')) as b from l, b) where length(a) > 0 and (a = b or (length(a) <= 1.2 * length(b) and contains(b, a)) or (length(a) <= 1.5 * length(b) and contains(a, b)))"""
 )
 def repeated_chunk_match(spark, sf):
-    """Chunks against a short list of repeated lines, which is sent to every chunk."""
+    """Lines of all documents against the repeated lines of their source."""
     docs = Corpus(spark, sf).documents
-    lines = docs.where("doc_id < 50").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    known = docs.where("doc_id % 50 = 0").select(F.col("text").alias("rep")).unionByName(spark.createDataFrame([("x of the",)], "rep string"))
-    return lines.join(known, enrich.repeats_line("line", "rep"), "left_semi").distinct()
+    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    known = parse.repeated_lines(lines, "source", "doc_id", "line").select(F.col("source").alias("of"), F.col("line").alias("rep"))
+    return lines.join(known, F.col("source").eqNullSafe(F.col("of")) & enrich.repeats_line("line", "rep"), "left_semi").select("doc_id", "line").distinct()
 
 
 @query(
