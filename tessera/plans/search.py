@@ -198,7 +198,7 @@ HITS = "k as (select conv_id, turn from conversations where contains(lower(text)
 @query(f"""with {HITS} select distinct c.conv_id, c.turn, c.role, substring(c.text, 1, 500) as text from conversations c join k on c.conv_id = k.conv_id and abs(c.turn - k.turn) <= 1 where (c.conv_id, c.turn) not in (select (conv_id, turn) from k)""")
 def context_neighbours(spark, sf):
     chunks = Corpus(spark, sf).conversations
-    hits = chunks.where("contains(lower(text), 'the') and conv_id % 3 = 0").select("conv_id", "turn")
+    hits = chunks.where("contains(lower(text), 'the')").select("conv_id", "turn")
     return fusion.neighbours(hits, chunks, "conv_id", "turn", 1).select("conv_id", "turn", "role", "text").distinct()
 
 

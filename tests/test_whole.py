@@ -28,3 +28,11 @@ def test_repeated_chunk_match_takes_all_lines(spark, tmp_path):
                 want.add((d, line))
     got = [tuple(r) for r in catalog.QUERIES["repeated_chunk_match"](spark, str(tmp_path)).select("doc_id", "line").collect()]
     assert sorted(got) == sorted(want) and len(want) == 121
+
+
+def test_context_neighbours_of_every_hit(spark, sf):
+    rows = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    hits = {k for k, r in rows.items() if "the" in (r.text or "").lower()}
+    want = {k for k in rows if k not in hits and {(k[0], k[1] - 1), (k[0], k[1] + 1)} & hits}
+    got = [(r.conv_id, r.turn) for r in catalog.QUERIES["context_neighbours"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and any(c % 3 for c, _ in want)
