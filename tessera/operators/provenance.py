@@ -96,23 +96,23 @@ def processor_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("processor", "processor_version").agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"), F.round(F.avg(q), 4).alias("avg_quality"))
 
 
-def prov_statements(records: DataFrame) -> DataFrame:
-    """W3C PROV statements, one a row: kind, subject, object. A derivation whose source is outside the records is left out."""
+def prov_statements(records: DataFrame, *by: str) -> DataFrame:
+    """W3C PROV statements, one a row: kind, subject, object, after the columns `by` of the record. A derivation whose source is outside the records is left out."""
     entity = F.concat(F.lit("entity:"), F.col("id").cast("string"))
     activity = F.concat(F.lit("activity:"), F.col("id").cast("string"))
     agent = F.concat(F.lit("agent:"), slug_agent("processor"))
     none = F.lit(None).cast("string")
     row = lambda kind, s, o: F.struct(F.lit(kind).alias("kind"), s.alias("subject"), o.alias("object"))
-    each = records.select(F.explode(F.array(row("entity", entity, none), row("activity", activity, none), row("agent", agent, none), row("wasGeneratedBy", entity, activity), row("wasAttributedTo", entity, agent))).alias("s")).select("s.*")
+    each = records.select(*by, F.explode(F.array(row("entity", entity, none), row("activity", activity, none), row("agent", agent, none), row("wasGeneratedBy", entity, activity), row("wasAttributedTo", entity, agent))).alias("s")).select(*by, "s.*")
     source = records.select(F.col("id").alias("source_id"))
-    derived = records.join(source, "source_id").select(F.lit("wasDerivedFrom").alias("kind"), entity.alias("subject"), F.concat(F.lit("entity:"), F.col("source_id").cast("string")).alias("object"))
+    derived = records.join(source, "source_id").select(*by, F.lit("wasDerivedFrom").alias("kind"), entity.alias("subject"), F.concat(F.lit("entity:"), F.col("source_id").cast("string")).alias("object"))
     return each.unionByName(derived).distinct()
 
 
 def prov_json(records: DataFrame) -> DataFrame:
-    """One JSON document for each root."""
-    s = prov_statements(records)
-    return s.groupBy("kind").agg(F.to_json(F.sort_array(F.collect_list(F.struct("subject", "object")))).alias("statements"))
+    """root_document_id, kind, statements: the statements of each root document."""
+    s = prov_statements(records, "root_document_id")
+    return s.groupBy("root_document_id", "kind").agg(F.to_json(F.sort_array(F.collect_list(F.struct("subject", "object")))).alias("statements"))
 
 
 def csv_rows(records: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def provenance_processors(spark, sf):
     union select 'wasDerivedFrom', 'entity:' || id, 'entity:' || parent_id from a where parent_id in (select id from s)"""
 )
 def prov_statements(spark, sf):
-    return provenance.prov_statements(records(spark, sf).where("root_document_id in ('d1', 'd2', 'd3') and type <> 'DOCUMENT'"))
+    return provenance.prov_statements(records(spark, sf))
 
 
 @query(f"with {RECORDS} select id, type, content_hash, '' as file_hash, chain_depth::varchar as chain_depth from rec")
@@ -94,5 +94,5 @@ def provenance_csv(spark, sf):
 
 @query(None)
 def prov_json(spark, sf):
-    """PROV-JSON statements grouped by kind; the text form of JSON differs between engines."""
-    return provenance.prov_json(records(spark, sf).where("root_document_id in ('d1', 'd2', 'd3')"))
+    """PROV-JSON statements grouped by root document and kind; the text form of JSON differs between engines."""
+    return provenance.prov_json(records(spark, sf))

@@ -1,5 +1,6 @@
 """Queries over whole tables, held against plain code."""
 
+import json
 import re
 
 from tessera.plans import catalog
@@ -36,3 +37,13 @@ def test_context_neighbours_of_every_hit(spark, sf):
     want = {k for k in rows if k not in hits and {(k[0], k[1] - 1), (k[0], k[1] + 1)} & hits}
     got = [(r.conv_id, r.turn) for r in catalog.QUERIES["context_neighbours"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and any(c % 3 for c, _ in want)
+
+
+def test_prov_exports_every_record(spark, sf):
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    entities = {f"entity:{p}{d}" for p in "doce" for d in ids}
+    got = catalog.QUERIES["prov_statements"](spark, sf).where("kind = 'entity'").collect()
+    assert {r.subject for r in got} == entities and len(got) == len(entities)
+    got = catalog.QUERIES["prov_json"](spark, sf).where("kind = 'entity'").collect()
+    assert {r.root_document_id for r in got} == {f"d{d}" for d in ids} and len(got) == len(ids)
+    assert all({s["subject"] for s in json.loads(r.statements)} == {f"entity:{p}{r.root_document_id[1:]}" for p in "doce"} for r in got)
