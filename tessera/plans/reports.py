@@ -202,7 +202,7 @@ def corpus_fingerprint(spark, sf):
 
 @query("""select doc_id, regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') as slug, trim(regexp_replace(lower(substring(text, 1, 200)), '\\s+', ' ', 'g')) as normalized from documents""")
 def text_functions(spark, sf):
-    return Corpus(spark, sf).documents.select("doc_id", text.slug("source").alias("slug"), F.substring("text", 1, 200).alias("t")).select("doc_id", "slug", text.normalize_search("t").alias("normalized"))
+    return Corpus(spark, sf).documents.select("doc_id", text.slug("source").alias("slug"), text.normalize_search("text").alias("normalized"))
 
 
 @query("""select o_orderkey as document_id, count(*) as n, max(l_shipdate)::varchar is not null as has_date from orders join lineitem on o_orderkey = l_orderkey group by 1 order by n desc, 1 limit 20""")

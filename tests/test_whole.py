@@ -47,3 +47,10 @@ def test_prov_exports_every_record(spark, sf):
     got = catalog.QUERIES["prov_json"](spark, sf).where("kind = 'entity'").collect()
     assert {r.root_document_id for r in got} == {f"d{d}" for d in ids} and len(got) == len(ids)
     assert all({s["subject"] for s in json.loads(r.statements)} == {f"entity:{p}{r.root_document_id[1:]}" for p in "doce"} for r in got)
+
+
+def test_text_functions_normalise_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.normalized for r in catalog.QUERIES["text_functions"](spark, sf).collect()}
+    long = [d for d, t in texts.items() if t and t.isascii() and len(plain(t)) > 200]
+    assert long and all(got[d] == plain(texts[d]) for d in long)
