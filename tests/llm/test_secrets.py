@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from tessera.llm import secrets
 
@@ -50,6 +52,75 @@ def test_battery_tells_random_strings_from_names(spark):
     assert sum(got[i].n_random for i in range(len(rnd) + 1, len(rnd) + len(names) + 1)) == 0
 
 
+def score(word):
+    """Weight and score of a string, plainly."""
+    kind = "hex" if re.fullmatch("([0-9a-f]+|[0-9A-F]+)=*", word) else "base32" if re.fullmatch("[A-Z2-7]+=*", word) else "base64"
+    word = word.rstrip("=")
+    shape = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word]
+    shape = [{"-": "+", "_": "/"}.get(c, c) if kind != "hex" else c for c in shape]
+    word = word.lower() if kind == "hex" else word.replace("-", "+").replace("_", "/")
+    symbols, (k, s2, s3), n = secrets.ALPHABET[kind], secrets.PROSE[kind], len(word)
+    codes = [symbols.find(c) + 1 for c in word]
+    mean = sum(codes) / n
+    chi = k * sum(word.count(c) ** 2 for c in symbols) / n - n
+    prose = k * ((n - 1) * s2 + 1) - n
+    z1 = (prose - chi) / (2 * k * math.sqrt(n * (s3 - s2 * s2)))
+    switches, p = sum(a != b for a, b in zip(shape, shape[1:])), secrets.SWITCH
+    z2 = (switches - p * (n - 1) - 0.5) / math.sqrt(p * (1 - p) * (n - 1))
+    serial = math.sqrt(n) * sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / max(1e-9, sum((c - mean) ** 2 for c in codes))
+    z = (z1 + z2 - max(0, abs(serial) - secrets.SERIAL)) / math.sqrt(2) if z1 > 0 and z2 > 0 else 0
+    weight = min(4, max(0.5, n / 32))
+    return weight, max(0, math.log10(weight) + (z * z / 2 + math.log(z + math.sqrt(z * z + 8 / math.pi)) - 0.5 * math.log(2 / math.pi)) / math.log(10)) if z > 0 else 0
+
+
+def battery(texts):
+    """The added spans of all texts: strings outside assignments and without key ids or hexadecimal runs, weighted Benjamini-Hochberg over binned scores."""
+    key = re.compile(secrets.ASSIGN.replace("(?i)", ""), re.I | re.A)
+    found = []
+    for i, t in enumerate(texts):
+        t = key.sub(lambda m: " " * len(m[0]) if len(m[2]) >= 6 else m[0], t or "")
+        found += [(i, m.start(), m.end(), *score(m[0])) for m in re.finditer(secrets.STRING, t) if not re.search(f"{secrets.HEX}|{secrets.ACCESS}", m[0])]
+    total = sum(x[3] for x in found)
+    bins = sorted({min(secrets.BINS, int(x[4] / secrets.STEP)) for x in found})
+    good = [b for b in bins if b > 0 and 10 ** (-b * secrets.STEP) * total <= secrets.FDR * sum(min(secrets.BINS, int(x[4] / secrets.STEP)) >= b for x in found)]
+    return {(i, s, e) for i, s, e, _, p in found if good and p >= min(good) * secrets.STEP}
+
+
+def test_battery_matches_plain_code(spark):
+    r = random.Random(12)
+    b64, hx = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "0123456789ABCDEF"
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            parts.append(r.choice([
+                lambda: "".join(r.choice(b64) for _ in range(r.randint(18, 70))),
+                lambda: "".join(r.choice(hx) for _ in range(r.randint(20, 40))) + "==",
+                lambda: "token=" + "".join(r.choice(b64) for _ in range(r.randint(3, 40))),
+                lambda: "".join(r.choice(["tion", "get", "Value", "_of_", "Number"]) for _ in range(r.randint(4, 9))),
+                lambda: "dead" * 7 + "Xq9-" * 5,
+                lambda: "é😀",
+            ])())
+        texts.append(r.choice([" ", ", ", "="]).join(parts))
+    got = set()
+    for row in secrets.digests(frame(spark, texts)).collect():
+        got |= {(row.doc_id or 0, *map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("random")}
+    assert got == battery(texts) and len(got) > 100
+
+
+def test_long_strings_and_many_strings_take_linear_time(spark):
+    r = random.Random(13)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(r.choices(b64, k=1_000_000)), " ".join("".join(r.choices(b64, k=40)) for _ in range(100_000)), "secret=abcdef12 " * 50_000]
+    df = frame(spark, texts)
+    began = time.time()
+    got = {row.doc_id or 0: row for row in secrets.digests(df).collect()}
+    clean = {row.doc_id or 0: row.text for row in secrets.redact(df).collect()}
+    assert time.time() - began < 90
+    assert got[0].n_random == 1 and got[1].n_random > 90_000 and got[2].n_assign == 50_000
+    assert clean[0] == "[secret]" and clean[1].count("[secret]") == got[1].n_random and clean[2] == "[secret] " * 50_000
+
+
 def test_redaction(spark):
     t = "é password = hunter2000 and token:0123456789abcdef01234567 end"
     df = frame(spark, ["x", t, "clean", None, ""])
@@ -60,6 +131,20 @@ def test_redaction(spark):
     assert secrets.digests(df.limit(0)).collect() == []
 
 
+def test_no_name_clashes(spark):
+    names = ["__text", "strings", "base", "extra", "scored", "cut", "row", "rest", "spans", "a b"]
+    df = spark.createDataFrame([(1, "token=abcdef1 x", *range(len(names)))], ["doc_id", "text", *names])
+    row = secrets.redact(df).collect()[0]
+    assert tuple(row) == (1, "[secret] x", *range(len(names)))
+
+
+def test_redaction_at_block_borders(spark):
+    n = secrets.BLOCK
+    texts = ["é" * (n - 1) + " token=abcdef1", "x" * (2 * n - 14) + " token=abcdef1", "token=abcdef1 " + "😀" * (2 * n), ("y" * (n - 3) + " token=abcdef1 ") * 5, "token=abcdef1"]
+    got = {row.doc_id or 0: row.text for row in secrets.redact(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [t.replace("token=abcdef1", "[secret]") for t in texts]
+
+
 def test_plan_is_native(spark):
     plan = secrets.digests(frame(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
