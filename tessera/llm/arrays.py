@@ -19,6 +19,8 @@ CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd 64-bit value for each byte value: the letters of polynomial hashes.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: The same for a second, independent hash.
+OTHER_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 #: White space that ends a word: space and \t \n \v \f \r, nothing else.

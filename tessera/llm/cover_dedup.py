@@ -18,10 +18,9 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from tessera.llm import arrays
-from tessera.llm.suffix_dedup import schema_ddl
+from tessera.llm.suffix_dedup import rewritten
 from tessera.llm.windows import Anchors, Block, Scheme, remove_windows
 
 LENGTH = 50
@@ -60,8 +59,10 @@ def load(texts: pa.ChunkedArray) -> Block:
     ok = count > 0
     at, row, place, first, count = at[ok], row[ok], place[ok], first[ok], count[ok]
     begin = starts[:-1][row] + first
-    context = arrays.mix(arrays.span_hash(sums, begin, begin + count - 1 + LENGTH) + (place - first).astype(U64))
-    return Block(starts, Anchors(row, arrays.span_hash(sums, at, at + GRAM), context, begin, count), extra={"sums": sums})
+    end = begin + count - 1 + LENGTH
+    context = arrays.mix(arrays.span_hash(sums, begin, end) + (place - first).astype(U64))
+    check = arrays.span_hash(arrays.prefix(arrays.mix(values)), begin, end).astype(np.uint32)
+    return Block(starts, Anchors(row, arrays.span_hash(sums, at, at + GRAM), context, check, begin, count), extra={"sums": sums})
 
 
 def payload(block: Block, first: int, count: int) -> bytes:
@@ -87,27 +88,22 @@ def digests(docs: DataFrame) -> DataFrame:
         total = np.concatenate([[0], np.cumsum(covered)])
         removed = total[at[1:]] - total[at[:-1]]
         sha = []
-        for i, text in enumerate(t.column("__text").cast(pa.binary())):
+        for i, text in enumerate(t.column("text").cast(pa.binary())):
             own = (text.as_py() or b"").split()
             if removed[i]:
                 own = compress(own, (~covered[at[i] : at[i + 1]]).tolist())
             sha.append(hashlib.sha256(b" ".join(own)).hexdigest())
-        return pa.table([t.column("__key"), pa.array(np.diff(at)), pa.array(removed), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table([t.column("key"), pa.array(np.diff(at)), pa.array(removed), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return remove_windows(docs.select("doc_id", "text"), SCHEME, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs, the kept words of `text` joined by one space."""
-    order = docs.columns
-    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *others])
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows and columns of docs, the kept words of the text joined by one space."""
 
-    def finish(block: Block, covered: np.ndarray, t: pa.Table) -> pa.Table:
-        at, kept = block.starts, []
-        for i, text in enumerate(t.column("__text").cast(pa.binary())):
-            own = text.as_py()
-            kept.append(None if own is None else b" ".join(compress(own.split(), (~covered[at[i] : at[i + 1]]).tolist())).decode())
-        return pa.table([t.column("__key"), pa.array(kept, pa.string()), *[t.column(f.name) for f in others]], names=[f.name for f in schema])
+    def kept(block: Block, covered: np.ndarray, t: pa.Table) -> list[str | None]:
+        at = block.starts
+        texts = [x.as_py() for x in t.column("text").cast(pa.binary())]
+        return [None if own is None else b" ".join(compress(own.split(), (~covered[at[i] : at[i + 1]]).tolist())).decode() for i, own in enumerate(texts)]
 
-    return remove_windows(docs, SCHEME, finish, schema_ddl(schema)).select(*[f"`{c}`" for c in order])
+    return rewritten(docs, SCHEME, kept, text, key)

@@ -19,11 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.boosting import Forest, fit
 from tessera.llm.stats import BASE, FEATURES, measure
-from tessera.llm.suffix_dedup import schema_ddl
 
 SAMPLE = 20_000
 #: A document goes if its probability of being good is below this.
@@ -76,4 +74,4 @@ def keep(docs: DataFrame, forest: Forest) -> DataFrame:
             counts, x = measure(b.column(at))
             yield b.filter(pa.array(~failed(counts) & (forest.probability(x) >= THRESHOLD)))
 
-    return docs.mapInArrow(run, schema_ddl(T.StructType(docs.schema.fields)))
+    return docs.mapInArrow(run, docs.schema)

@@ -16,10 +16,12 @@ it, while digests are of the bytes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import arrays
@@ -41,7 +43,7 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     """Anchors of the windows of each row, in slices."""
-    found = [[np.zeros(0, k) for k in (np.int64, U64, U64, np.int64, np.int64)]]
+    found = [[np.zeros(0, k) for k in (np.int64, U64, U64, np.uint32, np.int64, np.int64)]]
     span = LENGTH - GRAM + 1
     for i, j in arrays.slices(offsets):
         base, at = offsets[i], offsets[i : j + 1] - offsets[i]
@@ -66,8 +68,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
         new[1:] = place[1:] != place[:-1]
         head = np.flatnonzero(new)
         first, count, place = ok[head], np.diff(np.append(head, len(ok))), place[head]
-        context = arrays.mix(arrays.span_hash(sums, first, first + count - 1 + LENGTH) + (place - first).astype(U64))
-        found.append([arrays.row_of(first, at) + i, grams[place], context, first + base, count])
+        gram, end = grams[place], first + count - 1 + LENGTH
+        context = arrays.mix(arrays.span_hash(sums, first, end) + (place - first).astype(U64))
+        del grams, least, sums
+        check = arrays.span_hash(arrays.prefix(arrays.OTHER_VALUE[part]), first, end).astype(np.uint32)
+        found.append([arrays.row_of(first, at) + i, gram, context, check, first + base, count])
     return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -141,27 +146,30 @@ def digests(docs: DataFrame) -> DataFrame:
         for i in range(n):
             own = block.data[at[i] : at[i + 1]]
             sha.append(hashlib.sha256(own[~covered[at[i] : at[i + 1]]] if removed[i] else own).hexdigest())
-        return pa.table([t.column("__key"), pa.array(np.diff(at)), pa.array(removed), pa.array(rises[at[1:]] - rises[at[:-1]]), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.table([t.column("key"), pa.array(np.diff(at)), pa.array(removed), pa.array(rises[at[1:]] - rises[at[:-1]]), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return remove_windows(docs.select("doc_id", "text"), SCHEME, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs, with the covered bytes of `text` removed."""
-    order = docs.columns
-    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *others])
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows and columns of docs, with the covered bytes of the text removed."""
 
-    def finish(block: Block, covered: np.ndarray, t: pa.Table) -> pa.Table:
-        at, kept = block.starts, []
-        valid = t.column("__text").is_valid().to_pylist()
-        for i, ok in enumerate(valid):
-            own = block.data[at[i] : at[i + 1]]
-            kept.append(own[~covered[at[i] : at[i + 1]]].tobytes().decode("utf-8", "ignore") if ok else None)
-        return pa.table([t.column("__key"), pa.array(kept, pa.string()), *[t.column(f.name) for f in others]], names=[f.name for f in schema])
+    def kept(block: Block, covered: np.ndarray, t: pa.Table) -> list[str | None]:
+        at, valid = block.starts, t.column("text").is_valid().to_pylist()
+        return [block.data[i:j][~covered[i:j]].tobytes().decode("utf-8", "ignore") if ok else None for i, j, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid, strict=True)]
+
+    return rewritten(docs, SCHEME, kept, text, key)
 
-    return remove_windows(docs, SCHEME, finish, schema_ddl(schema)).select(*[f"`{c}`" for c in order])
 
+def rewritten(docs: DataFrame, scheme: Scheme, kept: Callable[[Block, np.ndarray, pa.Table], list[str | None]], text: str, key: str) -> DataFrame:
+    """The rows and columns of docs, the text as `kept` gives it for each block."""
+    others = [c for c in docs.columns if c not in (key, text)]
+    fields = [T.StructField("key", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(f"o{i}", docs.schema[c].dataType) for i, c in enumerate(others)]]
+
+    def finish(block: Block, covered: np.ndarray, t: pa.Table) -> pa.Table:
+        names = [f.name for f in fields]
+        return pa.table([t.column("key"), pa.array(kept(block, covered, t), pa.string()), *[t.column(x) for x in names[2:]]], names=names)
 
-def schema_ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    out = remove_windows(docs, scheme, finish, T.StructType(fields), others, text, key)
+    place = {key: "key", text: "text"} | {c: f"o{i}" for i, c in enumerate(others)}
+    return out.select(*[F.col(place[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

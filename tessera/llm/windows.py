@@ -17,10 +17,12 @@ with the size of a group of copies:
    windows among them (for bytes a suffix sort by bucket-pointer refinement);
 4. blocks mark what is covered and rewrite their documents.
 
-Anchors and contexts are told apart by 48 + 48 bits of independent hashes and
-the bucket. Defined cases: a null doc_id counts as later than every other;
-rows that share a doc_id are not earlier than each other, so neither removes
-the other; a null text has no windows.
+Anchors are told apart by 48 bits of a hash (two that fall together are only
+compared in vain), contexts of one anchor by 96 bits of two hashes. Defined
+cases: a null doc_id counts as later than every other; rows that share a doc_id
+are not earlier than each other, so neither removes the other, and they need
+not share a block (a block is chosen by doc_id and text); a null text has no
+windows; other columns keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ from tessera.llm import arrays
 
 #: UTF-8 bytes of text in a block; blocks and buckets grow in number with the corpus, not in size.
 BLOCK = 4 << 20
+#: Blocks to a task, on average: tasks grow in number, not in size.
+TASK = 4
 #: Contexts of one anchor from which its windows are dealt out singly, by their own hash.
 HOT = 20_000
 #: Rows that are resolved at once in a bucket of unresolved contexts.
@@ -50,11 +54,12 @@ U64 = np.uint64
 
 @dataclass
 class Anchors:
-    """Arrays by anchor: row, hash, context hash, unit of the first window, number of windows."""
+    """Arrays by anchor: row, hash, two context hashes, unit of the first window, number of windows."""
 
     row: np.ndarray
     key: np.ndarray
     context: np.ndarray
+    check: np.ndarray
     first: np.ndarray
     count: np.ndarray
 
@@ -95,14 +100,18 @@ def order_keys(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LATEST).to_numpy() if len(column) else np.zeros(0, np.int64)
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row but the first differs from the one before."""
+    return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+
+
 def representatives(block: Block, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the distinct (anchor, context) pairs, by anchor and context: index of an occurrence in the earliest document, its order; for each anchor its pair; whether its document is later."""
     a = block.anchors
     d = order[a.row]
-    by = np.lexsort((d, a.context, a.key))
-    key, context = a.key[by], a.context[by]
+    by = np.lexsort((d, a.check, a.context, a.key))
     new = np.ones(len(by), bool)
-    new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+    new[1:] = changes(a.key[by], a.context[by], a.check[by])
     pair = np.empty(len(by), np.int64)
     pair[by] = np.cumsum(new) - 1
     rep = by[new]
@@ -114,16 +123,18 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
-def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """finish(block, covered units, Arrow table of the block) gives the resulting record batch of a block."""
+def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: str | StructType, others: list[str] = (), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """finish(block, covered units, Arrow table of the block) gives the resulting record batch of a block. The table has key, text and o0, o1, ... for the other columns."""
     size = docs.select(F.sum(F.octet_length(docs[text]).cast("long"))).first()[0] or 0
     n = max(1, -(-size // BLOCK))
-    columns = [c for c in docs.columns if c not in ("__block", "__key", "__text")]
-    keyed = docs.select(docs[key].cast("long").alias("__key"), docs[text].cast("string").alias("__text"), F.pmod(F.hash(docs[key].cast("long")), F.lit(n)).alias("__block"), *[docs[c].alias(c) for c in columns if c not in (key, text)])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
+    order, own = docs[f"`{key}`"].cast("long"), docs[f"`{text}`"].cast("string")
+    place = F.pmod(F.xxhash64(order, own), F.lit(n)).cast("int")
+    keyed = docs.select(order.alias("key"), own.alias("text"), place.alias("block"), *[docs[f"`{c}`"].alias(f"o{i}") for i, c in enumerate(others)])
 
     def read(t: pa.Table) -> tuple[Block, np.ndarray]:
         arrays.release()  # what the group before has left
-        return scheme.load(t.column("__text")), order_keys(t.column("__key"))
+        return scheme.load(t.column("text")), order_keys(t.column("key"))
 
     def send(t: pa.Table) -> pa.Table:
         block, order = read(t)
@@ -131,18 +142,18 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         a, out = block.anchors, []
         low = int(d.min()) if len(d) else 0
         width = max(1, (int(d.max()) - low).bit_length() + 7 >> 3) if len(d) else 1
-        keys, contexts = a.key[rep], a.context[rep]
+        keys, contexts, checks = a.key[rep], a.context[rep], a.check[rep]
         edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[p], edges[p + 1])
-            out.append((p, int(t.column("__block")[0].as_py()), low, width, short(keys[s], 6), short(contexts[s], 6), short((d[s] - low).view(U64), width)))
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "low", "width", "keys", "contexts", "docs"])
+            out.append((p, int(t.column("block")[0].as_py()), low, width, short(keys[s], 6), short(contexts[s], 8), short(checks[s], 4), short((d[s] - low).view(U64), width)))
+        cols = list(zip(*out, strict=True)) or [[]] * 8
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "block", "low", "width", "keys", "contexts", "checks", "docs"])
 
     def judge(t: pa.Table) -> pa.Table:
         """0: nothing known, 1: covered, 2: to be compared, 3: the same of an anchor with very many contexts."""
         arrays.release()
-        rows = t.select(["block", "low", "width", "keys", "contexts", "docs"]).to_pylist()
+        rows = t.select(["block", "low", "width", "keys", "contexts", "checks", "docs"]).to_pylist()
         key = np.concatenate([long(r["keys"], 6) for r in rows])
         size = [len(r["keys"]) // 6 for r in rows]
         verdict = np.zeros(len(key), np.uint8)
@@ -154,14 +165,15 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         at = by[several]
         if len(at):
             key = key[at]
-            context = np.concatenate([long(r["contexts"], 6) for r in rows])[at]
+            context = np.concatenate([long(r["contexts"], 8) for r in rows])[at]
+            check = np.concatenate([long(r["checks"], 4) for r in rows])[at]
             d = np.concatenate([long(r["docs"], r["width"]).view(np.int64) + r["low"] for r in rows])[at]
-            o = np.lexsort((d, context, key))
-            key, context, d, at = key[o], context[o], d[o], at[o]
+            o = np.lexsort((d, check, context, key))
+            key, context, check, d, at = key[o], context[o], check[o], d[o], at[o]
             new_key = np.ones(len(o), bool)
             new_key[1:] = key[1:] != key[:-1]
             new = new_key.copy()
-            new[1:] |= context[1:] != context[:-1]
+            new[1:] |= changes(context, check)
             first = np.flatnonzero(new)
             group = np.cumsum(new_key) - 1
             contexts = np.bincount(group[first])[group]
@@ -183,7 +195,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         block, order = read(t)
         rep, d, _, _ = representatives(block, order)
         verdict, a, out = verdicts(known, len(rep)), block.anchors, []
-        number = t.column("__block")[0].as_py() if t.num_rows else 0
+        number = t.column("block")[0].as_py() if t.num_rows else 0
         todo = np.flatnonzero(verdict >= 2)
         keys = (a.key[rep[todo]]).view(np.int64).tolist()
         for r, k, v, i, dd in zip(todo.tolist(), keys, verdict[todo].tolist(), rep[todo].tolist(), d[todo].tolist(), strict=True):
@@ -258,11 +270,11 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
                     np.add.at(covered, at + scheme.K, -1)
         return finish(block, np.cumsum(covered[:-1]) > 0, t)
 
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    blocks = keyed.groupBy("__block")
-    sent = blocks.applyInArrow(send, "bucket int, block int, low long, width int, keys binary, contexts binary, docs binary")
-    known = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, verdict binary")
-    shown = blocks.cogroup(known.groupBy("block")).applyInArrow(show, "key long, salt long, block int, pair int, window int, doc long, payload binary")
-    masks = shown.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare, "block int, pair int, mask long")
+    empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
+    blocks = keyed.repartition(parts, "block").groupBy("block")
+    sent = blocks.applyInArrow(send, "bucket int, block int, low long, width int, keys binary, contexts binary, checks binary, docs binary")
+    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(judge, "block int, bucket int, verdict binary")
+    shown = blocks.cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(show, "key long, salt long, block int, pair int, window int, doc long, payload binary")
+    masks = shown.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare, "block int, pair int, mask long")
     both = known.select("block", "bucket", "verdict", F.lit(None).cast("int").alias("pair"), F.lit(None).cast("long").alias("mask")).unionByName(masks, allowMissingColumns=True)
-    return blocks.cogroup(both.groupBy("block")).applyInArrow(mark, schema)
+    return blocks.cogroup(both.repartition(parts, "block").groupBy("block")).applyInArrow(mark, schema)

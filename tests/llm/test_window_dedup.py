@@ -82,3 +82,24 @@ def test_suffix_sort_is_exact():
     kinds = suffix_dedup.suffix_classes(joined, places)
     strings = [joined[p : p + 50].tobytes() for p in places]
     assert len(set(kinds.tolist())) == len(set(strings)) == len(set(zip(kinds.tolist(), strings)))
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, cover_dedup])
+def test_no_name_clashes_and_long_texts(spark, op):
+    r = random.Random(5)
+    shared = " ".join(f"w{r.randrange(10**6)}" for _ in range(200_000))
+    names = ["block", "key", "text", "doc_id", "o0", "__text", "bucket", "a b"]
+    rows = [("b1", 7, shared + " end", 2, 8, "t", 9, 3), ("b2", 8, "start " + shared, 1, 8, "t", 9, 4), ("b3", 9, "own text", None, 8, None, None, 5)]
+    got = op.dedup(spark.createDataFrame(rows, "block string, key long, text string, doc_id int, o0 int, __text string, bucket int, `a b` int"))
+    assert got.columns == names and dict(got.dtypes)["doc_id"] == "int"
+    out = {x["a b"]: x for x in got.collect()}
+    assert out[4].text == "start " + shared and out[5].text == "own text"
+    assert out[3].text.split() == ["end"] and [tuple(out[k])[:2] for k in (3, 4, 5)] == [("b1", 7), ("b2", 8), ("b3", 9)]
+
+
+def test_null_ids_are_dealt_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 2000)
+    rows = [(None, f"{i} " * 100) for i in range(50)] + [(3, "7 " * 60), (None, "7 " * 40)]
+    want = [r[:5] for r in brute.remove_bytes(rows)]
+    got = [tuple(r) for r in suffix_dedup.digests(table(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
