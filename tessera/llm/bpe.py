@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -197,6 +198,35 @@ def cut(points: np.ndarray, offsets: np.ndarray, lead_space: bool) -> tuple[np.n
     return starts, ends
 
 
+@dataclass
+class Pieces:
+    """The pieces of some texts. keys: hashes of the distinct ones, ascending; word(i): the i-th of them; which: by position in the texts, which of them; part: and which text."""
+
+    keys: np.ndarray
+    which: np.ndarray
+    part: np.ndarray
+    joined: str
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def word(self, i: int) -> str:
+        return self.joined[self.starts[i] : self.ends[i]]
+
+
+def pieces(texts: list[str], lead_space: bool) -> Pieces:
+    joined, none = "".join(texts), np.zeros(0, np.int64)
+    if not joined:
+        return Pieces(np.zeros(0, np.uint64), none, none, joined, none, none)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=offsets[1:])
+    full = np.concatenate([offsets[:-1][np.diff(offsets) > 0], offsets[-1:]])
+    starts, ends = cut(points, full, lead_space)
+    keys = arrays.span_hash(arrays.prefix(tables()[1][points]), starts, ends)
+    keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    return Pieces(keys, which, arrays.row_of(starts, offsets), joined, starts[at], ends[at])
+
+
 class Words:
     """The distinct-word table of a worker: what `make(piece)` gave, by the piece's hash, each distinct piece once while it is kept."""
 
@@ -205,10 +235,10 @@ class Words:
         self.new: dict[int, object] = {}
         self.old: dict[int, object] = {}
 
-    def look(self, key: int, joined: str, s: int, e: int):
+    def look(self, key: int, own: Pieces, i: int):
         """The entry of a piece that the newer half does not have."""
         if (x := self.old.get(key)) is None:
-            x = self.make(joined[s:e])
+            x = self.make(own.word(i))
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
         self.new[key] = x
@@ -216,21 +246,12 @@ class Words:
 
     def table(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
         """For some texts: the entries of their distinct pieces, and by position in the texts which entry and which text."""
-        joined = "".join(texts)
-        if not joined:
-            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) for t in texts], out=offsets[1:])
-        full = np.concatenate([offsets[:-1][np.diff(offsets) > 0], offsets[-1:]])
-        starts, ends = cut(points, full, self.lead_space)
-        keys = arrays.span_hash(arrays.prefix(tables()[1][points]), starts, ends)
-        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        keys, starts_at, ends_at = keys.tolist(), starts[at].tolist(), ends[at].tolist()
+        own = pieces(texts, self.lead_space)
+        keys = own.keys.tolist()
         entries = list(map(self.new.get, keys))
         for i in [i for i, x in enumerate(entries) if x is None]:
-            entries[i] = self.look(keys[i], joined, starts_at[i], ends_at[i])
-        return entries, which, arrays.row_of(starts, offsets)
+            entries[i] = self.look(keys[i], own, i)
+        return entries, own.which, own.part
 
 
 def batches(texts: list[str], size: int = CHUNK):

@@ -1,12 +1,18 @@
 """Operator 10: BPE encoding and decoding through a distinct-word table.
 
-Words are split, each distinct word of a block of documents is encoded once
-into a table, and ids are joined back by the words' positions. Decoding joins
-ids with the id-to-piece table (as large as the vocabulary, so of fixed size).
-A word's entry holds its ids and the pieces of those ids, so both joins are
-one lookup for each position. The table belongs to the worker and is bounded
-(`bpe.CACHE` words in each of two generations); a corpus-wide table would move
-every word to its block and back.
+1. Documents are dealt to blocks by a hash of doc_id and text (one exchange of
+   texts, used twice); a block splits its texts into words and sends each
+   distinct one to a bucket of the word table, chosen by the word's hash.
+2. A bucket encodes each distinct word of the corpus once and returns to every
+   block the ids of its words.
+3. A block joins ids back by the words' positions; the ids of a text are
+   decoded through the id-to-piece table (as large as the vocabulary, so every
+   worker has it whole).
+
+Scale: besides the texts only the distinct words of each block move (words
+packed by bucket), about a tenth of the texts; blocks and buckets grow in
+number, not in size. Words are matched by 64 hash bits inside a block and
+letter by letter in a bucket.
 
 Defined cases: a null or empty text has no ids and decodes to ''; special
 strings inside texts are matched before anything else and give their own id;
@@ -18,34 +24,35 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Bpe, Words, batches, lower
+from tessera.llm import arrays
+from tessera.llm.bpe import Bpe, Pieces, batches, lower, pieces
 
-_models: dict[str, tuple[Bpe, Words, re.Pattern]] = {}
+#: UTF-8 bytes of text in a block; blocks in a task, and to a bucket, on average.
+BLOCK = 8 << 20
+TASK = 2
+U64 = np.uint64
+_models: dict[str, tuple[Bpe, re.Pattern]] = {}
 
 
-def model(path: str) -> tuple[Bpe, Words, re.Pattern]:
+def model(path: str) -> tuple[Bpe, re.Pattern]:
+    """The tokenizer and the pattern of its special strings, read once a process."""
     if path not in _models:
         bpe = Bpe(path)
-
-        def entry(word: str) -> tuple[bytes, bytes]:
-            ids = bpe.encode(word.encode())
-            return np.array(ids, "<u4").tobytes(), " ".join([bpe.pieces[i] for i in ids]).encode()
-
         names = sorted(bpe.special, key=len, reverse=True)
-        _models[path] = bpe, Words(entry, False), re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else r"(?!)")
+        _models[path] = bpe, re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else r"(?!)")
     return _models[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[tuple[bytes, bytes]]:
-    """Of each text: its ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
-    bpe, table, special = model(path)
+def parts_of(texts: list[str | None], path: str) -> tuple[list[str], list[int], dict[int, int]]:
+    """Texts cut at special strings: the parts, the text of each, and the id of those that are special."""
+    bpe, special = model(path)
     parts, rows, fixed = [], [], {}
     for k, t in enumerate(texts):
         if not t:
@@ -57,30 +64,109 @@ def encode_texts(texts: list[str | None], path: str) -> list[tuple[bytes, bytes]
             else:
                 parts.append(lower(p))
             rows.append(k)
-    out: list[list[tuple[bytes, bytes]]] = [[] for _ in texts]
+    return parts, rows, fixed
+
+
+def split(parts: list[str]) -> Iterator[tuple[int, int, Pieces]]:
     for i, j in batches(parts):
-        entries, which, part = table.table(parts[i:j])
-        which, ends = which.tolist(), np.searchsorted(part, np.arange(j - i), "right").tolist()
-        begin = 0
-        for k, end in enumerate(ends, i):
-            if k in fixed:
-                out[rows[k]].append((np.array([fixed[k]], "<u4").tobytes(), bpe.pieces[fixed[k]].encode()))
-            out[rows[k]].extend([entries[w] for w in which[begin:end]])
-            begin = end
-    return [(b"".join([a for a, _ in x]), b" ".join([b for _, b in x])) for x in out]
+        yield i, j, pieces(parts[i:j], False)
+
+
+def distinct(parts: list[str]) -> dict[int, str]:
+    """The distinct words of some texts by their hash, ascending."""
+    found: dict[int, str] = {}
+    for _, _, own in split(parts):
+        for i, k in enumerate(own.keys.tolist()):
+            if k not in found:
+                found[k] = own.word(i)
+    return dict(sorted(found.items()))
+
+
+def encoded(words: list[str], bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids."""
+    ids = [bpe.encode(w.encode()) for w in words]
+    return np.array([len(x) for x in ids], np.uint32), np.array([i for x in ids for i in x], np.uint32)
+
+
+def texts_to_ids(texts: list[str | None], path: str, count: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text: those of each word at the word's positions. count, ids: of the distinct words of the texts, ascending by hash."""
+    parts, rows, fixed = parts_of(texts, path)
+    cuts = list(split(parts))
+    keys = np.unique(np.concatenate([np.zeros(0, U64), *[own.keys for _, _, own in cuts]]))
+    assert len(keys) == len(count), f"{len(count)} entries for {len(keys)} words"
+    begin = np.cumsum(count, dtype=np.int64) - count
+    rows, special = np.array(rows, np.int64), np.array(sorted(fixed), np.int64)
+    single = np.array([fixed[k] for k in special.tolist()], np.uint32)
+    runs: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, j, own in cuts:
+        word = np.searchsorted(keys, own.keys)[own.which]
+        size = count[word].astype(np.int64)
+        flat = ids[np.repeat(begin[word] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        owner = np.repeat(own.part + i, size)
+        inside = special[(special >= i) & (special < j)]
+        if len(inside):
+            place = np.searchsorted(owner, inside)
+            flat = np.insert(flat, place, single[np.searchsorted(special, inside)])
+            owner = np.insert(owner, place, inside)
+        text = rows[owner]
+        edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            runs[text[s]].append(flat[s:e])
+    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint32) for x in runs]
+
+
+def coded(docs: DataFrame, path: str, finish, schema: str, text: str, key: str) -> DataFrame:
+    """finish(doc_ids, ids of each text, pieces by id) gives the Arrow table of a block."""
+    size = docs.select(F.sum(F.octet_length(docs[text].cast("string")).cast("long"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
+    buckets = parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
+    own = docs[text].cast("string")
+    keyed = docs.select(docs[key].alias("doc_id"), own.alias("text"), F.pmod(F.xxhash64(docs[key], own), F.lit(n)).cast("int").alias("block"))
+
+    def send(t: pa.Table) -> pa.Table:
+        arrays.release()
+        words = distinct(parts_of(t.column("text").to_pylist(), path)[0])
+        keys, every = np.fromiter(words, U64, len(words)), list(words.values())
+        edges = np.searchsorted((keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        # a word has no white space, so a line keeps each apart
+        lists = ["\n".join(every[edges[p] : edges[p + 1]]) for p in some]
+        return pa.table([pa.array(some, pa.int32()), pa.array([t.column("block")[0].as_py()] * len(some), pa.int32()), pa.array(lists, pa.string())], names=["bucket", "block", "words"])
+
+    def look_up(t: pa.Table) -> pa.Table:
+        bpe, _ = model(path)
+        lists = [x.split("\n") for x in t.column("words").to_pylist()]
+        place: dict[str, int] = {}
+        which = [[place.setdefault(w, len(place)) for w in x] for x in lists]
+        count, ids = encoded(list(place), bpe)
+        end = np.cumsum(count, dtype=np.int64)
+        begin, out = end - count, []
+        for x in which:
+            at = np.array(x)
+            size = count[at].astype(np.int64)
+            out.append((count[at].tobytes(), ids[np.repeat(begin[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes()))
+        return pa.table([t.column("block"), t.column("bucket"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["block", "bucket", "counts", "ids"])
+
+    def join(t: pa.Table, known: pa.Table) -> pa.Table:
+        arrays.release()
+        known = known.sort_by("bucket")
+        count, ids = (np.frombuffer(b"".join(known.column(c).to_pylist()), np.uint32) for c in ("counts", "ids"))
+        return finish(t.column("doc_id"), texts_to_ids(t.column("text").to_pylist(), path, count, ids), model(path)[0].pieces)
+
+    blocks = keyed.repartition(parts, "block").groupBy("block")
+    table = blocks.applyInArrow(send, "bucket int, block int, words string").repartition(parts, "bucket").groupBy("bucket")
+    known = table.applyInArrow(look_up, "block int, bucket int, counts binary, ids binary").repartition(parts, "block").groupBy("block")
+    return blocks.cogroup(known).applyInArrow(join, schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids array<int>, decoded string for each row of docs."""
 
-    def run(parts):
-        for b in parts:
-            got = encode_texts(b.column(1).to_pylist(), path)
-            ids = pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in got], pa.list_(pa.int32()))
-            yield pa.record_batch([b.column(0), ids, pa.array([d.decode() for _, d in got], pa.string())], names=["doc_id", "ids", "decoded"])
+    def finish(keys: pa.ChunkedArray, ids: list[np.ndarray], names: list[str]) -> pa.Table:
+        decoded = [" ".join([names[i] for i in x.tolist()]) for x in ids]
+        return pa.table([keys, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return coded(docs, path, finish, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string", text, key)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -95,11 +181,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: `encode` and the decoding, with digests made beside the texts so that neither travels."""
 
-    def run(parts):
-        for b in parts:
-            got = encode_texts(b.column(1).to_pylist(), path)
-            sha = [hashlib.sha256(x).hexdigest() for x in chain.from_iterable(got)]
-            yield pa.record_batch([b.column(0), pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array(sha[::2], pa.string()), pa.array(sha[1::2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(keys: pa.ChunkedArray, ids: list[np.ndarray], names: list[str]) -> pa.Table:
+        first = [hashlib.sha256(np.ascontiguousarray(x, "<u4")).hexdigest() for x in ids]
+        second = [hashlib.sha256(" ".join([names[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
+        return pa.table([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded(docs, path, finish, f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", text, key)

@@ -23,12 +23,16 @@ def test_counts_match_the_library():
     assert token_counts.count_texts(data, path).tolist() == want
 
 
-def test_ids_and_decoding_match_the_library():
+def test_ids_and_decoding_match_the_library(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "BLOCK", 20_000)
     path = tokenizer("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
     data = texts()
-    for got, x in zip(encoding.encode_texts(data, path), lib.encode_batch([t or "" for t in data], add_special_tokens=False)):
-        assert got == (np.array(x.ids, "<u4").tobytes(), lib.decode(x.ids, skip_special_tokens=False).encode())
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.ids, r.decoded) for r in encoding.encode(df, path).collect()}
+    assert len(got) == len(data)
+    for i, x in enumerate(lib.encode_batch([t or "" for t in data], add_special_tokens=False)):
+        assert got[i] == (x.ids, lib.decode(x.ids, skip_special_tokens=False))
 
 
 def test_rows(spark):
