@@ -35,7 +35,7 @@ from tessera.llm import arrays
 from tessera.llm.bpe import Bpe, Pieces, batches, lower, pieces
 
 #: UTF-8 bytes of text in a block; blocks in a task, and to a bucket, on average.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 TASK = 2
 U64 = np.uint64
 _models: dict[str, tuple[Bpe, re.Pattern]] = {}
@@ -82,10 +82,19 @@ def distinct(parts: list[str]) -> dict[int, str]:
     return dict(sorted(found.items()))
 
 
+def packed(raw: bytes) -> bytes:
+    """Compressed; the size comes first."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def encoded(words: list[str], bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids each word has, and all ids."""
+    """How many ids each word has, and all ids; as short numbers as the vocabulary allows."""
     ids = [bpe.encode(w.encode()) for w in words]
-    return np.array([len(x) for x in ids], np.uint32), np.array([i for x in ids for i in x], np.uint32)
+    return np.array([len(x) for x in ids], np.uint32), np.array([i for x in ids for i in x], np.min_scalar_type(len(bpe.pieces)))
 
 
 def texts_to_ids(texts: list[str | None], path: str, count: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
@@ -96,7 +105,7 @@ def texts_to_ids(texts: list[str | None], path: str, count: np.ndarray, ids: np.
     assert len(keys) == len(count), f"{len(count)} entries for {len(keys)} words"
     begin = np.cumsum(count, dtype=np.int64) - count
     rows, special = np.array(rows, np.int64), np.array(sorted(fixed), np.int64)
-    single = np.array([fixed[k] for k in special.tolist()], np.uint32)
+    single = np.array([fixed[k] for k in special.tolist()], ids.dtype)
     runs: list[list[np.ndarray]] = [[] for _ in texts]
     for i, j, own in cuts:
         word = np.searchsorted(keys, own.keys)[own.which]
@@ -112,7 +121,7 @@ def texts_to_ids(texts: list[str | None], path: str, count: np.ndarray, ids: np.
         edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             runs[text[s]].append(flat[s:e])
-    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint32) for x in runs]
+    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, ids.dtype) for x in runs]
 
 
 def coded(docs: DataFrame, path: str, finish, schema: str, text: str, key: str) -> DataFrame:
@@ -130,12 +139,12 @@ def coded(docs: DataFrame, path: str, finish, schema: str, text: str, key: str)
         edges = np.searchsorted((keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(edges)).tolist()
         # a word has no white space, so a line keeps each apart
-        lists = ["\n".join(every[edges[p] : edges[p + 1]]) for p in some]
-        return pa.table([pa.array(some, pa.int32()), pa.array([t.column("block")[0].as_py()] * len(some), pa.int32()), pa.array(lists, pa.string())], names=["bucket", "block", "words"])
+        lists = [packed("\n".join(every[edges[p] : edges[p + 1]]).encode()) for p in some]
+        return pa.table([pa.array(some, pa.int32()), pa.array([t.column("block")[0].as_py()] * len(some), pa.int32()), pa.array(lists, pa.binary())], names=["bucket", "block", "words"])
 
     def look_up(t: pa.Table) -> pa.Table:
         bpe, _ = model(path)
-        lists = [x.split("\n") for x in t.column("words").to_pylist()]
+        lists = [unpacked(x).decode().split("\n") for x in t.column("words").to_pylist()]
         place: dict[str, int] = {}
         which = [[place.setdefault(w, len(place)) for w in x] for x in lists]
         count, ids = encoded(list(place), bpe)
@@ -144,17 +153,20 @@ def coded(docs: DataFrame, path: str, finish, schema: str, text: str, key: str)
         for x in which:
             at = np.array(x)
             size = count[at].astype(np.int64)
-            out.append((count[at].tobytes(), ids[np.repeat(begin[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes()))
+            own = ids[np.repeat(begin[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            out.append((packed(count[at].tobytes()), packed(own.tobytes())))
         return pa.table([t.column("block"), t.column("bucket"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["block", "bucket", "counts", "ids"])
 
     def join(t: pa.Table, known: pa.Table) -> pa.Table:
         arrays.release()
         known = known.sort_by("bucket")
-        count, ids = (np.frombuffer(b"".join(known.column(c).to_pylist()), np.uint32) for c in ("counts", "ids"))
-        return finish(t.column("doc_id"), texts_to_ids(t.column("text").to_pylist(), path, count, ids), model(path)[0].pieces)
+        names = model(path)[0].pieces
+        raw = lambda c: b"".join(map(unpacked, known.column(c).to_pylist()))
+        count, ids = np.frombuffer(raw("counts"), np.uint32), np.frombuffer(raw("ids"), np.min_scalar_type(len(names)))
+        return finish(t.column("doc_id"), texts_to_ids(t.column("text").to_pylist(), path, count, ids), names)
 
     blocks = keyed.repartition(parts, "block").groupBy("block")
-    table = blocks.applyInArrow(send, "bucket int, block int, words string").repartition(parts, "bucket").groupBy("bucket")
+    table = blocks.applyInArrow(send, "bucket int, block int, words binary").repartition(parts, "bucket").groupBy("bucket")
     known = table.applyInArrow(look_up, "block int, bucket int, counts binary, ids binary").repartition(parts, "block").groupBy("block")
     return blocks.cogroup(known).applyInArrow(join, schema)
 
@@ -182,7 +194,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     """doc_id, n_tokens, ids_sha256, decoded_sha256: `encode` and the decoding, with digests made beside the texts so that neither travels."""
 
     def finish(keys: pa.ChunkedArray, ids: list[np.ndarray], names: list[str]) -> pa.Table:
-        first = [hashlib.sha256(np.ascontiguousarray(x, "<u4")).hexdigest() for x in ids]
+        first = [hashlib.sha256(x.astype("<u4")).hexdigest() for x in ids]
         second = [hashlib.sha256(" ".join([names[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
         return pa.table([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
