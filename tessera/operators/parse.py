@@ -270,8 +270,17 @@ def repeated_lines(lines: DataFrame, key: str, page: str, line: str) -> DataFram
     return lines.where(F.trim(line) != "").groupBy(key, F.lower(F.trim(line)).alias("line")).agg(F.count_distinct(page).alias("on_pages")).join(n, key).where((F.col("on_pages") >= 2) & (F.col("on_pages") > 0.5 * F.col("n_pages")))
 
 
+def walk_blocks(tree: object, page: int | None = None) -> Iterator[tuple[dict, int | None]]:
+    """Blocks of a layout tree with their page, parents before children; a page's number comes from its block or its place."""
+    for i, x in enumerate(tree if isinstance(tree, list) else [tree]):
+        if isinstance(x, dict):
+            own = x.get("page", i + 1) if x.get("block_type") == "Page" else page
+            yield x, own
+            yield from walk_blocks(x.get("children") or x.get("blocks") or [], own)
+
+
 def walk(tree: object, page: int | None = None, depth: int = 0) -> Iterator[dict]:
-    """Blocks of a layout tree, parents before children; a page's number comes from its id or its place."""
+    """The same as rows of kind, page, depth, html and text."""
     if isinstance(tree, list):
         for x in tree:
             yield from walk(x, page, depth)

@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import chain_hash, content_hash, slug_agent
-
-DEPTH = 4
-MOST = 100
+from tessera.operators.iterate import cut
+from tessera.operators.reports import page
+
+#: Steps of a walk after which records are taken to be in a cycle.
+MOST = 1000
+# The types of records from the root to each type.
+PATHS = {
+    "DOCUMENT": ("DOCUMENT",),
+    "OCR_RESULT": ("DOCUMENT", "OCR_RESULT"),
+    "CHUNK": ("DOCUMENT", "OCR_RESULT", "CHUNK"),
+    "IMAGE": ("DOCUMENT", "OCR_RESULT", "IMAGE"),
+    "EXTRACTION": ("DOCUMENT", "OCR_RESULT", "EXTRACTION"),
+    "FORM_FILL": ("DOCUMENT", "FORM_FILL"),
+    "VLM_DESCRIPTION": ("DOCUMENT", "OCR_RESULT", "IMAGE", "VLM_DESCRIPTION"),
+    "EMBEDDING": ("DOCUMENT", "OCR_RESULT", "CHUNK", "EMBEDDING"),
+    "COMPARISON": ("DOCUMENT", "OCR_RESULT", "COMPARISON"),
+    "CLUSTERING": ("DOCUMENT", "OCR_RESULT", "CHUNK", "EMBEDDING", "CLUSTERING"),
+}
+#: Columns by which records may be ordered.
+ORDERS = ("created_at", "processed_at", "type", "processor", "processing_duration_ms", "chain_depth")
 # Fixed value: the columns of the CSV export, in order.
 CSV_COLUMNS = (
-    "id type created_at processed_at source_file_created_at source_file_modified_at source_type source_path source_id root_document_id location content_hash input_hash file_hash processor processor_version processing_duration_ms processing_quality_score parent_id parent_ids chain_depth"
-).split()
+    "id", "type", "created_at", "processed_at", "source_file_created_at", "source_file_modified_at", "source_type", "source_path", "source_id", "root_document_id", "location",
+    "content_hash", "input_hash", "file_hash", "processor", "processor_version", "processing_duration_ms", "processing_quality_score", "parent_id", "parent_ids", "chain_depth",
+)
+
 
+def with_chain_hashes(records: DataFrame) -> DataFrame:
+    """chain_hash of each record (id, parent_id, content_hash), level by level from the roots until a level is empty.
 
-def with_chain_hashes(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """chain_hash of each record (id, parent_id, content_hash, chain_depth), level by level from the roots; depth joins, each by id."""
-    out = records.where(F.col("parent_id").isNull()).withColumn("chain_hash", chain_hash(F.col("content_hash"), F.lit(None).cast("string")))
-    level = out
-    for d in range(1, depth + 1):
-        parents = level.select(F.col("id").alias("parent_id"), F.col("chain_hash").alias("_parent"))
-        level = records.where(F.col("chain_depth") == d).join(parents, "parent_id").withColumn("chain_hash", chain_hash(F.col("content_hash"), F.col("_parent"))).select(*out.columns)
+    Records that no root leads to (an absent parent, a cycle) stay, with a null hash.
+    """
+    records = cut(records)
+    none = F.lit(None).cast("string")
+    level = records.where(F.col("parent_id").isNull()).withColumn("chain_hash", chain_hash(F.col("content_hash"), none))
+    below = records.where(F.col("parent_id").isNotNull())
+    out = level
+    while True:
+        parents = level.select(F.col("id").alias("parent_id"), F.col("chain_hash").alias("_parent")).dropDuplicates(["parent_id"])
+        level = cut(below.join(parents, "parent_id").withColumn("chain_hash", chain_hash(F.col("content_hash"), F.col("_parent"))).select(*out.columns))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
-    return out
+    lost = below.join(out.select("id").distinct(), "id", "left_anti").withColumn("chain_hash", none)
+    return out.unionByName(lost.select(*out.columns))
 
 
 def verify_chains(records: DataFrame) -> DataFrame:
@@ -46,27 +73,104 @@ def verify_records(records: DataFrame) -> DataFrame:
     )
 
 
-def lineage(records: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """item, step, id, type: each start id (column id) and its ancestors up to the root. Bounded by depth, so a cycle ends."""
-    edges = records.select("id", "parent_id", "type")
+def lineage(records: DataFrame, start: DataFrame) -> DataFrame:
+    """item, step, id, type: each start id (column id) and its ancestors up to the root, or up to where a walk would return to its start."""
+    edges = cut(records.select("id", "parent_id", "type"))
     now = start.select(F.col("id").alias("item"), "id").join(edges, "id").withColumn("step", F.lit(0))
     out = now
-    for d in range(1, depth + 1):
-        now = now.where(F.col("parent_id").isNotNull()).select("item", F.col("parent_id").alias("id")).join(edges, "id").withColumn("step", F.lit(d))
+    for d in range(1, MOST):
+        now = cut(now.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("item"))).select("item", F.col("parent_id").alias("id")).join(edges, "id").withColumn("step", F.lit(d)))
+        if now.isEmpty():
+            return out.select("item", "step", "id", "type")
         out = out.unionByName(now)
-    return out.select("item", "step", "id", "type")
-
-
-def ancestors(records: DataFrame, view: str = "lineage_records") -> DataFrame:
-    """The same walk for all records as a recursive query, with the path of ancestor ids."""
-    records.select("id", "parent_id").createOrReplaceTempView(view)
-    return records.sparkSession.sql(
-        f"""with recursive walk(id, at, depth, path) as (
-              select id, parent_id, 0, cast(array() as array<string>) from {view}
-              union all
-              select w.id, r.parent_id, w.depth + 1, concat(w.path, array(cast(r.id as string))) from walk w join {view} r on w.at = r.id where w.depth < {MOST})
-            select id, depth, path from walk where at is null"""
-    )
+    raise ValueError(f"a walk of {MOST} steps: parent ids form a cycle")
+
+
+def ancestors(records: DataFrame) -> DataFrame:
+    """id, depth, path: the ids above each record, nearest first. Records that no root leads to (an absent parent, a cycle) have the path as far as it goes up to an absent record, or none."""
+    walk = lineage(records, records.select("id"))
+    return walk.groupBy(F.col("item").alias("id")).agg(F.max("step").alias("depth"), F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", F.col("id").cast("string").alias("id"))))).alias("p")).select("id", "depth", F.transform("p", lambda x: x["id"]).alias("path"))
+
+
+def create(records: DataFrame, parents: DataFrame) -> DataFrame:
+    """New records (id, type, source_id, ...) with parent_id, parent_ids (the parent's, then the parent), chain_depth, chain_path and root_document_id, from the parents' rows (id, parent_ids, chain_depth, root_document_id). A type that is not known, or a source that is not there, fails the row."""
+    up = parents.select(F.col("id").alias("source_id"), F.col("parent_ids").alias("_ids"), F.col("chain_depth").alias("_depth"), F.col("root_document_id").alias("_root"), F.lit(True).alias("_found"))
+    both = records.join(up, "source_id", "left")
+    paths = chain_path(F.col("type"))
+    checked = F.when(paths.isNull(), F.raise_error(F.concat(F.lit("no such type: "), F.col("type")))).when(F.col("source_id").isNotNull() & F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no such source: "), F.col("source_id").cast("string")))).otherwise(paths)
+    ids = F.when(F.col("source_id").isNull(), F.array().cast("array<string>")).otherwise(F.concat("_ids", F.array(F.col("source_id").cast("string"))))
+    return both.select(*records.columns, F.col("source_id").alias("parent_id"), ids.alias("parent_ids"), F.coalesce(F.col("_depth") + 1, F.lit(0)).alias("chain_depth"), checked.alias("chain_path"), F.coalesce("_root", "id").alias("root_document_id"))
+
+
+def chain_path(kind: Column) -> Column:
+    """The types from the root to a type; null for one that is not known."""
+    known = F.create_map(*[x for k, p in PATHS.items() for x in (F.lit(k), F.array(*map(F.lit, p)))])
+    return F.try_element_at(known, kind)
+
+
+def find(records: DataFrame, *, processor: str | None = None, type: str | None = None, least_depth: int | None = None, most_depth: int | None = None, least_quality: float | None = None, least_ms: int | None = None, after: object = None, before: object = None, root: object = None, order: str = "created_at", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Records for which all the given predicates hold, a page of them, with the number of all."""
+    if order not in ORDERS:
+        raise ValueError(f"order by one of {', '.join(ORDERS)}")
+    tests = ((processor, F.col("processor") == processor), (type, F.col("type") == type), (least_depth, F.col("chain_depth") >= least_depth), (most_depth, F.col("chain_depth") <= most_depth), (least_quality, F.col("processing_quality_score") >= least_quality), (least_ms, F.col("processing_duration_ms") >= least_ms), (after, F.col("created_at") >= F.lit(after)), (before, F.col("created_at") <= F.lit(before)), (root, F.col("root_document_id") == root))
+    for value, test in tests:
+        if value is not None:
+            records = records.where(test)
+    return page(records, [F.desc(order) if descending else F.asc(order), F.asc("id")], limit, offset)
+
+
+def by_root(records: DataFrame, root: object, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """All records of a document, by depth."""
+    own = records.where(F.col("root_document_id") == root)
+    return (own.where(F.col("type").isin(*kinds)) if kinds else own).orderBy("chain_depth", "id")
+
+
+def scope(records: DataFrame, kind: str, document: object = None) -> DataFrame:
+    """Records of one document, or of the whole database."""
+    if kind not in ("document", "database", "all"):
+        raise ValueError("scope is document, database or all")
+    return records.where(F.col("root_document_id") == document) if kind == "document" else records
+
+
+def resolve(owners: dict[str, DataFrame], items: DataFrame) -> DataFrame:
+    """item, kind, provenance_id: whatever kind of entity has an id. owners: kind -> (id, provenance_id)."""
+    every = None
+    for kind, table in owners.items():
+        one = table.select(F.col("id").cast("string").alias("item"), F.lit(kind).alias("kind"), F.col("provenance_id").cast("string").alias("provenance_id"))
+        every = one if every is None else every.unionByName(one)
+    return items.select(F.col("id").cast("string").alias("item")).distinct().join(every, "item", "left")
+
+
+def contents(records: DataFrame, owners: dict[str, DataFrame]) -> DataFrame:
+    """records with `content`, the text that the hash of its type covers. owners: type -> (provenance_id, content)."""
+    every = None
+    for kind, table in owners.items():
+        one = table.select(F.lit(kind).alias("type"), F.col("provenance_id").alias("id"), "content")
+        every = one if every is None else every.unionByName(one)
+    return records.drop("content").join(every, ["type", "id"], "left")
+
+
+def verify_files(records: DataFrame, files: DataFrame) -> DataFrame:
+    """id, path, status: the stored file_hash of documents against their files. files: (path, content) as binaryFile reads them."""
+    hashed = files.select(F.col("path").alias("source_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_hash"))
+    both = records.where("type = 'DOCUMENT'").join(hashed, "source_path", "left")
+    return both.select("id", "source_path", F.when(F.col("_hash").isNull(), "missing").when(F.col("_hash") == F.col("file_hash"), "valid").otherwise("changed").alias("status"))
+
+
+def summary(records: DataFrame, start: DataFrame) -> DataFrame:
+    """item, summary: the types from the root to each record, as text."""
+    walk = lineage(records, start)
+    steps = F.reverse(F.array_sort(F.collect_list(F.struct("step", "type"))))
+    return walk.groupBy("item").agg(F.array_join(F.transform(steps, lambda x: x["type"]), " -> ").alias("summary"))
+
+
+def with_orphaned_root(records: DataFrame, detached: DataFrame, root: str = "orphaned-root") -> DataFrame:
+    """records, and those of detached under one synthetic root record, which is added if it is not there."""
+    known = records.where(F.col("id") == root)
+    row = detached.sparkSession.createDataFrame([(root, "DOCUMENT", root, 0)], "id string, type string, root_document_id string, chain_depth long")
+    new = row.join(known.select("id"), "id", "left_anti")
+    moved = detached.withColumn("parent_id", F.lit(root)).withColumn("root_document_id", F.lit(root))
+    return records.unionByName(new, allowMissingColumns=True).unionByName(moved, allowMissingColumns=True)
 
 
 def children(records: DataFrame, parent: object) -> DataFrame:

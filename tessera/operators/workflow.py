@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.reports import latest
 
@@ -110,10 +112,55 @@ def overdue(obligations: DataFrame, status: str, due: str, now: Column) -> DataF
 
 
 def transitions(events: DataFrame, key: str, state: str, *order: str) -> DataFrame:
-    """events with `previous` and `valid`: may the state follow the one before?"""
-    before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
-    allowed = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for p in TRANSITIONS.items() for x in p])
-    return events.withColumn("previous", before).withColumn("valid", F.coalesce(F.array_contains(allowed[F.coalesce("previous", F.lit(""))], F.col(state)), F.lit(False)))
+    """events with `previous` and `valid`: may the state follow the last valid one of its key?
+
+    An event that may not is not a state: the next one is judged against the
+    state before. Events are sorted by key and folded as they stream, so a task
+    holds one batch and the state of one key.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField("previous", T.StringType()), T.StructField("valid", T.BooleanType())])
+
+    def fold(batches):
+        at, now = None, None
+        for b in batches:
+            before, valid = [], []
+            for k, s in zip(b.column(key).to_pylist(), b.column(state).to_pylist(), strict=True):
+                if (k,) != at:
+                    at, now = (k,), None
+                before.append(now)
+                valid.append(s in TRANSITIONS.get(now or "", ()))
+                now = s if valid[-1] else now
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(valid, pa.bool_())], names=[f.name for f in schema])
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)
+
+
+def status_history(log: DataFrame, key: str, *order: str) -> DataFrame:
+    """key, status, reason, history: the last status of each obligation, and the changes that led to it as JSON (from, to, reason), oldest first."""
+    own = Window.partitionBy(key).orderBy(*order)
+    steps = log.withColumn("_from", F.lag("status").over(own)).withColumn("_n", F.row_number().over(own))
+    change = F.when(F.col("_from").isNotNull(), F.struct("_n", F.col("_from").alias("from"), F.col("status").alias("to"), "reason"))
+    kept = F.transform(F.array_sort(F.collect_list(change)), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["reason"].alias("reason")))
+    return steps.groupBy(key).agg(F.max_by("status", "_n").alias("status"), F.max_by("reason", "_n").alias("reason"), F.to_json(kept).alias("history"))
+
+
+def apply_tags(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Tag links (tag, entity_id, entity_type) with new ones, each once."""
+    return links.unionByName(new).dropDuplicates(["tag", "entity_id", "entity_type"])
+
+
+def tag_workflow(links: DataFrame, prefix: str = "workflow:") -> DataFrame:
+    """entity_id, state, since: the state that the last tag with the prefix names."""
+    own = links.where(F.startswith("tag", F.lit(prefix)))
+    return own.groupBy("entity_id").agg(F.max_by(F.substring("tag", len(prefix) + 1, 1000), F.struct("created_at", "tag")).alias("state"), F.max("created_at").alias("since"))
+
+
+def clause_context(text: Column, clause: Column, around: int = 100) -> Column:
+    """Text around the first place of a clause, in either case; null where it is not there."""
+    at = F.instr(F.lower(text), F.lower(clause))
+    start = F.greatest(F.lit(1), at - around)
+    end = F.least(F.length(text) + 1, at + F.length(clause) + around)
+    return F.when(at > 0, F.concat(F.when(start > 1, "...").otherwise(""), F.trim(F.substring(text, start, end - start)), F.when(end <= F.length(text), "...").otherwise("")))
 
 
 def queue(events: DataFrame, key: str, *order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.operators.corpus import Corpus
 from tessera.plans.registry import query
 
 # Records: a document, its text, a chunk of it, the chunk's vector.
-LEVELS = (("d", "DOCUMENT", "source", None), ("o", "OCR_RESULT", "text", "d"), ("c", "CHUNK", "substring(text, 1, 200)", "o"), ("e", "EMBEDDING", "substring(text, 1, 20)", "c"))
+LEVELS = (("d", "DOCUMENT", "source", None), ("o", "OCR_RESULT", "text", "d"), ("c", "CHUNK", "trim(text)", "o"), ("e", "EMBEDDING", "lower(text)", "c"))
 RECORDS = "rec as (" + " union all ".join(
     f"select '{p}' || doc_id as id, '{k}' as type, {f"'{up}' || doc_id" if up else 'null::varchar'} as parent_id, 'd' || doc_id as root_document_id, {d}::bigint as chain_depth, {c} as content, 'sha256:' || sha256({c}) as content_hash, 'Engine ' || (doc_id % 3) as processor, 'v1' as processor_version, doc_id % 100 as ms from documents" for d, (p, k, c, up) in enumerate(LEVELS)
 ) + ")"
@@ -79,7 +79,7 @@ def provenance_processors(spark, sf):
 
 
 @query(
-    f"""with {RECORDS}, s as (select * from rec where root_document_id in ('d1', 'd2', 'd3') and type <> 'DOCUMENT'), a as (select *, 'agent:' || regexp_replace(lower(processor), '[^a-z0-9_-]+', '_', 'g') as agent from s)
+    f"""with {RECORDS}, s as (select * from rec), a as (select *, 'agent:' || regexp_replace(lower(processor), '[^a-z0-9_-]+', '_', 'g') as agent from s)
     select distinct 'entity' as kind, 'entity:' || id as subject, null::varchar as object from a union select 'activity', 'activity:' || id, null from a union select 'agent', agent, null from a union select 'wasGeneratedBy', 'entity:' || id, 'activity:' || id from a union select 'wasAttributedTo', 'entity:' || id, agent from a
     union select 'wasDerivedFrom', 'entity:' || id, 'entity:' || parent_id from a where parent_id in (select id from s)"""
 )
@@ -96,3 +96,63 @@ def provenance_csv(spark, sf):
 def prov_json(spark, sf):
     """PROV-JSON statements grouped by root document and kind; the text form of JSON differs between engines."""
     return provenance.prov_json(records(spark, sf))
+
+
+DEEP = "r as (select 'e' || event_id as id, case when event_id % 12 = 0 then null when event_id % 97 = 0 then 'gone' || event_id else 'e' || (event_id - 1) end as parent_id, 'sha256:' || sha256(event_type || event_id) as content_hash from events)"
+
+
+def deep(spark, sf) -> DataFrame:
+    """Chains of up to twelve records; some have lost the parent on the way."""
+    i = F.col("event_id")
+    parent = F.when(i % 12 == 0, None).when(i % 97 == 0, F.concat(F.lit("gone"), i)).otherwise(F.concat(F.lit("e"), i - 1))
+    return Corpus(spark, sf).events.select(F.concat(F.lit("e"), i).alias("id"), parent.alias("parent_id"), content_hash(F.concat("event_type", i.cast("string"))).alias("content_hash"), F.lit("CHUNK").alias("type"), i.alias("n"))
+
+
+@query(f"with recursive {DEEP}, w(id, h) as (select id, sha256(content_hash) from r where parent_id is null union all select r.id, sha256(r.content_hash || ':' || w.h) from r join w on r.parent_id = w.id) select r.id, w.h as chain_hash from r left join w on r.id = w.id")
+def deep_chain_hashes(spark, sf):
+    return provenance.with_chain_hashes(deep(spark, sf)).select("id", "chain_hash")
+
+
+@query(f"with recursive {DEEP}, w(item, step, up) as (select id, 0, parent_id from r union all select w.item, w.step + 1, r.parent_id from w join r on w.up = r.id) select item as id, max(step)::integer as depth from w group by item")
+def deep_lineage(spark, sf):
+    return provenance.ancestors(deep(spark, sf)).select("id", "depth")
+
+
+@query(f"with {RECORDS}, f as (select * from rec where type = 'CHUNK' and processor = 'Engine 1' and ms >= 10 and chain_depth >= 2) select id, type, (select count(*) from f) as total from f order by ms desc, id limit 20 offset 5")
+def provenance_query(spark, sf):
+    return provenance.find(records(spark, sf), type="CHUNK", processor="Engine 1", least_ms=10, least_depth=2, order="processing_duration_ms", limit=20, offset=5).select("id", "type", "total")
+
+
+@query(f"with {RECORDS} select id, type, chain_depth from rec where root_document_id = 'd7'")
+def provenance_by_root(spark, sf):
+    return provenance.scope(provenance.by_root(records(spark, sf), "d7"), "document", "d7").select("id", "type", "chain_depth")
+
+
+@query(f"with {RECORDS} select c.id, c.parent_id, p.root_document_id || ',' || replace(p.root_document_id, 'd', 'o') as parent_ids, (p.chain_depth + 1)::bigint as chain_depth, 'DOCUMENT,OCR_RESULT,CHUNK' as chain_path, p.root_document_id from rec c join rec p on c.parent_id = p.id where c.type = 'CHUNK'")
+def provenance_created(spark, sf):
+    r = records(spark, sf)
+    parents = r.where("type = 'OCR_RESULT'").select("id", "chain_depth", "root_document_id", F.array("parent_id").alias("parent_ids"))
+    new = r.where("type = 'CHUNK'").select("id", "type", "source_id")
+    return provenance.create(new, parents).select("id", "parent_id", F.array_join("parent_ids", ",").alias("parent_ids"), F.col("chain_depth").cast("long").alias("chain_depth"), F.array_join("chain_path", ",").alias("chain_path"), "root_document_id")
+
+
+@query("select doc_id::varchar as item, 'document' as kind, 'd' || doc_id as provenance_id from documents where doc_id in (select doc_id from labels) union all select vec_id::varchar, 'embedding', 'v' || vec_id from embeddings where vec_id in (select doc_id from labels) union all select doc_id::varchar, null, null from labels where doc_id not in (select doc_id from documents) and doc_id not in (select vec_id from embeddings)")
+def provenance_ids(spark, sf):
+    c = Corpus(spark, sf)
+    docs = c.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), "doc_id").alias("provenance_id"))
+    vectors = c.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), "vec_id").alias("provenance_id"))
+    return provenance.resolve({"document": docs, "embedding": vectors}, c.labels.select(F.col("doc_id").alias("id")))
+
+
+@query(f"with {RECORDS} select type, count(*) as total, count(*) filter (type = 'OCR_RESULT' and ms = 3) as bad_hash, 0::bigint as no_parent, 0::bigint as bad_depth from rec where type in ('DOCUMENT', 'OCR_RESULT') group by type")
+def verify_contents(spark, sf):
+    docs = Corpus(spark, sf).documents
+    text = F.when(F.col("doc_id") % 100 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    owners = {"DOCUMENT": docs.select(F.concat(F.lit("d"), "doc_id").alias("provenance_id"), F.col("source").alias("content")), "OCR_RESULT": docs.select(F.concat(F.lit("o"), "doc_id").alias("provenance_id"), text.alias("content"))}
+    return provenance.verify_records(provenance.contents(records(spark, sf).where("type in ('DOCUMENT', 'OCR_RESULT')"), owners))
+
+
+@query(f"with {RECORDS} select id as item, 'DOCUMENT -> OCR_RESULT -> CHUNK -> EMBEDDING' as summary from rec where type = 'EMBEDDING'")
+def lineage_summary(spark, sf):
+    r = records(spark, sf)
+    return provenance.summary(r, r.where("type = 'EMBEDDING'").select("id"))

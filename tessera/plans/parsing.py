@@ -4,29 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import parse
+from tessera.operators import layout, parse
 from tessera.operators.corpus import Corpus
 from tessera.plans.registry import query
 
-ROWS = r"""r as (select page_id, unnest(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) as tr, generate_subscripts(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1), 1) - 1 as row from pages),
+# Pages with a table of an order's lines, the same text on both sides.
+LINES = """ol as (select l_orderkey as page_id, '<h2>Order ' || l_orderkey || '</h2><table class="t"><tr><th>Part key</th>' || chr(10) || '<th>Quantity</th></tr>' || string_agg('<tr><td> ' || l_partkey || '  <b>x</b></td><td>' || l_quantity::bigint || '</td></tr>', '' order by l_linenumber, l_partkey, l_suppkey, l_quantity) || '</table>' as html,
+    '# Order ' || l_orderkey || chr(10) || chr(10) || '| Part key | Quantity |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_quantity::bigint || ' |', chr(10) order by l_linenumber, l_partkey, l_suppkey, l_quantity) || chr(10) || chr(10) || '## Total' || chr(10) || chr(10) || 'End.' as text,
+    count(*) as n, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_quantity)) as part, arg_min(l_quantity::bigint, (l_linenumber, l_partkey, l_suppkey, l_quantity)) as quantity from lineitem group by l_orderkey)"""
+ROWS = r"""r as (select page_id, unnest(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) as tr, generate_subscripts(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1), 1) - 1 as row from ol),
   c as (select page_id, row, unnest(regexp_extract_all(tr, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1)) as td, generate_subscripts(regexp_extract_all(tr, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), 1) - 1 as col from r),
   t as (select page_id, row::integer as row, col::integer as col, trim(regexp_replace(regexp_replace(td, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as cell from c)"""
 
 
+def order_pages(spark, sf):
+    """page_id, html, text (markdown) and tree (JSON) of each order."""
+    part, amount = F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.concat(F.lit("<tr><td> "), part, F.lit("  <b>x</b></td><td>"), amount, F.lit("</td></tr>")).alias("html"), F.concat(F.lit("| "), part, F.lit(" | "), amount, F.lit(" |")).alias("line"))
+    own = Corpus(spark, sf).lineitem.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(item)).alias("lines"))
+    joined = lambda name, sep: F.array_join(F.transform("lines", lambda x: x[name]), sep)
+    key = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<h2>Order "), key, F.lit('</h2><table class="t"><tr><th>Part key</th>\n<th>Quantity</th></tr>'), joined("html", ""), F.lit("</table>"))
+    text = F.concat(F.lit("# Order "), key, F.lit("\n\n| Part key | Quantity |\n|---|---|\n"), joined("line", "\n"), F.lit("\n\n## Total\n\nEnd."))
+    table = F.struct(F.lit("Table").alias("block_type"), F.regexp_replace(html, "^<h2>.*?</h2>", "").alias("html"), F.lit(None).cast("string").alias("text"))
+    caption = F.struct(F.lit("Text").alias("block_type"), F.lit(None).cast("string").alias("html"), F.concat(F.lit("Table 1: order "), key).alias("text"))
+    tree = F.to_json(F.array(F.struct(F.lit("Page").alias("block_type"), F.array(caption, table).alias("children"))))
+    return own.select("page_id", html.alias("html"), text.alias("text"), tree.alias("tree"))
+
+
 def cells(spark, sf):
-    return parse.html_cells(Corpus(spark, sf).pages, "page_id", "html")
+    return parse.html_cells(order_pages(spark, sf), "page_id", "html")
 
 
-@query(f"with {ROWS} select page_id, row, col, cell from t")
+@query(f"with {LINES}, {ROWS} select page_id, row, col, cell from t")
 def html_tables(spark, sf):
     return cells(spark, sf)
 
 
-@query(f"with {ROWS} select page_id, row, string_agg(cell, ' | ' order by col) as line, count(*) as n_cells from t group by page_id, row")
+@query(f"with {LINES}, {ROWS} select page_id, row, string_agg(cell, ' | ' order by col) as line, count(*) as n_cells from t group by page_id, row")
 def table_grid(spark, sf):
     return parse.table_grid(cells(spark, sf), "page_id")
 
 
+@query(f"with {LINES}, {ROWS} select page_id, 0::integer as table_index, 1::integer as page, null::varchar as caption, row, col, cell as text from t")
+def layout_cells(spark, sf):
+    return layout.table_cells(order_pages(spark, sf), "page_id", "tree")
+
+
+@query(f"""with {LINES}, s as (select page_id, text, n, 'Table 1: order ' || page_id || '. Table with ' || n || ' rows and columns: Part key, Quantity. Sample: ' || part || ', ' || quantity as summary from ol)
+    select page_id, (strpos(text, '| Part') - 1)::integer as start_offset, (strpos(text, '## Total') - 2)::integer as end_offset, 'Part key,Quantity' as headers, n::integer as n_rows, 2::integer as n_columns, 'Table 1: order ' || page_id as caption, summary from s""")
+def table_structures(spark, sf):
+    found = layout.table_structures(order_pages(spark, sf), "page_id", "tree", "text")
+    return found.select("page_id", "start_offset", "end_offset", F.array_join("headers", ",").alias("headers"), "n_rows", "n_columns", "caption", "summary")
+
+
+@query(f"with {LINES} select page_id, (strpos(text, '| Part') - 1)::integer as start_offset, (strpos(text, '## Total') - 2)::integer as end_offset, 'Table' as kind from ol")
+def atomic_regions(spark, sf):
+    return layout.region_table(order_pages(spark, sf), "page_id", "tree", "text").select("page_id", "start_offset", "end_offset", "kind")
+
+
+@query(f"with {LINES} select page_id, unnest([0, 1, 2, 3])::integer as block_index, unnest([null, 'Table', null, null]) as region_kind from ol")
+def blocks_in_regions(spark, sf):
+    """A range join: which blocks of the markdown lie in a region of the tree."""
+    docs = order_pages(spark, sf)
+    own = parse.markdown_blocks(docs, "page_id", "text").select("page_id", "block_index", "start_offset", "end_offset")
+    return layout.inside(own, layout.region_table(docs, "page_id", "tree", "text"), "page_id", "start_offset", "end_offset").select("page_id", "block_index", "region_kind")
+
+
 @query(r"""with h as (select page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) as t from pages) select t as heading, count(*) as n from h group by t""")
 def page_headings(spark, sf):
     own = Corpus(spark, sf).pages.select(F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))).alias("heading"))
@@ -34,11 +78,13 @@ def page_headings(spark, sf):
 
 
 @query(
-    r"""with l as (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents), n as (select source, count(distinct doc_id) as n_pages from l group by source)
+    r"""with l as (select source, doc_id, unnest(string_split('Report of ' || source || chr(10) || text || chr(10) || ' page ' || doc_id % 2, chr(10))) as line from documents), n as (select source, count(distinct doc_id) as n_pages from l group by source)
     select l.source, lower(trim(line)) as line, count(distinct doc_id) as on_pages, n_pages from l join n on l.source = n.source where trim(line) <> '' group by l.source, lower(trim(line)), n_pages having count(distinct doc_id) >= 2 and count(distinct doc_id) > 0.5 * n_pages"""
 )
 def repeated_lines(spark, sf):
-    lines = Corpus(spark, sf).documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    """Pages with a header and a footer line beside their own lines."""
+    page = F.concat(F.lit("Report of "), "source", F.lit("\n"), "text", F.lit("\n page "), (F.col("doc_id") % 2).cast("string"))
+    lines = Corpus(spark, sf).documents.select("source", "doc_id", F.explode(F.split(page, "\n")).alias("line"))
     return parse.repeated_lines(lines, "source", "doc_id", "line")
 
 
@@ -63,14 +109,29 @@ def chunk_documents(spark, sf):
     return chunk_table(spark, sf).withColumn("content_types", F.array_join("content_types", ","))
 
 
-@query(None)
+@query(f"with {LINES} select page_id, unnest(['Order ' || page_id, 'Order ' || page_id || ' > Total']) as section, unnest([1, 2])::integer as depth, unnest([2, 1])::bigint as n_chunks from ol")
 def section_tree(spark, sf):
-    return parse.section_tree(chunk_table(spark, sf), "doc_id")
+    """Sections of the order pages; each chunk is small, so the parts of a page are chunked singly."""
+    blocks = parse.markdown_blocks(order_pages(spark, sf), "page_id", "text").where("kind in ('table', 'paragraph')")
+    return parse.section_tree(blocks.withColumnRenamed("block_index", "chunk_index"), "page_id").select("page_id", "section", "depth", "n_chunks")
 
 
-@query(None)
+@query(f"with {LINES} select page_id, unnest([1, 2])::bigint as n, unnest(['Order ' || page_id, 'Total']) as heading, unnest([1, 2])::integer as level from ol")
 def outline(spark, sf):
-    return parse.outline(parse.markdown_blocks(Corpus(spark, sf).documents, "doc_id", "text"), "doc_id")
+    return parse.outline(parse.markdown_blocks(order_pages(spark, sf), "page_id", "text"), "page_id")
+
+
+@query("select kind, item, text, has_previous, has_next from (select 'chunk' as kind, turn::integer as item, text, (select min(turn) from conversations where conv_id = 3) < 1 as has_previous, (select max(turn) from conversations where conv_id = 3) > 1 as has_next from conversations where conv_id = 3 and turn = 1)")
+def document_page(spark, sf):
+    turns = Corpus(spark, sf).conversations.select("conv_id", F.col("turn").cast("int").alias("page_number"), F.col("turn").cast("int").alias("chunk_index"), "text")
+    return layout.page_view(turns, "conv_id", 3, 1)
+
+
+@query("select doc_id, case when lang = 'en' then '[Section: ' || source || '] ' when lang = 'fr' then '[Heading: ' || lang || '] ' else '' end || case when doc_id % 3 = 0 then '[Table] ' else '' end || case when doc_id % 3 = 1 then '[Code] ' else '' end as prefix from documents")
+def section_prefixes(spark, sf):
+    kinds = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("table"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("text"), F.lit("code")))
+    section, heading = F.when(F.col("lang") == "en", F.col("source")), F.when(F.col("lang").isin("en", "fr"), F.col("lang"))
+    return Corpus(spark, sf).documents.select("doc_id", layout.section_prefix(section, heading, kinds).alias("prefix"))
 
 
 @query("""select vec_id, coalesce(vec_id - lag(vec_id) over w <= 1 and label = lag(label) over w, false) as continues from embeddings window w as (order by vec_id)""")

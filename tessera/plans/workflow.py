@@ -66,14 +66,52 @@ def workflow_latest(spark, sf):
     return workflow.queue(states(spark, sf), "user_id", "ts", "event_id").select("user_id", "event_id", "state")
 
 
-ALLOWED = "(previous is null and state = 'draft') or (previous = 'draft' and state = 'submitted') or (previous = 'submitted' and state = 'in_review') or (previous = 'in_review' and state in ('approved', 'rejected', 'changes_requested'))"
+ALLOWED = "(now is null and state = 'draft') or (now = 'draft' and state = 'submitted') or (now = 'submitted' and state = 'in_review') or (now = 'in_review' and state in ('approved', 'rejected', 'changes_requested')) or (now = 'rejected' and state = 'archived')"
 
 
-@query(f"with s as (select event_id, user_id, {STATES} as state, lag({STATES}) over (partition by user_id order by ts, event_id) as previous from events) select event_id, state, previous, {ALLOWED} as valid from (select event_id, state, previous from s)".replace(f"{ALLOWED} as valid", f"coalesce({ALLOWED}, false) as valid"))
+@query(
+    f"""with recursive n as (select event_id, user_id, {STATES} as state, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    w(user_id, i, event_id, state, previous, valid, now) as (
+      select user_id, i, event_id, state, null::varchar, state = 'draft', case when state = 'draft' then state end from n where i = 1
+      union all select user_id, i, event_id, state, now, ok, case when ok then state else now end from (select n.*, w.now, coalesce({ALLOWED.replace("state", "n.state").replace("now", "w.now")}, false) as ok from w join n on n.user_id = w.user_id and n.i = w.i + 1))
+    select event_id, state, previous, valid from w"""
+)
 def workflow_transitions(spark, sf):
     return workflow.transitions(states(spark, sf), "user_id", "state", "ts", "event_id").select("event_id", "state", "previous", "valid")
 
 
+@query(
+    f"""with l as (select user_id, event_id, ts, case when value > 50 then 'fulfilled' when value > 20 then 'active' else 'waived' end as status, event_type as reason from events),
+    s as (select *, lag(status) over (partition by user_id order by ts, event_id) as before, row_number() over (partition by user_id order by ts, event_id) as i from l)
+    select user_id, arg_max(status, i) as status, arg_max(reason, i) as reason, count(before) as changes, string_agg(before || '>' || status || ':' || reason, ',' order by i) as steps from s group by user_id"""
+)
+def obligation_history(spark, sf):
+    log = Corpus(spark, sf).events.withColumn("status", F.when(F.col("value") > 50, "fulfilled").when(F.col("value") > 20, "active").otherwise("waived")).withColumnRenamed("event_type", "reason")
+    out = workflow.status_history(log, "user_id", "ts", "event_id")
+    steps = F.from_json("history", "array<struct<`from`:string,`to`:string,reason:string>>")
+    text = F.array_join(F.transform(steps, lambda x: F.concat(x["from"], F.lit(">"), x["to"], F.lit(":"), x["reason"])), ",")
+    return out.select("user_id", "status", "reason", F.size(steps).cast("long").alias("changes"), F.when(F.size(steps) > 0, text).alias("steps"))
+
+
+@query("select user_id as entity_id, arg_max(event_type, (ts, event_type)) as state, max(ts) as since from events where event_type <> 'error' group by user_id")
+def tag_workflow(spark, sf):
+    tag = F.concat(F.when(F.col("event_type") == "error", "other:").otherwise("workflow:"), F.col("event_type"))
+    links = Corpus(spark, sf).events.select(tag.alias("tag"), F.col("user_id").alias("entity_id"), F.lit("document").alias("entity_type"), F.col("ts").alias("created_at"))
+    return workflow.tag_workflow(links).withColumn("since", F.col("since").cast("timestamp"))
+
+
+@query("select distinct event_type as tag, user_id as entity_id, 'document' as entity_type from events")
+def tags_applied(spark, sf):
+    links = Corpus(spark, sf).events.select(F.col("event_type").alias("tag"), F.col("user_id").alias("entity_id"), F.lit("document").alias("entity_type"))
+    return workflow.apply_tags(links, links.where("tag = 'click'"))
+
+
+@query("""with t as (select conv_id, turn, text, instr(lower(text), 'of the') as p from conversations) select conv_id, turn, case when p > 101 then '...' else '' end || trim(substr(text, greatest(1, p - 100)::bigint, (least(length(text) + 1, p + 106) - greatest(1, p - 100))::bigint)) || case when p + 106 <= length(text) then '...' else '' end as context from t where p > 0""")
+def clause_contexts(spark, sf):
+    own = Corpus(spark, sf).conversations.select("conv_id", "turn", workflow.clause_context(F.col("text"), F.lit("OF the")).alias("context"))
+    return own.where("context is not null")
+
+
 STEPS = """st as (select o_orderkey as document_id, o_custkey % 3 as chain_id, l_linenumber * 100000000000000::bigint + l_partkey * 10000000 + l_suppkey as step_order, case when l_returnflag = 'R' then 'rejected' when l_returnflag = 'A' then 'approved' else 'pending' end as s from orders join lineitem on o_orderkey = l_orderkey),
   ft as (select *, case when coalesce(bool_or(s = 'rejected') over (partition by document_id, chain_id order by step_order rows between unbounded preceding and 1 preceding), false) then 'skipped' else s end as status from st)"""
 
