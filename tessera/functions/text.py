@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -141,11 +143,17 @@ def stemmed_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [one(w) for w in re.findall(r"[^\W_]+", (t or "").lower())])
 
 
-def parse_query(query: str) -> list[list[tuple[str, list[str]]]]:
+def stem_word(word: str) -> str:
+    """What the index keeps of one word."""
+    return Porter.stem(fold(word.lower()))
+
+
+def parse_query(query: str, word: Callable[[str], str] = str.lower) -> list[list[tuple[str, list[str]]]]:
     """A boolean query as OR of ANDs: a list of alternatives, each a list of (sign, tokens); sign is '' or 'NOT', several tokens are a phrase.
 
     Operators at the ends or repeated are dropped, words side by side mean AND,
-    a hyphen separates words. A query without words is an error.
+    a hyphen separates words, `word` gives the form that tokens have. A query
+    without words is an error.
     """
     parts = re.findall(r'"[^"]*"|\S+', query)
     items: list[str | tuple[str, ...]] = []
@@ -155,9 +163,9 @@ def parse_query(query: str) -> list[list[tuple[str, list[str]]]]:
         else:
             own = re.findall(r"[^\W_]+", p.lower())
             if p.startswith('"'):
-                items += [tuple(own)] if own else []
+                items += [tuple(map(word, own))] if own else []
             else:
-                items += [(w,) for w in own]
+                items += [(word(w),) for w in own]
     out: list[list[tuple[str, list[str]]]] = [[]]
     sign = ""
     pending_or = False
@@ -203,18 +211,26 @@ def matches(parsed: list[list[tuple[str, list[str]]]], own: Column) -> Column:
 
 
 def snippet(terms: list[str], size: int = 32, before: str = "<mark>", after: str = "</mark>"):
-    """A pandas UDF: the window of `size` tokens with most hits, hits marked, cut ends shown as '...'."""
-    wanted = set(terms)
+    """A pandas UDF: the first window of `size` tokens with most hits (words with the stem of a term), hits marked, cut ends shown as '...'."""
+    wanted = set(map(stem_word, terms))
 
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:
+        seen: dict[str, bool] = {}
+
+        def hits(w: str) -> bool:
+            if w not in seen:
+                seen[w] = stem_word(w) in wanted
+            return seen[w]
+
         def one(t: str | None) -> str:
             found = list(re.finditer(r"[^\W_]+", t or ""))
-            hit = [m.group().lower() in wanted for m in found]
-            best = max(range(max(1, len(found) - size + 1)), key=lambda i: (sum(hit[i : i + size]), -i)) if found else 0
-            last = min(best + size, len(found))
             if not found:
                 return ""
+            hit = [hits(m.group()) for m in found]
+            total = [0, *accumulate(hit)]
+            best = max(range(max(1, len(found) - size + 1)), key=lambda i: (total[min(i + size, len(hit))] - total[i], -i))
+            last = min(best + size, len(found))
             out, at = ["..." if best else ""], found[best].start() if best else 0
             for m, h in zip(found[best:last], hit[best:last], strict=True):
                 out += [t[at : m.start()], f"{before}{m.group()}{after}" if h else m.group()]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import quality_multiplier
-from tessera.functions.text import matches, parse_query, query_terms, tokens
+from tessera.functions.text import matches, parse_query, query_terms, stem_word, stemmed_tokens, tokens
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -19,9 +19,9 @@ SEMANTIC = (r"(?i)\b(about|regarding|related to|similar to|like|concerning)\b",
 TABLE = (r"(?i)\b(table|tables|tabular)\b", r"(?i)\b(column|columns|row|rows|cell|cells)\b", r"(?i)\b(spreadsheet|grid|matrix)\b", r"(?i)\b(header|headers)\s+(of|in|from)\b")
 
 
-def analyzed(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
-    """key and the tokens of its text: what the index keeps. Write it once, bucketed by key, for repeated searches."""
-    return docs.select(key, tokens(text).alias("tokens"))
+def analyzed(docs: DataFrame, key: str, text: str | Column, stem: bool = True) -> DataFrame:
+    """key and the tokens of its text: folded and stemmed, or (stem=False) as they are. For repeated searches write an `index.Index` instead."""
+    return docs.select(key, (stemmed_tokens(text if isinstance(text, Column) else F.col(text)) if stem else tokens(text)).alias("tokens"))
 
 
 def postings(analyzed_docs: DataFrame, key: str) -> DataFrame:
@@ -35,22 +35,35 @@ def occurrences(own: str, word: str) -> Column:
     return F.size(F.filter(own, lambda t: t == F.lit(word)))
 
 
-def bm25(analyzed_docs: DataFrame, key: str, query: str, phrase: bool = False) -> DataFrame:
-    """key, score of each row that satisfies the query. Corpus statistics are one row (a scalar subquery); rows are scored where they lie."""
-    parsed = [[("", query.lower().split())]] if phrase else parse_query(query)
+def idf_of(n: Column, df: Column) -> Column:
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
+
+
+def term_score(tf: Column, doc_len: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean))
+
+
+def bm25(analyzed_docs: DataFrame, key: str, query: str, phrase: bool = False, stem: bool = True) -> DataFrame:
+    """key, score of each row that satisfies the query. Corpus statistics are one row (a scalar subquery); rows are scored where they lie. stem: as the rows were analyzed."""
+    word = stem_word if stem else str.lower
+    parsed = [[("", [word(w) for w in query.split()])]] if phrase else parse_query(query, word)
     terms = query_terms(parsed)
     counted = analyzed_docs.select("*", F.size("tokens").alias("doc_len"), *[occurrences("tokens", w).alias(f"tf_{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("doc_len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])).toDF("s").scalar()
     found = counted.where(matches(parsed, F.col("tokens"))).withColumn("s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf_{i}"), F.col(f"s.df_{i}")
-        idf = F.ln((F.col("s.n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("s.mean")))
+        score = score + idf_of(F.col("s.n"), F.col(f"s.df_{i}")) * term_score(F.col(f"tf_{i}"), F.col("doc_len"), F.col("s.mean"))
     return found.select(key, score.alias("score"))
 
 
+def weighted(scored: DataFrame, key: str, quality: DataFrame | None) -> DataFrame:
+    if quality is None:
+        return scored
+    return scored.join(quality, key, "left").select(key, (F.col("score") * quality_multiplier(F.col("quality"))).alias("score"))
+
+
 def ranked(scored: DataFrame, key: str, score: str, limit: int) -> DataFrame:
     """The best rows (ties by key) with their rank: a top-k, then ranks over those k."""
     best = scored.orderBy(F.desc(score), F.asc(key)).limit(limit)
@@ -59,10 +72,7 @@ def ranked(scored: DataFrame, key: str, score: str, limit: int) -> DataFrame:
 
 def search(docs: DataFrame, key: str, text: str | Column, query: str, limit: int = 20, quality: DataFrame | None = None, phrase: bool = False) -> DataFrame:
     """key, score, rank. quality: (key, quality) with a score of 0 to 5, weighting results before they are ranked."""
-    scored = bm25(analyzed(docs, key, text), key, query, phrase)
-    if quality is not None:
-        scored = scored.join(quality, key, "left").select(key, (F.col("score") * quality_multiplier(F.col("quality"))).alias("score"))
-    return ranked(scored, key, "score", limit)
+    return ranked(weighted(bm25(analyzed(docs, key, text), key, query, phrase), key, quality), key, "score", limit)
 
 
 def metadata_filter(docs: DataFrame, **contains: str) -> DataFrame:
@@ -144,6 +154,18 @@ def expand_query(query: str, synonyms: dict[str, list[str]], corpus: dict[str, l
     return " OR ".join(list(dict.fromkeys(w for w in clean if w and w not in ("AND", "OR", "NOT")))[:limit])
 
 
+def explain_expansion(query: str, synonyms: dict[str, list[str]], corpus: dict[str, list[str]] | None = None, columns: list[str] | None = None) -> dict[str, object]:
+    """What an expansion is made of: the words, what each source adds, and the query that comes out."""
+    words = query.lower().split()
+    return {
+        "original": query,
+        "synonyms": {w: synonyms[w] for w in words if synonyms.get(w)},
+        "corpus_terms": {w: (corpus or {})[w][:3] for w in words if (corpus or {}).get(w)},
+        "table_columns": [c for c in columns or [] if any(w in c.lower() or c.lower() in w for w in words)][:5],
+        "expanded": expand_query(query, synonyms, corpus, columns),
+    }
+
+
 def cluster_terms(clusters: DataFrame, words: list[str], least: float = 0.3, per_word: int = 3) -> DataFrame:
     """word, terms: other top terms of coherent clusters that hold the word. clusters: (coherence, top_terms)."""
     each = clusters.where(F.col("coherence") > least).select("top_terms", F.explode(F.array(*map(F.lit, words))).alias("word")).where("array_contains(top_terms, word)")

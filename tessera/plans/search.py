@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import posixpath
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import query_terms, parse_query, snippet, stemmed_tokens
-from tessera.operators import fusion, search
+from tessera.functions.scalar import quality_multiplier
+from tessera.functions.text import parse_query, query_terms, snippet
+from tessera.operators import engine, fusion, search
 from tessera.operators.corpus import Corpus
+from tessera.operators.index import Index
+from tessera.operators.iterate import cut
 from tessera.plans.registry import query
 
-TOK = r"regexp_extract_all(lower(coalesce({t},'')), '[\p{{L}}\p{{N}}]+')"
+TOK = r"list_transform(regexp_extract_all(lower(coalesce({t},'')), '[\p{{L}}\p{{N}}]+'), lambda x: strip_accents(x))"
+INDEXES: dict[tuple[str, str], Index] = {}
 QUALITY = "0.8 + 0.04 * greatest(0.0, least(5.0, q.quality))"
 
 
 def bm25_sql(terms: list[str], where: str, table: str = "documents", key: str = "doc_id", text: str = "text", name: str = "r") -> str:
     """CTEs ending in `name`(key, score)."""
-    tfs = ", ".join(f"len(list_filter(tk, lambda x: x = '{w}')) as tf{i}" for i, w in enumerate(terms))
+    tfs = ", ".join(f"len(list_filter(tk, lambda x: x in ({forms(w)}))) as tf{i}" for i, w in enumerate(terms))
     dfs = ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(len(terms)))
     idf = lambda i: f"(case when ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 then 1e-6 else ln((n - df{i} + 0.5) / (df{i} + 0.5)) end)"
     score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / mean))" for i in range(len(terms)))
@@ -26,8 +34,28 @@ def bm25_sql(terms: list[str], where: str, table: str = "documents", key: str =
       {name} as (select {key}, 0.0::double + {score} as score from {name}_c, {name}_s where {where})"""
 
 
+# Words of the tables that have the stem of a query's word (found by stemming all of them), without accents.
+FORMS = {"the": "thes", "of": "ofed ofes", "un": "une", "de": "des", "la": "las", "en": "ened enes ening ene", "and": "andes anding"}
+
+
+def forms(word: str) -> str:
+    return ", ".join(f"'{w}'" for w in [word, *FORMS.get(word, "").split()])
+
+
 def has(*words: str, any_of: bool = False) -> str:
-    return "(" + (" or " if any_of else " and ").join(f"list_contains(tk, '{w}')" for w in words) + ")"
+    return "(" + (" or " if any_of else " and ").join(f"list_has_any(tk, [{forms(w)}])" for w in words) + ")"
+
+
+def shared_index(spark, sf) -> Index:
+    """The index of the documents of a folder, built once a session beside the checkpoints; searches read it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in INDEXES:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            cut(spark.range(1))  # sets the folder
+        path = f"{context.getCheckpointDir()}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+        INDEXES[at] = Index.build(Corpus(spark, sf).documents, "doc_id", "text", path)
+    return INDEXES[at]
 
 
 def quality(spark, sf):
@@ -43,25 +71,23 @@ QUALITY_CTE = "q as (select doc_id, max(quality) * 5.0 as quality from labels gr
     select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from w order by score desc, doc_id limit 20"""
 )
 def bm25_search(spark, sf):
-    c = Corpus(spark, sf)
-    return search.search(c.documents, "doc_id", "text", "the OR and OR with", 20, quality(spark, sf)).withColumn("score", F.round("score", 6))
+    return shared_index(spark, sf).search("the OR and OR with", 20, quality=quality(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(
-    f"""with {bm25_sql(["and", "the", "un"], "(" + has("the", "and") + " and not list_contains(tk, 'of')) or list_contains(tk, 'un')")}
+    f"""with {bm25_sql(["and", "the", "un"], "(" + has("the", "and") + " and not " + has("of") + ") or " + has("un"))}
     select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 25"""
 )
 def bm25_boolean(spark, sf):
-    c = Corpus(spark, sf)
-    return search.search(c.documents, "doc_id", "text", "the and-ignored AND NOT of OR un".replace("and-ignored", "AND and"), 25).withColumn("score", F.round("score", 6))
+    return shared_index(spark, sf).search("the AND and AND NOT of OR un", 25).withColumn("score", F.round("score", 6))
 
 
 @query(
-    f"""with {bm25_sql(["de", "la"], "contains(' ' || array_to_string(tk, ' ') || ' ', ' de la ')")}
+    f"""with {bm25_sql(["de", "la"], "regexp_matches(' ' || array_to_string(tk, ' ') || ' ', ' (de|des) (la|las) ')")}
     select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 15"""
 )
 def bm25_phrase(spark, sf):
-    return search.search(Corpus(spark, sf).documents, "doc_id", "text", "de la", 15, phrase=True).withColumn("score", F.round("score", 6))
+    return shared_index(spark, sf).search("de la", 15, phrase=True).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -86,10 +112,17 @@ def metadata_search(spark, sf):
 
 @query(r"""select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}]+')) as term from documents) group by all) group by term""")
 def term_statistics(spark, sf):
-    p = search.postings(search.analyzed(Corpus(spark, sf).documents, "doc_id", "text"), "doc_id")
+    p = search.postings(search.analyzed(Corpus(spark, sf).documents, "doc_id", "text", stem=False), "doc_id")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query(r"""select count(*) as tokens, count(distinct doc_id) as documents from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}]+')) as term from documents)""")
+def index_build(spark, sf):
+    """A new index, by how many tokens and documents its postings have."""
+    path = f"{posixpath.dirname(shared_index(spark, sf).path)}/index-{uuid.uuid4().hex}"
+    return Index.build(Corpus(spark, sf).documents, "doc_id", "text", path).postings().agg(F.sum("tf").alias("tokens"), F.count_distinct("key").alias("documents"))
+
+
 @query("""select (select count(*) from documents) as n_rows, (select count(distinct doc_id) from documents where lang = 'en') as n_indexed, true as stale""")
 def fts_status(spark, sf):
     docs = Corpus(spark, sf).documents
@@ -133,7 +166,7 @@ def corpus_overlap(spark, sf):
 
 def two_lists(spark, sf):
     docs = Corpus(spark, sf).documents
-    a = search.search(docs, "doc_id", "text", "the OR of", 40)
+    a = shared_index(spark, sf).search("the OR of", 40)
     b = docs.select("doc_id", F.col("n_chars").cast("double").alias("score"))
     return a, search.ranked(b, "doc_id", "score", 40)
 
@@ -192,7 +225,7 @@ def group_by_document(spark, sf):
     return fusion.grouped(Corpus(spark, sf).documents.where("lang = 'fr'").withColumn("rank", F.col("doc_id")), "source", "doc_id", "rank")
 
 
-HITS = "k as (select conv_id, turn from conversations where contains(lower(text), 'the') and conv_id % 3 = 0)"
+HITS = "k as (select conv_id, turn from conversations where contains(lower(text), 'the'))"
 
 
 @query(f"""with {HITS} select distinct c.conv_id, c.turn, c.role, substring(c.text, 1, 500) as text from conversations c join k on c.conv_id = k.conv_id and abs(c.turn - k.turn) <= 1 where (c.conv_id, c.turn) not in (select (conv_id, turn) from k)""")
@@ -205,7 +238,7 @@ def context_neighbours(spark, sf):
 @query(f"""with {TWO}, t as (select a.text_rank as rank, a.doc_id, d.text from a join documents d on a.doc_id = d.doc_id where text_rank <= 5) select substring(string_agg('### Source ' || rank || ' (document ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) order by rank), 1, 4000) as context, count(*) as n_sources from t""")
 def rag_context(spark, sf):
     docs = Corpus(spark, sf).documents
-    hits = search.search(docs, "doc_id", "text", "the OR of", 5).join(docs.select("doc_id", "text"), "doc_id")
+    hits = shared_index(spark, sf).search("the OR of", 5).join(docs.select("doc_id", "text"), "doc_id")
     return fusion.context(hits, "rank", "doc_id", "text", 4000)
 
 
@@ -216,11 +249,56 @@ def overlap_suppression(spark, sf):
     return fusion.without_overlaps(hits.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("rank", "turn"))), "conv_id", "start", "end", "rank").select("conv_id", "turn")
 
 
-@query(None)
+@query(
+    f"""with {bm25_sql(["the", "was", "this"], has("the", "was", "this", any_of=True))}
+    select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 20"""
+)
 def stemmed_search(spark, sf):
-    """Stems and folded letters need Python; scored by the same operator."""
-    docs = Corpus(spark, sf).documents.select("doc_id", stemmed_tokens("text").alias("tokens"))
-    return search.ranked(search.bm25(docs, "doc_id", "the OR wa OR thi"), "doc_id", "score", 20).withColumn("score", F.round("score", 6))
+    """The same search without an index: texts are tokenised, folded and stemmed where they lie."""
+    return search.search(Corpus(spark, sf).documents, "doc_id", "text", "Thes OR was OR THIS", 20).withColumn("score", F.round("score", 6))
+
+
+COSINE = "list_cosine_similarity(embedding, (select embedding from embeddings where vec_id = 0))"
+
+
+@query(
+    f"""with {bm25_sql(["of", "the"], has("the", "of", any_of=True))}, a as (select doc_id, row_number() over (order by score desc, doc_id) as n from r qualify n <= 20),
+    b as (select vec_id as doc_id, row_number() over (order by {COSINE} desc, 'chunk:' || vec_id) as n from embeddings qualify n <= 20),
+    f as (select doc_id, sum(p) as s from (select doc_id, 1.0 / (60 + n) as p from a union all select doc_id, 1.0 / (60 + n) from b) group by doc_id),
+    {QUALITY_CTE}, w as (select f.doc_id, d.text, d.source, s * (case when q.quality is null then 0.9 else {QUALITY} end) as score from f join documents d on f.doc_id = d.doc_id left join q on f.doc_id = q.doc_id),
+    u as (select *, row_number() over (partition by text order by score desc, 'chunk:' || doc_id) as c from w), v as (select *, row_number() over (partition by source order by score desc, 'chunk:' || doc_id) as k from u where c = 1)
+    select doc_id as item, round(score, 8) as rrf_score, row_number() over (order by score desc, 'chunk:' || doc_id) as rank from v where k <= 3 order by score desc, 'chunk:' || doc_id limit 10"""
+)
+def unified_search(spark, sf):
+    """Text and vectors fused by typed keys, weighted by quality, without copies, three to a source."""
+    c = Corpus(spark, sf)
+    chunks = c.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("document"), "text")
+    vectors = c.embeddings.select(F.lit("chunk").alias("kind"), F.col("vec_id").alias("item"), "embedding")
+    own = engine.Engine({"chunk": engine.Kind(shared_index(spark, sf), chunks)}, vectors)
+    first = F.array(*map(F.lit, c.embeddings.where("vec_id = 0").first().embedding))
+    hits = own.text("the OR of", 20), own.nearest(first, 20, 0.0)
+    fused = engine.fuse([(h, 1.0) for h in hits], "dedup_key").withColumn("item", F.split_part("dedup_key", F.lit(":"), F.lit(2)).cast("long"))
+    found = fused.join(chunks, "item").join(quality(spark, sf).withColumnRenamed("doc_id", "item"), "item", "left").withColumn("score", F.col("score") * quality_multiplier(F.col("quality")))
+    order = F.struct(F.negative("score").alias("s"), "dedup_key")
+    kept = fusion.first_by_hash(found.withColumn("h", F.sha2("text", 256)).withColumn("o", order), "h", "o")
+    best = search.ranked(fusion.diverse(kept, "document", "o", 3), "dedup_key", "score", 10)
+    return engine.compact(best.withColumn("kind", F.lit("chunk")), "hybrid").select("item", F.round("rrf_score", 8).alias("rrf_score"), "rank")
+
+
+@query(None)
+def engine_search(spark, sf):
+    """The same in one call, over two kinds of items with expansion and header lines; tested against plain code."""
+    return engine.compact(two_kinds(spark, sf).search("the of", limit=15, per_document=5), "hybrid").drop("text")
+
+
+def two_kinds(spark, sf):
+    c = Corpus(spark, sf)
+    shared = shared_index(spark, sf)
+    path = f"{posixpath.dirname(shared.path)}/index-{hashlib.sha256(f'images {sf}'.encode()).hexdigest()[:16]}"
+    pictures = Index.build(c.benchmark, "item_id", "text", path)
+    chunks = c.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("document"), "text")
+    images = c.benchmark.select(F.col("item_id").alias("item"), F.lit("benchmark").alias("document"), "text")
+    return engine.Engine({"chunk": engine.Kind(shared, chunks), "image": engine.Kind(pictures, images)}, synonyms={"of": ["with"]})
 
 
 @query(None)
