@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,35 +22,100 @@ def versions(docs: DataFrame, path: str, *order: str) -> DataFrame:
     return docs.withColumn("version", F.row_number().over(own).cast("long")).withColumn("is_latest", F.row_number().over(Window.partitionBy(path).orderBy(*[F.desc(c) for c in order])) == 1)
 
 
-def edit_script(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs (i, j) of equal elements of a longest common subsequence, by the greedy O(ND) search for a shortest edit script."""
+def middle(a: list, b: list) -> tuple[int, int, int, int]:
+    """Where the two halves of a shortest edit script meet: the run of equal elements from (x, y) to (u, v). Searched from both ends, so only two frontiers are held."""
     n, m = len(a), len(b)
-    front, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(front))
-        for k in range(-d, d + 1, 2):
-            x = front[k + 1] if k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1)) else front[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            front[k] = x
-            if x >= n and y >= m:
-                return _back(trace, n, m)
-    return []
-
-
-def _back(trace: list[dict], x: int, y: int) -> list[tuple[int, int]]:
-    out = []
-    for d in range(len(trace) - 1, -1, -1):
-        front, k = trace[d], x - y
-        before = k + 1 if k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1)) else k - 1
-        px = front.get(before, 0) if d else 0
-        py = px - before if d else 0
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            out.append((x, y))
-        x, y = px, py
-    return out[::-1]
+    delta, ahead, back = n - m, {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for own, other, sign in ((ahead, back, 1), (back, ahead, -1)):
+            for k in range(-d, d + 1, 2):
+                x = own[k + 1] if k == -d or (k != d and own[k - 1] < own[k + 1]) else own[k - 1] + 1
+                y = x - k
+                u, v = x, y
+                while u < n and v < m and (a[u] == b[v] if sign > 0 else a[n - 1 - u] == b[m - 1 - v]):
+                    u, v = u + 1, v + 1
+                own[k] = u
+                meets = (delta & 1) == (sign > 0) and abs(delta - k) <= d - (sign > 0) and u + other.get(delta - k, -1) >= n
+                if meets:
+                    return (x, y, u, v) if sign > 0 else (n - u, m - v, n - x, m - y)
+    raise AssertionError("two lists always meet")
+
+
+def edit_script(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs (i, j) of equal elements of a longest common subsequence, by divide and conquer: memory is linear in the lists."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, p, j, q = todo.pop()
+        while i < p and j < q and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < p and j < q and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+            out.append((p, q))
+        if i < p and j < q:
+            x, y, u, v = middle(a[i:p], b[j:q])
+            out += [(i + x + t, j + y + t) for t in range(u - x)]
+            todo += [(i, i + x, j, j + y), (i + u, p, j + v, q)]
+    return sorted(out)
+
+
+def operations(a: str, b: str) -> list[tuple[str, str, int, int, int]]:
+    """The line diff of two texts: (equal, delete or insert; text; place in each; lines), runs joined."""
+    x, y = a.splitlines(keepends=True), b.splitlines(keepends=True)
+    steps: list[tuple[str, str]] = []
+    i = j = 0
+    for p, q in [*edit_script(x, y), (len(x), len(y))]:
+        steps += [("delete", t) for t in x[i:p]] + [("insert", t) for t in y[j:q]] + [("equal", t) for t in x[p : p + 1]]
+        i, j = p + 1, q + 1
+    out: list[tuple[str, str, int, int, int]] = []
+    at = [0, 0]
+    for kind, run in groupby(steps, key=lambda s: s[0]):
+        texts = [t for _, t in run]
+        whole = "".join(texts)
+        out.append((kind, whole, *at, len(texts)))
+        at = [at[0] + len(whole) * (kind != "insert"), at[1] + len(whole) * (kind != "delete")]
+    return out
+
+
+def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, most: int = 1000) -> DataFrame:
+    """pairs (a, b) with operations (the first `most`), how many there are of each kind, and similarity: both texts meet in one row, whoever asks for which pairs."""
+
+    def run(parts):
+        for pdf in parts:
+            rows = []
+            for i, j, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+                x, y = x or "", y or ""
+                ops = operations(x, y)
+                n = {k: sum(o[0] == k for o in ops) for k in ("insert", "delete", "equal")}
+                same = sum(len(o[1]) for o in ops if o[0] == "equal")
+                rows.append((i, j, [dict(zip(("kind", "text", "offset_a", "offset_b", "lines"), o, strict=True)) for o in ops[:most]], len(ops), len(ops) > most, n["insert"], n["delete"], n["equal"], round(2 * same / (len(x) + len(y)), 4) if x or y else 1.0))
+            yield pd.DataFrame(rows, columns=["a", "b", "operations", "total_operations", "truncated", "insertions", "deletions", "unchanged", "similarity"])
+
+    own = lambda i, t: docs.select(F.col(key).alias(i), F.col(text).alias(t))
+    kind = docs.schema[key].dataType.simpleString()
+    met = pairs.select("a", "b").join(own("a", "x"), "a").join(own("b", "y"), "b")
+    return met.select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}, operations array<struct<kind:string,text:string,offset_a:int,offset_b:int,lines:int>>, total_operations int, truncated boolean, insertions int, deletions int, unchanged int, similarity double")
+
+
+def cluster_pairs(members: DataFrame, cluster: object, key: str) -> DataFrame:
+    """All pairs (a, b), a < b, of the documents of one cluster: a report on one small group that was asked for."""
+    own = members.where(F.col("cluster") == cluster).select(key).distinct()
+    return own.select(F.col(key).alias("a")).join(own.select(F.col(key).alias("b")), F.col("a") < F.col("b"))
+
+
+def side_by_side(pairs: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """pairs (a, b) with the facts of both documents, as <name>_a and <name>_b."""
+    names = [c for c in facts.columns if c != key]
+    for end in "ab":
+        pairs = pairs.join(facts.select(F.col(key).alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end, "left")
+    return pairs
+
+
+def comparison_summary(name_a: Column, name_b: Column, similarity: Column, insertions: Column, deletions: Column, unchanged: Column, pages_a: Column, pages_b: Column) -> Column:
+    """A comparison in words."""
+    text = F.format_string('Comparison of "%s" vs "%s". Text similarity: %d%%. %d insertions, %d deletions, %d unchanged sections.', name_a, name_b, F.round(100 * similarity).cast("int"), insertions, deletions, unchanged)
+    pages = F.abs(F.coalesce(pages_a, F.lit(0)) - F.coalesce(pages_b, F.lit(0)))
+    return F.concat(text, F.when(pages > 0, F.format_string(" Page count difference: %d pages.", pages)).otherwise(""))
 
 
 def line_ratio(a: str, b: str) -> float:

@@ -51,7 +51,7 @@ def compare(spark, con, sf, f, sql):
         here, there = set(a[1]), set(b[1])
         only = [x for x in a[1] if x not in there][:2], [x for x in b[1] if x not in here][:2]
         return f"{len(a[1])} and {len(b[1])} rows; only here {only[0]}; only there {only[1]}"
-    return f"(same rows) types {odd}" if odd else None
+    return f"types {odd}" if odd else None if a[1] else "no rows"
 
 
 def main():
