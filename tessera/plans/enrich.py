@@ -49,13 +49,16 @@ def cross_document_context(spark, sf):
 
 
 @query(
-    r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where doc_id < 50), b as (select text as rep from documents where doc_id % 50 = 0 union all select 'x of the')
-    select distinct doc_id, line from (select doc_id, line, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(rep), '\s+', ' ', 'g')) as b from l, b) where length(a) > 0 and (a = b or (length(a) <= 1.2 * length(b) and contains(b, a)) or (length(a) <= 1.5 * length(b) and contains(a, b)))"""
+    r"""with l as (select doc_id, source, unnest(string_split('Report of ' || source || chr(10) || text || chr(10) || '  REPORT of ' || source || ' x', chr(10))) as line from documents), n as (select source, count(distinct doc_id) as n from l group by source),
+    k as (select l.source as of, lower(trim(line)) as rep from l join n on l.source = n.source where trim(line) <> '' group by l.source, lower(trim(line)), n having count(distinct doc_id) >= 2 and count(distinct doc_id) > 0.5 * n),
+    t as (select distinct doc_id, source, line, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as a from l), r as (select of, trim(regexp_replace(lower(rep), '\s+', ' ', 'g')) as b from k)
+    select distinct doc_id, line from t join r on source = of where length(a) > 0 and (a = b or (length(a) <= 1.2 * length(b) and contains(b, a)) or (length(a) <= 1.5 * length(b) and contains(a, b)))"""
 )
 def repeated_chunk_match(spark, sf):
-    """Lines of all documents against the repeated lines of their source."""
+    """Lines of all documents, as pages with a header and a footer, against the repeated lines of their source."""
     docs = Corpus(spark, sf).documents
-    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    page = F.concat(F.lit("Report of "), "source", F.lit("\n"), "text", F.lit("\n  REPORT of "), "source", F.lit(" x"))
+    lines = docs.select("doc_id", "source", F.explode(F.split(page, "\n")).alias("line"))
     known = parse.repeated_lines(lines, "source", "doc_id", "line").select(F.col("source").alias("of"), F.col("line").alias("rep"))
     return lines.join(known, F.col("source").eqNullSafe(F.col("of")) & enrich.repeats_line("line", "rep"), "left_semi").select("doc_id", "line").distinct()
 

@@ -61,9 +61,9 @@ def annotations_list(spark, sf):
     return lists.annotations(notes(spark, sf), kind="click", status="open", limit=20).select("id", "document_id", "total")
 
 
-@query(f"with {NOTES} select id from n where contains(lower(props), 'a') and document_id = 3 order by created_at desc, id limit 40")
+@query(f"""with {NOTES} select id from n where contains(lower(props), 'k": 7') and document_id = 3 order by created_at desc, id limit 40""")
 def extractions_search(spark, sf):
-    return lists.extractions(notes(spark, sf).withColumn("extraction_json", F.col("props")), "A", 3, 40).select("id")
+    return lists.extractions(notes(spark, sf).withColumn("extraction_json", F.col("props")), 'K": 7', 3, 40).select("id")
 
 
 @query(f"with {NOTES}, f as (select * from n where contains(lower(props), '1') or contains(status, '1') or contains(annotation_type, '1')) select id, (select count(*) from f) as total from f order by created_at desc, id limit 10 offset 10")

@@ -200,11 +200,21 @@ def corpus_fingerprint(spark, sf):
     return fingerprint(Corpus(spark, sf).documents.withColumn("h", F.sha2("text", 256)), "doc_id", "h")
 
 
-@query("""select doc_id, regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') as slug, trim(regexp_replace(lower(substring(text, 1, 200)), '\\s+', ' ', 'g')) as normalized from documents""")
+@query("""select doc_id, regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') as slug, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as normalized from documents""")
 def text_functions(spark, sf):
     return Corpus(spark, sf).documents.select("doc_id", text.slug("source").alias("slug"), text.normalize_search("text").alias("normalized"))
 
 
+@query(
+    r"""select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as plain, regexp_replace('**' || url || '** and *x*', '\*\*([^*]+)\*\*', '\1', 'g') as bold,
+    regexp_replace(page_id || '  ' || url || chr(10) || page_id || ' y', '(?m)^\d+\s{2,}', '', 'g') as lines, page_id % 2 = 0 as valid from pages"""
+)
+def text_cleaning(spark, sf):
+    key = F.col("page_id").cast("string")
+    own = Corpus(spark, sf).pages.select("page_id", "html", F.concat(F.lit("**"), "url", F.lit("** and *x*")).alias("b"), F.concat(key, F.lit("  "), "url", F.lit("\n"), key, F.lit(" y")).alias("l"), F.concat(F.when(F.col("page_id") % 2 == 0, "sha256:").otherwise("sha1:"), F.sha2(key, 256)).alias("h"))
+    return own.select("page_id", text.strip_html("html").alias("plain"), text.strip_bold("b").alias("bold"), text.strip_line_numbers("l").alias("lines"), text.valid_hash("h").alias("valid"))
+
+
 @query("""select o_orderkey as document_id, count(*) as n, max(l_shipdate)::varchar is not null as has_date from orders join lineitem on o_orderkey = l_orderkey group by 1 order by n desc, 1 limit 20""")
 def bottlenecks(spark, sf):
     c = Corpus(spark, sf)

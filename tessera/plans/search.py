@@ -258,11 +258,11 @@ def stemmed_search(spark, sf):
     return search.search(Corpus(spark, sf).documents, "doc_id", "text", "Thes OR was OR THIS", 20).withColumn("score", F.round("score", 6))
 
 
-COSINE = "list_cosine_similarity(embedding, (select embedding from embeddings where vec_id = 0))"
+COSINE = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
 
 
 @query(
-    f"""with {bm25_sql(["of", "the"], has("the", "of", any_of=True))}, a as (select doc_id, row_number() over (order by score desc, doc_id) as n from r qualify n <= 20),
+    f"""with {bm25_sql(["of", "the"], has("the", "of", any_of=True))}, a as (select doc_id, row_number() over (order by score desc, 'chunk:' || doc_id) as n from (select * from r order by score desc, doc_id limit 20)),
     b as (select vec_id as doc_id, row_number() over (order by {COSINE} desc, 'chunk:' || vec_id) as n from embeddings qualify n <= 20),
     f as (select doc_id, sum(p) as s from (select doc_id, 1.0 / (60 + n) as p from a union all select doc_id, 1.0 / (60 + n) from b) group by doc_id),
     {QUALITY_CTE}, w as (select f.doc_id, d.text, d.source, s * (case when q.quality is null then 0.9 else {QUALITY} end) as score from f join documents d on f.doc_id = d.doc_id left join q on f.doc_id = q.doc_id),

@@ -17,10 +17,10 @@ def now():
 
 
 @query(r"""with p as (select doc_id, unnest(regexp_extract_all(text, '(?i)(?:within|\d+)\s+(?:business\s+)?days')) as v, 'deadlines' as field from documents union all select doc_id, unnest(regexp_extract_all(text, '(?i)(?:force majeure|act of god|unforeseeable circumstances)')), 'force_majeure' from documents union all select doc_id, unnest(regexp_extract_all(text, '(?i)(?:deadline|due date|by|before|no later than)\s*[:.]?\s*([^\n]+)')), 'deadlines' from documents)
- select doc_id, field, count(*) as n, 0.7::double as confidence from p group by doc_id, field""")
+ select doc_id, field, first(trim(regexp_replace(v, '\s+', ' ', 'g')) order by length(trim(regexp_replace(v, '\s+', ' ', 'g'))), trim(regexp_replace(v, '\s+', ' ', 'g')) desc) as value, count(*) as n, 0.7::double as confidence from p group by doc_id, field""")
 def contract_fields(spark, sf):
     found = workflow.contract_fields(Corpus(spark, sf).documents, "doc_id", "text", ["deadlines", "force_majeure"])
-    return workflow.best_fields(found, "doc_id").select("doc_id", "field", "n", "confidence")
+    return workflow.best_fields(found, "doc_id").select("doc_id", "field", "value", "n", "confidence")
 
 
 CLAUSES = [("law", "of the and", "high", ["with the", "der die"]), ("term", "und das", "low", ["que la"]), ("the", "zzz never", "low", [])]
@@ -148,10 +148,10 @@ def tags_any(spark, sf):
     return workflow.tagged(links(spark, sf), own, every=False)
 
 
-@query("with b as (select min(p_brand) as b from part), t as (select min(string_split(p_type, ' ')[1]) as t from part) select p_partkey as entity_id, least(b, t) || ',' || greatest(b, t) as tags, 2::bigint as n from part, b, t where p_brand = b and string_split(p_type, ' ')[1] = t")
+@query("with b as (select arg_min(p_brand, p_partkey) as b from part), t as (select arg_min(string_split(p_type, ' ')[1], p_partkey) as t from part) select p_partkey as entity_id, least(b, t) || ',' || greatest(b, t) as tags, 2::bigint as n from part, b, t where p_brand = b and string_split(p_type, ' ')[1] = t")
 def tags_all(spark, sf):
     p = Corpus(spark, sf).part
-    r = p.agg(F.min("p_brand").alias("b"), F.min(F.element_at(F.split("p_type", " "), 1)).alias("t")).first()
+    r = p.agg(F.min_by("p_brand", "p_partkey").alias("b"), F.min_by(F.element_at(F.split("p_type", " "), 1), "p_partkey").alias("t")).first()
     return workflow.tagged(links(spark, sf), [r.b, r.t], every=True)
 
 
