@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.iterate import bounded
+
+
+#: Centroids of one distance matrix (200 MB).
+CENTRES = 5_000
+
 
 def exact_duplicates(docs: DataFrame, key: str, hashed: Column) -> DataFrame:
     """content_hash, n, ids of groups of two or more."""
@@ -18,8 +24,9 @@ def exact_duplicates(docs: DataFrame, key: str, hashed: Column) -> DataFrame:
 
 
 def versions(docs: DataFrame, path: str, *order: str) -> DataFrame:
+    """docs with `version` and `is_latest` among those of one path: one sort of each path's rows, which a window streams."""
     own = Window.partitionBy(path).orderBy(*order)
-    return docs.withColumn("version", F.row_number().over(own).cast("long")).withColumn("is_latest", F.row_number().over(Window.partitionBy(path).orderBy(*[F.desc(c) for c in order])) == 1)
+    return docs.withColumn("version", F.row_number().over(own).cast("long")).withColumn("is_latest", F.lead(F.lit(1)).over(own).isNull())
 
 
 def middle(a: list, b: list) -> tuple[int, int, int, int]:
@@ -231,7 +238,8 @@ def density_labels(points: np.ndarray, least: int = 3) -> np.ndarray:
 
 
 def cluster_centroids(centroids: DataFrame, key: str, how: str, **options) -> DataFrame:
-    """key, cluster for a bounded set of centroids (one group: the distance matrix needs them together)."""
+    """key, cluster for at most `CENTRES` centroids, which is checked: the distance matrix needs them together. Use `kmeans` for more."""
+    centroids = bounded(centroids.select(key, "centroid"), CENTRES, "centroids")
     kind = centroids.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -59,7 +59,14 @@ def gaps(checks: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     return out
 
 
-def fingerprint(table: DataFrame, key: str, hashed: str) -> DataFrame:
-    """Hash of an ordered list of id:hash, from hashes of ranges, so no list of all rows is gathered in one place."""
-    part = table.groupBy(F.pmod(F.xxhash64(key), F.lit(1024)).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(key).cast("string"), F.lit(":"), F.col(hashed)))), "|"), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "|"), 256).alias("content_hash"))
+def fingerprint(table: DataFrame, key: str, hashed: str, group: int = 1024) -> DataFrame:
+    """One hash of all id:hash pairs: groups of about `group` pairs are sorted and hashed, then groups of those hashes, until one is left. No list is longer than that, whatever the table's size."""
+    parts = max(1, -(-table.count() // group))
+    rows = table.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("p"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col(hashed)).alias("h"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h")
+    while True:
+        rows = rows.groupBy("p").agg(joined)
+        if parts == 1:
+            return rows.select(F.col("h").alias("content_hash"))
+        parts = -(-parts // group)
+        rows = rows.select(F.pmod("p", F.lit(parts)).alias("p"), F.concat(F.col("p").cast("string"), F.lit(":"), "h").alias("h"))

@@ -82,18 +82,18 @@ def page_context(text: str, page: Column, pages: Column, most: int = 1000) -> Co
 def image_decisions(images: DataFrame, least: int = 50) -> DataFrame:
     """images with `decision`: why an image is described or not; the first image of a content hash stands for the others."""
     w, h = F.col("width"), F.col("height")
-    first = F.min("id").over(Window.partitionBy("content_hash"))
+    first = images.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("id").alias("_first"))
     decision = (
         F.when(F.col("is_header_footer"), "header_footer")
         .when(F.col("block_type").isin("Figure", "FigureGroup"), "figure")
-        .when(F.col("content_hash").isNotNull() & (F.col("id") > first), "duplicate")
+        .when(F.col("content_hash").isNotNull() & (F.col("id") > F.col("_first")), "duplicate")
         .when(F.greatest(w, h) < least, "too_small")
         .when(F.greatest(w, h) < 100, "icon")
         .when(F.greatest(w, h) / F.greatest(F.lit(1), F.least(w, h)) > 6, "extreme_aspect")
         .when(~worth_describing(w, h, F.col("colors")), "low_relevance")
         .otherwise("describe")
     )
-    return images.withColumn("decision", decision)
+    return images.join(first, "content_hash", "left").withColumn("decision", decision).select(*images.columns, "decision")
 
 
 def copied_descriptions(images: DataFrame) -> DataFrame:
@@ -122,5 +122,5 @@ def extras(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def allowed(users: DataFrame, scopes: DataFrame, tools: DataFrame) -> DataFrame:
-    """user, tool: what each role may do. scopes: (role, scope); tools: (tool, scope)."""
-    return users.join(F.broadcast(scopes), "role").join(F.broadcast(tools), "scope").select("user_id", "tool")
+    """user, tool: what each role may do. scopes: (role, scope); tools: (tool, scope). The planner sends the small sides to every task if they are small."""
+    return users.join(scopes, "role").join(tools, "scope").select("user_id", "tool")

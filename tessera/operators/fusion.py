@@ -49,7 +49,8 @@ def boost(query: str = "", text: str = "text", level: str = "heading_level", ato
 def length_normalized(hits: DataFrame, chunks: DataFrame, document: str, score: str) -> DataFrame:
     """Scores times clamp(sqrt(median / chunks of the document), 0.7, 1); unchanged if all hits are of one document. The median is the upper one."""
     own = chunks.join(hits.select(document).distinct(), document, "left_semi").groupBy(document).agg(F.count("*").alias("n"))
-    middle = own.agg(F.array_sort(F.collect_list("n")).alias("a")).select(F.struct(F.element_at("a", F.floor(F.size("a") / 2).cast("int") + 1).alias("median"), F.size("a").alias("documents"))).scalar()
+    # the upper of two middle values is the lower one from above
+    middle = own.agg(F.struct(F.expr("percentile_disc(0.5) within group (order by n desc)").alias("median"), F.count("*").alias("documents"))).toDF("m").scalar()
     factor = F.when(F.col("m.documents") <= 1, 1.0).otherwise(F.greatest(F.lit(0.7), F.least(F.lit(1.0), F.sqrt(F.col("m.median") / F.greatest(F.coalesce("n", "m.median"), F.lit(1))))))
     return hits.join(own, document, "left").withColumn("m", middle).withColumn(score, F.col(score) * factor).drop("n", "m")
 
@@ -62,9 +63,10 @@ def proximity(hits: DataFrame, document: str, index: str, score: str, near: int
 
 
 def first_by_hash(hits: DataFrame, content_hash: str, rank: str) -> DataFrame:
-    """The best-ranked hit of each content hash; hits without one stay."""
+    """The best-ranked hit of each content hash; hits without one stay, and take no part in the grouping."""
+    known = hits.where(F.col(content_hash).isNotNull())
     n = F.row_number().over(Window.partitionBy(content_hash).orderBy(rank))
-    return hits.withColumn("_n", n).where((F.col("_n") == 1) | F.col(content_hash).isNull()).drop("_n")
+    return known.withColumn("_n", n).where(F.col("_n") == 1).drop("_n").unionByName(hits.where(F.col(content_hash).isNull()))
 
 
 def diverse(hits: DataFrame, document: str, rank: str, most: int) -> DataFrame:

@@ -20,3 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
             shared = os.path.join(tempfile.gettempdir(), f"checkpoints-{context.applicationId}")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """The rows of a table that must be small, as a local table that joins may send to every task; more than `most` rows are an error, which names them."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return df.sparkSession.createDataFrame(rows, df.schema)

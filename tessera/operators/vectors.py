@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import clamped_dot, cosine, dot, norm, quality_multiplier
+from tessera.operators.iterate import bounded
 
 MOST = 100
+#: Centroids that are compared with each other, or sent to every task.
+CENTRES = 10_000
 
 
 def top(vectors: DataFrame, key: str, vec: str, query: Column, limit: int, least: float = 0.0, quality: str | None = None) -> DataFrame:
@@ -25,11 +30,15 @@ def adaptive(candidates: DataFrame, similarity: str, low: float = 0.15, high: fl
     return candidates.withColumn("threshold", cut).where(F.col(similarity) >= F.col("threshold"))
 
 
+def summed(vectors: DataFrame, group: str, vec: str | Column) -> DataFrame:
+    """group, n, mean (array): a vector a group and task goes through the exchange, not a row a number."""
+    own = (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
+    return vectors.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(array_to_vector(own))).alias("mean"))
+
+
 def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
-    """group, n, centroid: element-wise means, scaled to unit length. Partial sums per position; no vector list is held."""
-    each = vectors.where(F.col(group).isNotNull()).select(group, F.posexplode(vec).alias("i", "x"))
-    means = each.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    mean = means.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+    """group, n, centroid: element-wise means, scaled to unit length."""
+    mean = summed(vectors, group, vec)
     size = norm(F.col("mean"))
     return mean.select(group, "n", F.when(size > 0, F.transform("mean", lambda x: x / size)).otherwise(F.col("mean")).alias("centroid"))
 
@@ -42,7 +51,8 @@ def similar_groups(vectors: DataFrame, group: str, vec: str, centre: DataFrame,
 
 
 def pairs(centre: DataFrame, key: str, vec: str, least: float, known: DataFrame | None = None) -> DataFrame:
-    """Pairs of centroids (one row a document or cluster) at `least` or more, without those in known (a, b). The theta join is over centroids; `blocked` narrows it to candidates that share a block."""
+    """Pairs of centroids at `least` or more, without those in known (a, b). Centroids are one row a cluster: at most `CENTRES` of them, which is checked; more are an error (compare documents with the near-duplicate operators)."""
+    centre = bounded(centre.select(key, vec), CENTRES, "centroids")
     a, b = centre.select(F.col(key).alias("a"), F.col(vec).alias("va")), centre.select(F.col(key).alias("b"), F.col(vec).alias("vb"))
     out = a.join(b, F.col("a") < F.col("b")).select("a", "b", clamped_dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
     if known is not None:
@@ -51,14 +61,15 @@ def pairs(centre: DataFrame, key: str, vec: str, least: float, known: DataFrame
 
 
 def matrix(centre: DataFrame, key: str, vec: str) -> DataFrame:
-    """a, b, similarity for every pair of a bounded set of centroids, both ways and with itself."""
+    """a, b, similarity for every pair of centroids, both ways and with itself; bounded like `pairs`."""
+    centre = bounded(centre.select(key, vec), CENTRES, "centroids")
     a, b = centre.select(F.col(key).alias("a"), F.col(vec).alias("va")), centre.select(F.col(key).alias("b"), F.col(vec).alias("vb"))
-    return a.crossJoin(b).select("a", "b", clamped_dot(F.col("va"), F.col("vb")).alias("similarity"))
+    return a.join(b, F.lit(True)).select("a", "b", clamped_dot(F.col("va"), F.col("vb")).alias("similarity"))
 
 
 def assign(vectors: DataFrame, key: str, vec: str, centre: DataFrame, group: str) -> DataFrame:
     """key, the nearest centroid and its similarity. Centroids are one row (an array), so each vector is compared where it lies."""
-    own = centre.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("all")).scalar()
+    own = bounded(centre.select(group, "centroid"), CENTRES, "centroids").agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("all")).scalar()
     each = vectors.withColumn("all", own).select(key, F.transform("all", lambda x: F.struct(clamped_dot(F.col(vec), x["c"]).alias("s"), (-x["g"]).alias("g"))).alias("t"))
     return each.select(key, (-F.array_max("t")["g"]).alias("cluster"), F.array_max("t")["s"].alias("similarity"))
 
@@ -66,15 +77,13 @@ def assign(vectors: DataFrame, key: str, vec: str, centre: DataFrame, group: str
 def coherence(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     """Mean pairwise cosine in each group, from the length of the sum of unit vectors; 1 for a single member."""
     unit = F.transform(vec, lambda x: x.cast("double") / F.greatest(norm(F.col(vec)), F.lit(1e-12)))
-    sums = vectors.select(group, F.posexplode(unit).alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    out = sums.groupBy(group).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"))
+    out = summed(vectors, group, unit).select(group, "n", (F.col("n") * F.col("n") * dot(F.col("mean"), F.col("mean"))).alias("q"))
     return out.select(group, "n", F.when(F.col("n") < 2, F.lit(1.0)).otherwise((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))
 
 
 def silhouette(vectors: DataFrame, group: str, vec: str) -> DataFrame:
-    """Mean cosine silhouette over vectors of unit length, from the groups' sums: a mean distance to a group is 1 - x.S / n, so no pair is formed."""
-    sums = vectors.select(group, F.posexplode(vec).alias("i", "x")).groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
-    rows = sums.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"))
+    """Mean cosine silhouette over vectors of unit length, from the groups' sums: a mean distance to a group is 1 - x.S / n, so no pair is formed. At most `CENTRES` groups."""
+    rows = bounded(summed(vectors, group, vec), CENTRES, "groups").select(group, "n", F.transform("mean", lambda x: x * F.col("n")).alias("s"))
     all_groups = rows.agg(F.collect_list(F.struct(F.col(group).alias("g"), "n", "s")).alias("a")).scalar()
     own = F.filter("a", lambda x: x["g"] == F.col(group))[0]
     inside = F.when(own["n"] > 1, (own["n"] - dot(F.col(vec), own["s"]) - (1 - dot(F.col(vec), F.col(vec)))) / (own["n"] - 1))

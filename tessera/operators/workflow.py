@@ -7,8 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.iterate import bounded
 from tessera.operators.reports import latest
 
+#: Rows of a list that is held against every document.
+SHORT = 10_000
+
 # Which state may follow which.
 TRANSITIONS = {
     "": ["draft"],
@@ -84,13 +88,14 @@ def match_context(text: Column, at: Column, size: Column, before: int = 50, afte
 def playbook(chunks: DataFrame, document: str, text: str, clauses: DataFrame) -> DataFrame:
     """document, clause_name, severity, status: how a document has each clause: match (preferred text), alternative, deviation (only its name) or missing.
 
-    clauses (clause_name, preferred_text, severity, alternatives) is a list of a
-    few rows, so it is sent to every chunk; one aggregation by document and clause.
+    clauses (clause_name, preferred_text, severity, alternatives) are at most
+    `SHORT` rows, which is checked; each is tried on every chunk; one aggregation
+    by document and clause.
     """
     body = F.lower(text)
     has = lambda c: F.contains(body, F.lower(c))
     status = F.when(has(F.col("preferred_text")), 1).when(F.exists("alternatives", lambda a: F.contains(body, F.lower(a))), 2).when(has(F.col("clause_name")), 3).otherwise(4)
-    tried = chunks.select(document, text).join(F.broadcast(clauses), F.lit(True)).select(document, "clause_name", "severity", status.alias("p"))
+    tried = chunks.select(document, text).join(F.broadcast(bounded(clauses, SHORT, "clauses")), F.lit(True)).select(document, "clause_name", "severity", status.alias("p"))
     best = tried.groupBy(document, "clause_name", "severity").agg(F.min("p").alias("p"))
     return best.select(document, "clause_name", "severity", F.element_at(F.array(*map(F.lit, ("match", "alternative", "deviation", "missing"))), F.col("p")).alias("status"))
 
@@ -210,6 +215,6 @@ def locks(events: DataFrame, now: Column, ttl_minutes: int = 30) -> DataFrame:
 
 
 def alerts(searches: DataFrame, documents: DataFrame, hit: Column) -> DataFrame:
-    """New documents for each saved search since its last alert (from the beginning where there was none). searches is a short list and is sent to every document."""
+    """New documents for each saved search since its last alert (from the beginning where there was none). searches has at most `SHORT` rows, which is checked."""
     since = F.coalesce("last_alert", F.lit("1970-01-01").cast("timestamp"))
-    return documents.join(F.broadcast(searches), hit & (F.col("created_at") > since))
+    return documents.join(F.broadcast(bounded(searches, SHORT, "saved searches")), hit & (F.col("created_at") > since))

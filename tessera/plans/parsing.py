@@ -134,9 +134,9 @@ def section_prefixes(spark, sf):
     return Corpus(spark, sf).documents.select("doc_id", layout.section_prefix(section, heading, kinds).alias("prefix"))
 
 
-@query("""select vec_id, coalesce(vec_id - lag(vec_id) over w <= 1 and label = lag(label) over w, false) as continues from embeddings window w as (order by vec_id)""")
+@query("""select vec_id, coalesce(vec_id - lag(vec_id) over w <= 1 and label = lag(label) over w, false) as continues from embeddings window w as (partition by vec_id // 50 order by vec_id)""")
 def table_continuations(spark, sf):
-    rows = Corpus(spark, sf).embeddings.select(F.lit(1).alias("doc"), "vec_id", F.array(F.col("label").cast("string")).alias("headers"))
+    rows = Corpus(spark, sf).embeddings.select(F.floor(F.col("vec_id") / 50).alias("doc"), "vec_id", F.array(F.col("label").cast("string")).alias("headers"))
     return parse.continuations(rows, "doc", "vec_id", "vec_id", "headers").select("vec_id", "continues")
 
 

@@ -126,11 +126,15 @@ def composite_similarity(spark, sf):
 
 @query(None)
 def line_diff_similarity(spark, sf):
-    """A minimal line diff of each document with the one before it in its source."""
+    """A minimal line diff of each document with the one before it in its source. Ids are ordered by source; texts meet by id."""
     from pyspark.sql import Window
 
     own = Window.partitionBy("source").orderBy("doc_id")
-    return Corpus(spark, sf).documents.withColumn("before", F.lag("text").over(own)).where("before is not null").select("doc_id", compare.line_diff_ratio("before", "text").alias("ratio"))
+    docs = Corpus(spark, sf).documents
+    pairs = docs.select("doc_id", F.lag("doc_id").over(own).alias("before")).where("before is not null")
+    texts = docs.select("doc_id", "text")
+    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), "before")
+    return both.select("doc_id", compare.line_diff_ratio("old", "text").alias("ratio"))
 
 
 @query(None)

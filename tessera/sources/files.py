@@ -16,8 +16,9 @@ EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif", "webp",
 
 
 def scan(spark: SparkSession, folder: str | list[str], recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path, file_type, file_size, modified_at, file_hash of every file with a known extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    """path, file_type, file_size, modified_at, file_hash of every file with a known extension; other files are not opened."""
+    names = "*.{" + ",".join([*extensions, *map(str.upper, extensions)]) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", names).load(folder)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return files.where(kind.isin(*extensions)).select("path", kind.alias("file_type"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"))
 
