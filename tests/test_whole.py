@@ -14,13 +14,15 @@ def test_repeated_chunk_match_takes_all_lines(spark, tmp_path):
     rows = [(i, f"Page {i} only\n  The  Footer of s{i % 2}\nbody {i} text", f"s{i % 2}") for i in range(120)]
     rows += [(200, "the footer of s0 x", "s0"), (201, "the footer of s0", "s1"), (202, None, "s0"), (203, "", None)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    # the query gives each text a header and a footer of its source
+    rows = [(d, None if t is None or s is None else f"Report of {s}\n{t}\n  REPORT of {s} x", s) for d, t, s in rows]
     of = {}
     for d, t, s in rows:
         for x in {x.strip(" ").lower() for x in (t or "").split("\n")} - {""} if t is not None else ():
             of.setdefault((s, x), set()).add(d)
     n = {s: len([1 for _, t, x in rows if x == s and t is not None]) for *_, s in rows}
     known = [(s, plain(x)) for (s, x), ids in of.items() if len(ids) >= 2 and len(ids) > 0.5 * n[s]]
-    assert len(known) == 2
+    assert len(known) == 6
     want = set()
     for d, t, s in rows:
         for line in (t or "").split("\n"):
@@ -28,7 +30,7 @@ def test_repeated_chunk_match_takes_all_lines(spark, tmp_path):
             if a and any(s == k and (a == b or len(a) <= 1.2 * len(b) and a in b or len(a) <= 1.5 * len(b) and b in a) for k, b in known):
                 want.add((d, line))
     got = [tuple(r) for r in catalog.QUERIES["repeated_chunk_match"](spark, str(tmp_path)).select("doc_id", "line").collect()]
-    assert sorted(got) == sorted(want) and len(want) == 121
+    assert sorted(got) == sorted(want) and len(want) == 121 + 2 * 122
 
 
 def test_context_neighbours_of_every_hit(spark, sf):
