@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node reaches. edges: (a, b), longs; either way round, repeats and loops allowed.
+    """node, root: the least node that each node reaches. edges: (a, b), of one type that can be ordered; either way round, repeats and loops allowed.
 
     Alternating stars: every node sends its larger neighbours to the least
     node near it, then its smaller neighbours to the least of them, until

@@ -2,17 +2,23 @@
 
 A fingerprint has 64 bits (each the majority of the XXH64 of the text's word
 shingles). Two fingerprints link at 4 or fewer differing bits. The 64 bits are
-cut in three parts, of which one differs in at most 1 bit. In each part the
-anchors are the words of a perfect code of length 23 and covering radius 3
-(shorter parts are padded with zeros): every fingerprint has one home anchor,
-and it is replicated to every anchor within 3 + 1 bits, so of two that link
-one is at home where the other is a replica. Members are compared per anchor.
+cut in three parts; in some two of them together at most 2 bits differ. The
+anchors of a pair of parts are the pairs of words of a perfect code of length
+23 and covering radius 3 (shorter parts are padded with zeros): every
+fingerprint has one home anchor, and it is replicated to every anchor that a
+fingerprint within 2 bits can have as its home: 3 bits a part, and 2 more
+between them. So of two that link one is at home where the other is a replica.
+Members are compared per anchor.
 
 Scale: equal fingerprints are one row before anything else (a group of copies
-is one fingerprint); an anchor's members are dealt out to a grid of tasks of
-bounded size (`CELL` homes against `CELL` replicas); a task returns, for each fingerprint
-that has links, one edge to the least it is connected with there, never all
-pairs. Texts are read once and never shuffled.
+is one fingerprint). A pair of parts has 2**24 anchors, so an anchor has few
+members and comparisons stay near linear until billions of fingerprints;
+replicas go only to anchors where one is at home (a bitmap of 2 MB a pair, of
+fixed size). An anchor with more than `CELL` homes is dealt out to a grid of
+tasks; a task returns, for each fingerprint that has links, one edge to the
+least it is connected with there, never all pairs. Components are found over
+(least doc_id, fingerprint), so a root has its component_id in it. Texts are
+read once and never shuffled.
 
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero, and links like any other; fewer words than a shingle give one shingle;
@@ -22,6 +28,7 @@ a null doc_id is never the least of a component unless it is alone there
 
 from __future__ import annotations
 
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -34,8 +41,15 @@ from tessera.llm.shared import LATEST, components, cut, keep_first, row_keys
 
 BITS = 4
 CELL = 16_384
-#: First bit and width of each part.
+#: First bit and width of each part; which two make a pair.
 PARTS = ((0, 22), (22, 21), (43, 21))
+PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Anchors of a pair: 12 bits of each code word tell it from the others.
+ANCHORS = 1 << 24
+PAGE = 32_768
+#: Columns of a grid for each of its rows; fingerprints replicated at once.
+WIDE = 4
+STEP = 4096
 U64 = np.uint64
 
 # Fixed value: a generator polynomial of the binary code of length 23, dimension 12 and distance 7.
@@ -53,27 +67,24 @@ def syndrome(words: np.ndarray) -> np.ndarray:
 
 
 def code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each syndrome: the error of weight 3 or less that leads home; where its errors of weight 4 or less begin and end; all those errors by syndrome."""
+    """For each syndrome: the error of weight 3 or less that leads home; where its errors of weight 5 or less begin, lightest first; the errors, and what each weighs beyond 3."""
     global _code
     if _code is None:
-        words = [np.zeros(1, np.int64)]
         single = 1 << np.arange(23, dtype=np.int64)
-        layers = [words[0]]
-        for _ in range(4):
-            grown = (layers[-1][:, None] | single[None, :]).ravel()
-            weight = len(layers)
-            grown = np.unique(grown)
+        layers = [np.zeros(1, np.int64)]
+        for weight in range(1, 6):
+            grown = np.unique((layers[-1][:, None] | single[None, :]).ravel())
             layers.append(grown[np.bitwise_count(grown) == weight])
         errors = np.concatenate(layers)
         of = syndrome(errors)
-        order = np.argsort(of, kind="stable")
+        order = np.lexsort((np.bitwise_count(errors), of))
         errors, of = errors[order], of[order]
-        edges = np.searchsorted(of, np.arange(2049))
+        beyond = np.maximum(np.bitwise_count(errors).astype(np.int64) - 3, 0)
         home = np.zeros(2048, np.int64)
         near = np.bitwise_count(errors) <= 3
         home[of[near]] = errors[near]
         assert near.sum() == 2048, "the code is perfect: one home for each syndrome"
-        _code = home, edges[:-1], edges[1:], errors
+        _code = home, np.searchsorted(of, np.arange(2049)), errors, beyond
     return _code
 
 
@@ -102,16 +113,44 @@ def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", key: str = "do
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def anchored(fps: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For fingerprints and a part: the home anchor; and (index, anchor) of every anchor in reach, home included."""
+def words_near(fps: np.ndarray, part: int, slack: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The home code word (12 bits) of a part of each fingerprint; and for each excess up to slack the (index, code word) of words at that many bits beyond 3 (excess 0: home)."""
     low, width = PARTS[part]
     own = ((fps >> U64(low)) & U64((1 << width) - 1)).astype(np.int64)
-    home, begin, end, errors = code()
+    home, edges, errors, beyond = code()
     s = syndrome(own)
-    size = (end - begin)[s]
+    size = (edges[1:] - edges[:-1])[s]
     which = np.repeat(np.arange(len(fps)), size)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[s], size)
-    return own ^ home[s], which, own[which] ^ errors[at]
+    at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edges[:-1][s], size)
+    word, excess = (own[which] ^ errors[at]) >> 11, beyond[at]
+    return (own ^ home[s]) >> 11, [(which[excess == e], word[excess == e]) for e in range(slack + 1)]
+
+
+def crossed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, anchor) of every pair of a word of one part and a word of the other, for each of n fingerprints."""
+    (ia, wa), (ib, wb) = a, b
+    many = np.bincount(ib, minlength=n)
+    begin = np.cumsum(many) - many
+    size = many[ia]
+    left = np.repeat(np.arange(len(ia)), size)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[ia], size)
+    return ia[left], wa[left] << 12 | wb[right]
+
+
+def homes(fps: np.ndarray) -> np.ndarray:
+    """The home anchor of each fingerprint for each pair, numbered over all pairs: a row a pair."""
+    own = [words_near(fps, p, 0)[0] for p in range(len(PARTS))]
+    return np.stack([k * ANCHORS + (own[p] << 12 | own[q]) for k, (p, q) in enumerate(PAIRS)])
+
+
+def reached(fps: np.ndarray, slack: int):
+    """(index, anchor) of the anchors in reach, some at a time: with as many bits beyond 3 a part as slack allows for both together."""
+    near = [words_near(fps, p, slack)[1] for p in range(len(PARTS))]
+    for k, (p, q) in enumerate(PAIRS):
+        for e in range(slack + 1):
+            for f in range(slack + 1 - e):
+                index, anchor = crossed(near[p][e], near[q][f], len(fps))
+                yield index, k * ANCHORS + anchor
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -149,40 +188,46 @@ def linked(homes: np.ndarray, others: np.ndarray, bits: int) -> tuple[np.ndarray
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) that connect every two of the distinct fingerprints (column fp) at `bits` or fewer differing bits."""
-    if not 0 <= bits <= 5:
-        raise ValueError("three parts with one bit of slack reach 5 differing bits")
+    if not 0 <= bits <= 4:
+        raise ValueError("two parts with two bits of slack reach 4 differing bits")
+    slack = 2 * bits // 3
 
-    def count(parts):
+    def settle(parts):
         for b in parts:
-            fps = b.column(0).to_numpy().view(U64)
-            for p in range(len(PARTS)):
-                home, _, reach = anchored(fps, p)
-                for kind, x in ((0, home), (1, reach)):
-                    a, n = np.unique(x, return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(a), p, np.int32)), pa.array(a), pa.array(np.full(len(a), kind, np.int32)), pa.array(n)], names=["part", "anchor", "kind", "n"])
-
-    # at most 3 parts x 2**12 code words (2**23 patterns of shortened parts never arise): a bounded table
-    sizes = distinct.select("fp").mapInArrow(count, "part int, anchor long, kind int, n long").groupBy("part", "anchor").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("homes"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("others")).where("homes is not null and others > 1")
-    split = sorted((r.part << 23 | r.anchor, -(-r.homes // CELL), -(-r.others // CELL)) for r in sizes.where(f"homes > {CELL} or others > {CELL}").collect())
-    large, high, wide = np.array([*split, (1 << 40, 1, 1)], np.int64).T
+            yield pa.record_batch([pa.array(homes(b.column(0).to_numpy().view(U64)).ravel())], names=["anchor"])
+
+    settled = cut(distinct.select("fp").mapInArrow(settle, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")))
+    # pages of a bitmap of 3 x 2**24 bits: 6 MB, whatever the corpus
+    pages = settled.groupBy((F.col("anchor") / PAGE).cast("long").alias("page")).agg(F.bitmap_construct_agg((F.col("anchor") % PAGE)).alias("bits")).collect()
+    known = np.zeros(len(PAIRS) * ANCHORS // 8, np.uint8)
+    for r in pages:
+        known[r.page * PAGE // 8 : (r.page + 1) * PAGE // 8] = np.frombuffer(r.bits, np.uint8)[: PAGE // 8]
+    packed = zlib.compress(known.tobytes(), 1)
+    split = sorted((r.anchor, -(-r.n // CELL)) for r in settled.where(f"n > {CELL}").collect())
+    large, high = np.array([*split, (1 << 40, 1)], np.int64).T
 
     def deal(parts):
+        known = np.frombuffer(zlib.decompress(packed), np.uint8)
         for b in parts:
-            fps = b.column(0).to_numpy().view(U64)
-            spread = ((fps * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64)
-            for p in range(len(PARTS)):
-                home, which, reach = anchored(fps, p)
-                for kind, index, anchor in ((0, np.arange(len(fps)), home), (1, which, reach)):
-                    at = np.searchsorted(large, p << 23 | anchor)
-                    known = large[at] == (p << 23 | anchor)
-                    rows, columns = np.where(known, high[at], 1), np.where(known, wide[at], 1)
+            for i in range(0, b.num_rows, STEP):
+                fps = b.column(0)[i : i + STEP].to_numpy().view(U64)
+                spread = ((fps * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64)
+                every = np.arange(len(fps))
+                for kind, index, anchor in [*((0, every, h) for h in homes(fps)), *((1, *r) for r in reached(fps, slack))]:
+                    if kind:
+                        some = (known[anchor >> 3] >> (anchor & 7).astype(np.uint8)) & 1 == 1
+                        index, anchor = index[some], anchor[some]
+                    at = np.searchsorted(large, anchor)
+                    hot = large[at] == anchor
+                    rows = np.where(hot, high[at], 1)
+                    columns = np.where(hot, WIDE * high[at], 1)
                     copies = columns if kind == 0 else rows  # a home meets every column, a replica every row
                     at = np.repeat(np.arange(len(anchor)), copies)
                     other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
                     own = spread[index[at]] % (rows if kind == 0 else columns)[at]
                     row, column = (own, other) if kind == 0 else (other, own)
-                    # one long per cell: part, code word (23 bits), row and column of the grid
-                    cell = (np.int64(p) << 58) | (anchor[at] << 34) | (row << 17) | column
+                    # one long per cell: pair and anchor (26 bits), row and column of the grid
+                    cell = (anchor[at] << 36) | (row << 18) | column
                     yield pa.record_batch([pa.array(cell), pa.array(np.full(len(at), kind, np.int8)), pa.array(fps[index[at]].view(np.int64))], names=["cell", "kind", "fp"])
 
     def compare(parts):
@@ -217,18 +262,19 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def membership(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """fp, least (doc_id of the fingerprint), root (the fingerprint that links reach)."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(distinct, bits)).withColumnRenamed("node", "fp")
-    return distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    """fp, root: the (at, fp) that links reach, at being the least doc_id of a fingerprint (`LATEST`: none)."""
+    distinct = cut(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LATEST)).alias("at")))
+    node = F.struct("at", "fp")
+    end = lambda c: distinct.select(F.col("fp").alias(c), node.alias(f"node_{c}"))
+    edges = links(distinct, bits).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    member = components(edges).select(F.col("node.fp").alias("fp"), "root")
+    return distinct.join(member, "fp", "left").select("fp", F.coalesce("root", node).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach, for each row."""
     prints = cut(fingerprints(docs, k, text, key))
-    rooted = membership(prints, bits)
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(component, "root").select("fp", "component_id")
+    named = membership(prints, bits).select("fp", F.when(F.col("root.at") != LATEST, F.col("root.at")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -248,4 +294,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     rows = row_keys(docs).select("__at", "__h", "__g", F.col("text").cast("string").cast("binary").alias("text"))
     prints = cut(rows.mapInArrow(run, "__at long, __h long, __g int, doc_id long, fp long"))
-    return keep_first(docs, prints.join(membership(prints).select("fp", "root"), "fp").select("__at", "__h", "__g", "root"))
+    return keep_first(docs, prints.join(membership(prints).select("fp", F.col("root.fp").alias("root")), "fp").select("__at", "__h", "__g", "root"))

@@ -70,15 +70,23 @@ def test_links_reach_every_pair_within_the_threshold():
     for i in range(len(far)):
         for b in r.choice(64, 4, replace=False):
             far[i] ^= np.uint64(1) << np.uint64(b)
-    met = np.zeros(len(base), bool)
-    for p in range(3):
-        home, _, _ = simhash.anchored(base, p)
-        _, which, reach = simhash.anchored(far, p)
-        for i in range(len(base)):
-            met[i] |= home[i] in reach[which == i]
+    home, met = simhash.homes(base), np.zeros(len(base), bool)
+    for index, anchor in simhash.reached(far, 2):
+        for k in range(3):
+            met[index[anchor == home[k][index]]] = True
     assert met.all()
 
 
+def test_long_texts_names_that_clash_and_ties(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(3, " ".join(words), 1, 2), (2, " ".join(words[:-1]), 1, 2), (1, "other text of its own", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int, root int")
+    got = {x.doc_id: x.component_id for x in simhash.digests(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+    assert sorted((x.doc_id, x.fp, x.root) for x in simhash.dedup(df).collect()) == [(1, 1, 2), (2, 1, 2)]
+
+
 def test_empty_and_dedup(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (2, "a b c d e f", "y", 2), (3, None, None, None), (4, "", None, None), (1, "a b c d e f", "x", 1)], SCHEMA)
     assert simhash.digests(df.limit(0)).collect() == []
