@@ -81,7 +81,9 @@ def sizes(docs: DataFrame, path: str, cluster: str | None = None) -> DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cluster: str | None = None, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, n_tokens, source, bin_id, bin_offset: a row for each piece of each row of docs."""
     n = max(1, -(-docs.count() // shard))
-    dealt = sizes(docs, path, cluster).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"), F.lit(n)))
+    # rows without a doc_id may all be alike; they are dealt by their place in the scan
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "cluster", "n_tokens"))
+    dealt = sizes(docs, path, cluster).withColumn("shard", F.pmod(own, F.lit(n)))
 
     def run(t: pa.Table) -> pa.Table:
         number = t.column("shard")[0].as_py()

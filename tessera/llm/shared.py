@@ -53,15 +53,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def row_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with __at (doc_id, null last), __h and __g: 96 hash bits of the row, nulls told apart by place."""
-    every = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
-    return docs.select("*", F.coalesce(docs[key].cast("long"), F.lit(LATEST)).alias("__at"), F.xxhash64(*every).alias("__h"), F.hash(*every).alias("__g"))
+    """row (the columns of docs), and __at (doc_id, null last), __h and __g: 96 hash bits of the row, nulls told apart by place. No column of docs can clash with those."""
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    every = [*own, *(c.isNull() for c in own)]
+    return docs.select(F.struct(*own).alias("row"), F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(LATEST)).alias("__at"), F.xxhash64(*every).alias("__h"), F.hash(*every).alias("__g"))
 
 
 def keep_first(docs: DataFrame, member: DataFrame) -> DataFrame:
     """One row of docs for each root. member: (__at, __h, __g, root) of each row."""
     names = ["__at", "__h", "__g"]
-    found = member.groupBy("root").agg(F.min(F.struct(*names)).alias("row")).select("row.*").distinct()
+    found = member.groupBy("root").agg(F.min(F.struct(*names)).alias("first")).select("first.*").distinct()
     # the join and the window share one exchange; rows of one key are alike in every column
     same = Window.partitionBy(*names).orderBy("__at")
-    return row_keys(docs).join(found, names, "left_semi").withColumn("__rank", F.row_number().over(same)).where("__rank = 1").select(*docs.columns)
+    return row_keys(docs).join(found, names, "left_semi").withColumn("__rank", F.row_number().over(same)).where("__rank = 1").select("row.*")

@@ -292,6 +292,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             ids = [None if i == LATEST else i for i in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns[:3], pa.array(ids, pa.int64()), pa.array(np.array(fps, U64).view(np.int64))], names=["__at", "__h", "__g", "doc_id", "fp"])
 
-    rows = row_keys(docs).select("__at", "__h", "__g", F.col("text").cast("string").cast("binary").alias("text"))
+    rows = row_keys(docs).select("__at", "__h", "__g", F.col("row.text").cast("string").cast("binary").alias("text"))
     prints = cut(rows.mapInArrow(run, "__at long, __h long, __g int, doc_id long, fp long"))
     return keep_first(docs, prints.join(membership(prints).select("fp", F.col("root.fp").alias("root")), "fp").select("__at", "__h", "__g", "root"))

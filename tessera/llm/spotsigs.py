@@ -207,3 +207,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key
     shared = F.size(F.array_intersect("sa", "sb"))
     scored = found.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness"))
     return members, scored.where(F.col("likeness") >= least - 1e-9)
+
+
+def linked(docs: DataFrame, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, class (see `near_duplicates`), n_links: with how many other classes a document's class is linked, for each row."""
+    members, links = near_duplicates(docs, least, text, key)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class", "left").select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))

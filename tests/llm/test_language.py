@@ -36,3 +36,37 @@ def test_scores_are_cosines_of_the_bundles():
     v = bundle("the cat")
     cos = [float(v @ bundle(t) / np.linalg.norm(v) / np.linalg.norm(bundle(t))) for t in texts]
     assert names == ["a"] and abs(score[0] - max(cos)) < 1e-3
+
+
+def test_predictions_match_plain_bundles(spark):
+    """Letter vectors bound, bundled and compared one by one, for every document of a table."""
+    import unicodedata
+    import zlib
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()
+    df = spark.createDataFrame([(r.doc_id, (r.text or "")[:600], r.lang) for r in rows], "doc_id long, text string, lang string")
+    letter = lambda c: language.codes()[ord(c)] if unicodedata.category(c).startswith("L") else 0
+
+    def bundle(text):
+        out, c = np.zeros(language.SIZE), [0, *map(letter, text.lower()), 0]
+        for i in range(1, len(c) - 1):
+            if c[i]:
+                out += np.roll(language._letters[c[i - 1]], 2).astype(float) * np.roll(language._letters[c[i]], 1) * language._letters[c[i + 1]]
+        return out
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    texts = {r.doc_id: (r.text or "")[:600] for r in rows}
+    own = {d: bundle(t) for d, t in texts.items()}
+    langs = sorted({r.lang for r in rows if r.lang and not held(r.doc_id)})
+    proto = {x: sum(own[r.doc_id] for r in rows if r.lang == x and not held(r.doc_id)) for x in langs}
+    for r in language.identify(df, language.learn(df)).collect():
+        v = own[r.doc_id]
+        cos = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in proto.items()}
+        best = max(langs, key=lambda x: cos[x])
+        assert r.held_out == held(r.doc_id) and (r.lang_pred == best or cos[best] - cos[r.lang_pred] < 1e-4)
+        assert abs(r.score - min(1.0, max(0.0, cos[best]))) < 1e-3
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(1, "same text", "xx"), (3, "same text", "aa"), (4, "same text", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(df, language.learn(df)).collect()} == {"aa"}

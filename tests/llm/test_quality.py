@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import boosting, quality, stats
 
@@ -60,3 +61,27 @@ def test_training_on_labels(spark, sf):
     assert out[out.quality == 1].kept.mean() > 0.9
     assert out[out.quality == 0].kept.mean() < 0.3
     assert len(quality.train(docs, labels.limit(0)).root) == 0
+
+
+def test_verdicts_match_a_plain_walk_of_the_trees(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    f = quality.train(docs, labels)
+    assert len(f.root) > 10
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    _, x = stats.measure(pa.array([t for _, t in texts]))
+    got = {r.doc_id: r for r in quality.judge(docs, f).collect()}
+    for (d, t), row in zip(texts, x):
+        total = f.bias
+        for at in f.root:
+            while f.feature[at] >= 0:
+                at = f.left[at] if row[f.feature[at]] <= f.threshold[at] else f.right[at]
+            total += f.value[at]
+        p = 1 / (1 + np.exp(-total))
+        assert abs(got[d].quality_score - p) < 1e-9 and got[d].kept == (not got[d].base_failed and p >= quality.THRESHOLD)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(300_000)) + "\nline\nline"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = quality.judge(df, boosting.fit(np.zeros((0, len(stats.FEATURES))), np.zeros(0), quality.MONOTONE)).first()
+    assert tuple(row[k] for k in stats.BASE) == plain(text)

@@ -38,7 +38,14 @@ def test_matches_plain_python(spark, monkeypatch, size):
         a = plain(t)
         want.append((-1 if d is None else d, len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(a, plain(e)), 9), round(jaccard(a, plain(nxt)), 9)))
     assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_chars, x.edited_sha256, round(x.near_edited, 9), round(x.near_next, 9)) for x in got) == sorted(want)
-    assert len({x.fingerprint for x in got}) <= len({t for _, t, _ in order})
+    # a fingerprint tells the length and the least signatures of a set, and is equal exactly where sets are
+    sets = sorted((-1 if d is None else d, len(t), tuple(sorted(plain(t)))) for _, t, d in order)
+    own = sorted((-1 if x.doc_id is None else x.doc_id, x.n_chars, x.fingerprint) for x in got)
+    assert [(d, n, len(s)) for d, n, s in sets] == [(d, n, int(f.split(":")[0])) for d, n, f in own] or len({d for d, *_ in own}) < len(own)
+    by_text = {}
+    for x in got:
+        by_text.setdefault(x.fingerprint, 0)
+    assert len(by_text) == len({frozenset(plain(t)) for _, t, _ in order})
 
 
 def test_one_row_and_none(spark):
@@ -70,3 +77,11 @@ def test_near_duplicates_lose_no_link(spark):
     reps = sorted(set(least.values()))
     want = {(a, b) for a in reps for b in reps if a < b and jaccard(sets[a], sets[b]) >= 0.8}
     assert {(x.a, x.b) for x in links.collect()} == want and len(want) > 5
+    rows = {x.doc_id: (x["class"], x.n_links) for x in spotsigs.linked(df).collect()}
+    assert rows == {d: (least[s], sum(least[s] in p for p in want)) for d, s in sets.items()}
+
+
+def test_very_long_text(spark):
+    text = "the quick brown fox " * 200_000
+    row = spotsigs.fingerprints(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {(x.n_chars, x.near_next) for x in row} == {(len(text), 1.0)}
