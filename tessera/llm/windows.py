@@ -41,9 +41,10 @@ from pyspark.sql.types import StructType
 from tessera.llm import arrays
 
 #: UTF-8 bytes of text in a block; blocks and buckets grow in number with the corpus, not in size.
-BLOCK = 4 << 20
-#: Blocks to a task, on average: tasks grow in number, not in size.
-TASK = 4
+BLOCK = 2 << 20
+#: Blocks to a bucket (what a worker holds of one grows with it), and blocks to a task, on average: tasks grow in number, not in size.
+SHARE = 1
+TASK = 8
 #: Contexts of one anchor from which its windows are dealt out singly, by their own hash.
 HOT = 20_000
 #: Rows that are resolved at once in a bucket of unresolved contexts.
@@ -127,6 +128,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
     """finish(block, covered units, Arrow table of the block) gives the resulting record batch of a block. The table has key, text and o0, o1, ... for the other columns."""
     size = docs.select(F.sum(F.octet_length(docs[text]).cast("long"))).first()[0] or 0
     n = max(1, -(-size // BLOCK))
+    buckets = -(-n // SHARE)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
     order, own = docs[f"`{key}`"].cast("long"), docs[f"`{text}`"].cast("string")
     place = F.pmod(F.xxhash64(order, own), F.lit(n)).cast("int")
@@ -143,7 +145,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         low = int(d.min()) if len(d) else 0
         width = max(1, (int(d.max()) - low).bit_length() + 7 >> 3) if len(d) else 1
         keys, contexts, checks = a.key[rep], a.context[rep], a.check[rep]
-        edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[p], edges[p + 1])
             out.append((p, int(t.column("block")[0].as_py()), low, width, short(keys[s], 6), short(contexts[s], 8), short(checks[s], 4), short((d[s] - low).view(U64), width)))
@@ -154,20 +156,23 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         """0: nothing known, 1: covered, 2: to be compared, 3: the same of an anchor with very many contexts."""
         arrays.release()
         rows = t.select(["block", "low", "width", "keys", "contexts", "checks", "docs"]).to_pylist()
-        key = np.concatenate([long(r["keys"], 6) for r in rows])
         size = [len(r["keys"]) // 6 for r in rows]
-        verdict = np.zeros(len(key), np.uint8)
-        by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        several = np.zeros(len(key), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        at = by[several]
-        if len(at):
-            key = key[at]
-            context = np.concatenate([long(r["contexts"], 8) for r in rows])[at]
-            check = np.concatenate([long(r["checks"], 4) for r in rows])[at]
-            d = np.concatenate([long(r["docs"], r["width"]).view(np.int64) + r["low"] for r in rows])[at]
+        joined = lambda c, kind: np.frombuffer(b"".join([r[c] for r in rows]), kind)
+        keys, contexts, checks = np.concatenate([long(r["keys"], 6) for r in rows]), joined("contexts", "<u8"), joined("checks", "<u4")
+        docs_at = np.concatenate([long(r["docs"], r["width"]).view(np.int64) + r["low"] for r in rows])
+        verdict = np.zeros(len(keys), np.uint8)
+        # a share of the anchors at a time: sorting holds several arrays
+        for share in range(SHARE):
+            own = np.flatnonzero(keys % U64(SHARE) == share)
+            by = own[np.argsort(keys[own], kind="stable")]
+            same = keys[by][1:] == keys[by][:-1]
+            several = np.zeros(len(by), bool)
+            several[1:] |= same
+            several[:-1] |= same
+            at = by[several]
+            if not len(at):
+                continue
+            key, context, check, d = keys[at], contexts[at], checks[at], docs_at[at]
             o = np.lexsort((d, check, context, key))
             key, context, check, d, at = key[o], context[o], check[o], d[o], at[o]
             new_key = np.ones(len(o), bool)
@@ -176,11 +181,11 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
             new[1:] |= changes(context, check)
             first = np.flatnonzero(new)
             group = np.cumsum(new_key) - 1
-            contexts = np.bincount(group[first])[group]
+            several_contexts = np.bincount(group[first])[group]
             earliest = d[first][np.cumsum(new) - 1]
             verdict[at[d > earliest]] = 1
-            open_ = (d == earliest) & (contexts > 1)
-            verdict[at[open_]] = np.where(contexts[open_] > HOT, 3, 2)
+            open_ = (d == earliest) & (several_contexts > 1)
+            verdict[at[open_]] = np.where(several_contexts[open_] > HOT, 3, 2)
         edges = np.cumsum([0, *size])
         found = [(rows[i]["block"], verdict[edges[i] : edges[i + 1]].tobytes()) for i in range(len(rows))]
         return pa.table([pa.array([b for b, _ in found], pa.int32()), pa.array([t.column("bucket")[0].as_py()] * len(found), pa.int32()), pa.array([v for _, v in found], pa.binary())], names=["block", "bucket", "verdict"])
