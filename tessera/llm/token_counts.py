@@ -22,7 +22,7 @@ from tessera.llm.bpe import Bpe, Words, batches
 
 LIMIT = 1024
 #: Pieces in each half of a worker's table: small integers, about 100 bytes a piece.
-COUNTS = 250_000
+COUNTS = 600_000
 _models: dict[str, tuple[Bpe, Words, re.Pattern | None]] = {}
 
 
