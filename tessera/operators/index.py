@@ -42,6 +42,11 @@ class Index:
     def stats(self) -> DataFrame:
         return self.spark.read.parquet(posixpath.join(self.path, "stats"))
 
+    def exists(self) -> bool:
+        """Is it whole? The statistics are written last."""
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(self.path, "stats", "_SUCCESS"))
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
     def terms(self) -> DataFrame:
         """term, df, cf."""
         return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -49,13 +49,14 @@ def has(*words: str, any_of: bool = False) -> str:
 def shared_index(spark, sf) -> Index:
     """The index of the documents of a folder, built once a session beside the checkpoints; searches read it."""
     at = (spark.sparkContext.applicationId, sf)
-    if at not in INDEXES:
+    if at not in INDEXES or not INDEXES[at].exists():
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
             cut(spark.range(1))  # sets the folder
         path = f"{context.getCheckpointDir()}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
         INDEXES[at] = Index.build(Corpus(spark, sf).documents, "doc_id", "text", path)
-    return INDEXES[at]
+    own = INDEXES[at]
+    return Index(spark, own.path, own.key)
 
 
 def quality(spark, sf):
