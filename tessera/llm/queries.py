@@ -99,6 +99,32 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op13_filter_audit(spark, sf_dir):
+    from tessera.llm.filter_audit import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE_SQL["op13_filter_audit"] = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as word from d),
+c as (select r, count(*) as n, count(distinct word) as k from w group by r),
+l as (select doc_id, max(quality) as q, max(toxic) as x from labels group by doc_id),
+f as (select part, coalesce(q = 1, false) as good, coalesce(x = 1, false) as toxic, [coalesce(n, 0) < 200, 100 * coalesce(k, 0) < 50 * coalesce(n, 0),
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] as fails
+  from d left join c using (r) left join l on l.doc_id = d.doc_id),
+a as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select p.x || q.x || s.x || u.x || v.x as filter_order from a p join a q on q.x <> p.x join a s on s.x not in (p.x, q.x) join a u on u.x not in (p.x, q.x, s.x) join a v on v.x not in (p.x, q.x, s.x, u.x)),
+s as (select filter_order, step::int as step, list_transform(range(1, step), lambda i: instr('ABCDE', filter_order[i])) as prior, instr('ABCDE', filter_order[step]) as own from o, range(1, 6) t(step)),
+g as (select part, fails, count(*) as n, count(*) filter (where good) as g, count(*) filter (where toxic) as x from f group by all),
+e as (select part, filter_order, step, own, fails[own] as hit, len(list_filter(prior, lambda i: fails[i])) > 0 as gone, len(list_filter(fails, lambda y: y)) = 1 as alone, n, g, x from g, s),
+r as (select part, filter_order, step, own, sum(case when not hit and not gone then n else 0 end)::bigint as kept, sum(case when hit and not gone then n else 0 end)::bigint as removed,
+    sum(case when hit and gone then n else 0 end)::bigint as redundant, sum(case when hit and alone then n else 0 end)::bigint as unique_fails,
+    sum(case when hit and not gone then g else 0 end)::bigint as good_lost, sum(case when hit and not gone then x else 0 end)::bigint as toxic_lost
+  from e group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from r"""
+
 ORACLE_SQL["op9_cover_dedup"] = r"""
 with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 x as (select r, doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {'i': i, 'h': sha256(array_to_string(ws[i:i + 49], ' '))})) as x from w where len(ws) >= 50),
