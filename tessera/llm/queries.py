@@ -99,6 +99,13 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    from tessera.llm.conversations import digests
+
+    return digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query
 def op13_filter_audit(spark, sf_dir):
     from tessera.llm.filter_audit import audit
