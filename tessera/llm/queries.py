@@ -106,6 +106,13 @@ def op11_conversation_repair(spark, sf_dir):
     return digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query
+def op12_language_model(spark, sf_dir):
+    from tessera.llm.language_model import score
+
+    return score(documents(spark, sf_dir))
+
+
 @query
 def op13_filter_audit(spark, sf_dir):
     from tessera.llm.filter_audit import audit
