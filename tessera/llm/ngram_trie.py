@@ -19,7 +19,6 @@ STEP = 1 / 32
 VALUE = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(255))])
 
 _bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-_ones = _bits.sum(1).astype(np.int64)
 #: Place of the k-th set bit of a byte.
 _place = np.argsort(-_bits, 1, kind="stable").astype(np.int64)
 
@@ -43,13 +42,13 @@ class EliasFano:
     """An ascending sequence of n whole numbers: the low bits of each as they are, the high ones in unary."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones.astype(np.int64)
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - self.ones
         self.top = int(self.zeros[-1])
 
     @staticmethod
     def arrays(values: np.ndarray) -> list[np.ndarray]:
-        """(n and low bits), low, high, set bits before each word of high."""
+        """(n and low bits), low, high, set bits before each word of high (a shard's level has fewer than 2**32)."""
         values = np.asarray(values, np.int64)
         n, u = len(values), int(values[-1]) + 1 if len(values) else 1
         k = max(0, (u // max(1, n)).bit_length() - 1)
@@ -57,7 +56,7 @@ class EliasFano:
         bits = np.zeros((u >> k) + n + 1, np.uint8)
         bits[(values >> k) + np.arange(n)] = 1
         high = packed_bits(bits)
-        return [np.array([n, k], np.int64), low, high, np.concatenate([[0], np.cumsum(_ones[high.view(np.uint8)].reshape(-1, 8).sum(1))])]
+        return [np.array([n, k], np.int64), low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -124,7 +123,7 @@ class Trie:
         view, arrays = memoryview(data), []
         sizes = np.frombuffer(view, np.int64, 27)
         at = 27 * 8
-        for size, kind in zip(sizes.tolist(), [np.int64, U64, U64, np.int64] * 6 + [np.uint8] * 3, strict=True):
+        for size, kind in zip(sizes.tolist(), [np.int64, U64, U64, np.uint32] * 6 + [np.uint8] * 3, strict=True):
             arrays.append(np.frombuffer(view, kind, size, at))
             at += -(-arrays[-1].nbytes // 8) * 8
         for k, name in enumerate(self.SEQUENCES):
