@@ -1,51 +1,169 @@
-"""A written inverted index: postings by term, read by searches in place of the texts."""
+"""A written inverted index in segments: postings by term, read by searches in place of the texts."""
 
 from __future__ import annotations
 
 import posixpath
+import re
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import parse_query, stem_word, stemmed_tokens
-from tessera.operators.search import idf_of, ranked, term_score
+from tessera.functions.text import parse_query, stem_word
+from tessera.operators.manifest import Manifest
+from tessera.operators.search import idf_of, ranked, term_score, weighted
 
-BUCKETS = 64
+#: UTF-8 bytes of text whose postings make a file, on average; folders at most; texts that a worker turns to postings at once.
+SHARE = 32 << 20
+BUCKETS = 256
+TEXTS = 256
+#: Stems that a worker remembers.
+KNOWN = 1 << 20
+POSTING = "tag long, doc_len int, term string, tf int, positions array<int>"
+_stems: dict[str, str] = {}
+
+
+def analyse(batches):
+    """Postings of (key, tag, text): one row a text and distinct term, and one without a term for the text itself."""
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            yield postings_of(b.slice(i, TEXTS))
+
+
+def postings_of(b: pa.RecordBatch) -> pa.RecordBatch:
+    if len(_stems) > KNOWN:
+        _stems.clear()
+    terms: dict[str, int] = {}
+    codes, sizes = [], []
+    for t in b.column(2).to_pylist():
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        sizes.append(len(words))
+        for w in words:
+            stem = _stems.get(w)
+            if stem is None:
+                stem = _stems[w] = stem_word(w)
+            codes.append(terms.setdefault(stem, len(terms)))
+    size, code = np.array(sizes, np.int64), np.array(codes, np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(doc * max(1, len(terms)) + code, kind="stable")
+    new = np.flatnonzero(np.diff(doc[order] * max(1, len(terms)) + code[order], prepend=-1))
+    tf = np.diff(new, append=len(order))
+    rows = np.concatenate([np.arange(len(size)), doc[order[new]]])
+    none = pa.nulls(len(size), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            b.column(0).take(pa.array(rows)),
+            b.column(1).take(pa.array(rows)),
+            pa.array(size[rows].astype(np.int32)),
+            pa.concat_arrays([pa.nulls(len(size), pa.string()), pa.array(list(terms), pa.string()).take(pa.array(code[order[new]]))]),
+            pa.concat_arrays([none, pa.array(tf.astype(np.int32))]),
+            pa.concat_arrays([pa.nulls(len(size), pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(order)]]).astype(np.int32)), pa.array(place[order].astype(np.int32)))]),
+        ],
+        names=["key", "tag", "doc_len", "term", "tf", "positions"],
+    )
 
 
 class Index:
-    """Postings (term, key, tf, doc_len, positions) in folders by a hash of the term, terms sorted within files, and a one-row table of corpus statistics.
+    """Segments of postings (term, key, tag, tf, doc_len, positions) in folders by a hash of the term, terms sorted within files, and a manifest.
 
-    A search reads the folders of its own terms (partition pruning) and of those
-    the row groups that hold them; its cost follows the postings of its terms,
-    not the corpus.
+    `tag` is a hash of the text: rows alike in key and text are one item, rows
+    of one key with different texts are items of their own. A search reads the
+    folders of its own terms (partition pruning) and of those the row groups
+    that hold them; numbers of rows and tokens are in the manifest. Its cost
+    follows the postings of its terms, not the corpus.
+
+    Changes add a segment and tombstones: a segment's tombstones hide what
+    earlier segments hold of their keys. `compact` merges all segments into one
+    from their postings, without the texts. Each step ends with a manifest under
+    the next number, so readers see the state before it or after it, and of two
+    writers one fails.
+
+    Folders and files follow the size of the texts: a frequent term's postings
+    are dealt over all files of its folder by key.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path, key
+        self.manifest = Manifest(spark, path)
+        self._state: dict | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str, text: str | Column, path: str) -> Index:
-        """Tokens are folded, lower-case and stemmed (each distinct word once a batch); one exchange, of postings by bucket."""
-        tokens = docs.select(F.col(key).alias("key"), stemmed_tokens(text if isinstance(text, Column) else F.col(text)).alias("tokens"))
-        each = tokens.select("key", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("position", "term"))
-        # rows of one text come together, so most of the aggregation happens before the exchange
-        own = each.groupBy("key", "doc_len", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-        placed = own.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        placed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(posixpath.join(path, "postings"))
-        tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(posixpath.join(path, "stats"))
-        return cls(docs.sparkSession, path, key)
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(posixpath.join(self.path, "postings"))
+    def build(cls, docs: DataFrame, key: str, text: str | Column, path: str, source: str | None = None) -> Index:
+        """A new index of all rows, in place of what the folder has. source: the state of the table that the rows are from (`manifest.source_state`). Texts are read twice (their size, their tokens) and not shuffled; one exchange, of postings by bucket."""
+        own = cls(docs.sparkSession, path, key)
+        before = own.manifest.read()
+        segment, n, tokens = own.segment(prepared(docs, key, text))
+        own._state = own.manifest.write({"segments": [segment], "n": n, "tokens": tokens, "source": source, "type": docs.schema[key].dataType.simpleString(), "batches": {}}, before and before["version"])
+        own.vacuum()
+        return own
 
-    def stats(self) -> DataFrame:
-        return self.spark.read.parquet(posixpath.join(self.path, "stats"))
+    @property
+    def state(self) -> dict:
+        if self._state is None:
+            self._state = self.manifest.read()
+            if self._state is None:
+                raise FileNotFoundError(f"no index in {self.path}")
+        return self._state
 
     def exists(self) -> bool:
-        """Is it whole? The statistics are written last."""
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(self.path, "stats", "_SUCCESS"))
-        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+        return self.manifest.read() is not None
+
+    def segment(self, rows: DataFrame) -> tuple[dict, int, int]:
+        """Write (key, tag, text) as a segment: its entry in the manifest, its items and tokens."""
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        kind = rows.schema["key"].dataType.simpleString()
+        return self.write(rows.select("key", "tag", "text").mapInArrow(analyse, f"key {kind}, {POSTING}"), size)
+
+    def write(self, postings: DataFrame, size: int) -> tuple[dict, int, int]:
+        files = -(-size // SHARE) or 1
+        buckets = min(BUCKETS, max(8, files))
+        salts, items = -(-files // buckets), -(-files // 16)
+        entry = {"id": uuid.uuid4().hex, "buckets": buckets, "items": items, "size": size}
+        bucket = F.when(F.col("term").isNull(), -1 - F.pmod(F.xxhash64("key"), F.lit(items))).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)))
+        placed = postings.withColumns({"bucket": bucket.cast("int"), "salt": F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")})
+        # dealt, sorted and freed of repeats in one go: the aggregation's sort is the files' order
+        once = placed.repartition(min(buckets, 64) * salts, "bucket", "salt").groupBy("bucket", "salt", "term", "key", "tag").agg(*[F.first(c).alias(c) for c in ("doc_len", "tf", "positions")])
+        folder = self.folder(entry)
+        once.select("key", "tag", "doc_len", "term", "tf", "positions", "bucket").write.partitionBy("bucket").parquet(posixpath.join(folder, "postings"))
+        n, tokens = self.read(entry, postings.schema["key"].dataType.simpleString()).where("bucket < 0").agg(F.count("*"), F.sum(F.col("doc_len").cast("long"))).first()
+        return entry, n, tokens or 0
+
+    def folder(self, segment: dict) -> str:
+        return posixpath.join(self.path, "segments", segment["id"])
+
+    def read(self, segment: dict, kind: str) -> DataFrame:
+        return self.spark.read.schema(f"key {kind}, {POSTING}, bucket int").parquet(posixpath.join(self.folder(segment), "postings"))
+
+    def gone(self, segments: list[dict]) -> DataFrame | None:
+        """key, until: keys whose rows before a segment are hidden."""
+        out = None
+        for at, s in enumerate(segments):
+            if s.get("gone"):
+                one = self.spark.read.schema(f"key {self.state['type']}").parquet(posixpath.join(self.folder(s), "gone")).withColumn("until", F.lit(at))
+                out = one if out is None else out.unionByName(one)
+        return out if out is None else out.groupBy("key").agg(F.max("until").alias("until"))
+
+    def live(self, part) -> DataFrame:
+        """Rows of all segments that no tombstone hides. part(rows of a segment, its entry): those that are wanted."""
+        segments, out = self.state["segments"], None
+        for at, s in enumerate(segments):
+            one = part(self.read(s, self.state["type"]), s).withColumn("at", F.lit(at))
+            out = one if out is None else out.unionByName(one)
+        gone = self.gone(segments)
+        if gone is None:
+            return out.drop("at")
+        hidden = gone.withColumnRenamed("key", "_key")
+        return out.join(hidden, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at") < F.col("until")), "left_anti").drop("at")
+
+    def postings(self) -> DataFrame:
+        return self.live(lambda rows, _: rows.where("bucket >= 0")).drop("bucket")
+
+    def items(self) -> DataFrame:
+        """key, tag, doc_len of each item."""
+        return self.live(lambda rows, _: rows.where("bucket < 0")).select("key", "tag", "doc_len")
 
     def terms(self) -> DataFrame:
         """term, df, cf."""
@@ -53,32 +171,102 @@ class Index:
 
     def of(self, words: list[str]) -> DataFrame:
         """The postings of some terms."""
-        places = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).collect()]
-        return self.postings().where(F.col("bucket").isin(places) & F.col("term").isin(words))
+
+        def part(rows: DataFrame, s: dict) -> DataFrame:
+            # folded to numbers when the plan is made, so other folders are not listed
+            places = [F.pmod(F.xxhash64(F.lit(w)), F.lit(s["buckets"])).cast("int") for w in words]
+            return rows.where(F.col("bucket").isin(*places) & F.col("term").isin(words))
+
+        return self.live(part).drop("bucket")
+
+    def status(self, table: DataFrame | None = None, source: str | None = None) -> DataFrame:
+        """n_indexed, tokens, segments, version; of a table also n_rows and whether the index is stale: made from another state of it, or, where that is unknown, with a gap over a tenth."""
+        s = self.state
+        one = self.spark.createDataFrame([(s["n"], s["tokens"], len(s["segments"]), s["version"])], "n_indexed long, tokens long, segments int, version int")
+        if table is None:
+            return one
+        known = source is not None and s.get("source") is not None
+        stale = F.lit(known and source != s["source"]) if known else F.abs(F.col("n_rows") - F.col("n_indexed")) > 0.1 * F.col("n_rows")
+        return one.withColumn("n_rows", table.agg(F.count("*").alias("n")).scalar()).withColumn("stale", stale)
+
+    def apply(self, changes: DataFrame, text: str | Column = "text", op: str = "op", batch: tuple[str, int] | None = None, source: str | None = None) -> Index:
+        """Add a segment: the batch's keys lose their earlier rows and get those of the batch whose `op` is not 'delete'.
+
+        batch: a stream's name and number; a number that was already applied
+        changes nothing, so a batch that is repeated counts once. A batch that
+        failed before its manifest leaves nothing but files that `vacuum` deletes.
+        """
+        old = self.manifest.read()
+        if old is None:
+            raise FileNotFoundError(f"no index in {self.path}")
+        self._state = old
+        if batch and old["batches"].get(batch[0], -1) >= batch[1]:
+            return self
+        rows = prepared(changes, self.key, text, op)
+        rows = rows.withColumn("key", F.col("key").cast(old["type"]))
+        segment, n, tokens = self.segment(rows.where(~F.col("op").eqNullSafe(F.lit("delete"))))
+        keys = posixpath.join(self.folder(segment), "gone")
+        rows.select("key").distinct().write.parquet(keys)
+        hidden = self.spark.read.schema(f"key {old['type']}").parquet(keys).withColumnRenamed("key", "_key")
+        lost = self.items().join(hidden, F.col("key").eqNullSafe(F.col("_key")), "left_semi").agg(F.count("*"), F.sum(F.col("doc_len").cast("long"))).first()
+        new = old | {"segments": [*old["segments"], segment | {"gone": True}], "n": old["n"] + n - lost[0], "tokens": old["tokens"] + tokens - (lost[1] or 0), "source": source}
+        if batch:
+            new["batches"] = old["batches"] | {batch[0]: batch[1]}
+        new.pop("version")
+        self._state = self.manifest.write(new, old["version"])
+        return self
+
+    def compact(self) -> Index:
+        """Merge all segments into one, from their postings."""
+        self._state = old = self.manifest.read()
+        segment, n, tokens = self.write(self.live(lambda rows, _: rows).drop("bucket"), sum(s["size"] for s in old["segments"]))
+        new = old | {"segments": [segment], "n": n, "tokens": tokens}
+        new.pop("version")
+        self._state = self.manifest.write(new, old["version"])
+        return self
+
+    def vacuum(self) -> None:
+        """Delete what the newest manifest does not name. Searches that read older versions fail then."""
+        self._state = self.manifest.read()
+        self.manifest.keep([s["id"] for s in self.state["segments"]], "segments")
 
     def scored(self, query: str, phrase: bool = False) -> DataFrame:
-        """key, score of each row that satisfies the query (see `search.bm25`)."""
-        parsed = [[("", [stem_word(w) for w in query.lower().split()])]] if phrase else parse_query(query, stem_word)
+        """key, score of each item that satisfies the query (see `search.bm25`)."""
+        parsed = phrase_of(query) if phrase else parse_query(query, stem_word)
         positive = sorted({w for a in parsed for s, own in a if not s for w in own})
         every = sorted({w for a in parsed for _, own in a for w in own})
         own = self.of(every)
+        n, tokens = self.state["n"], self.state["tokens"]
         # as many rows as the query has terms
         counts = own.groupBy("term").agg(F.count("*").alias("df")).agg(F.map_from_entries(F.collect_list(F.struct("term", "df")))).scalar()
-        rows = own.groupBy("key").agg(F.any_value("doc_len").alias("doc_len"), F.map_from_entries(F.collect_list(F.struct("term", F.struct("tf", "positions")))).alias("p"))
-        rows = rows.where(satisfied(parsed, F.col("p"))).withColumn("s", self.stats().select(F.struct("n", "mean")).scalar()).withColumn("df", counts)
+        rows = own.groupBy("key", "tag").agg(F.any_value("doc_len").alias("doc_len"), F.map_from_entries(F.collect_list(F.struct("term", F.struct("tf", "positions")))).alias("p"))
+        rows = rows.where(satisfied(parsed, F.col("p"))).withColumn("df", counts)
         score = F.lit(0.0)
         for w in positive:
             tf = F.coalesce(F.try_element_at("p", F.lit(w))["tf"], F.lit(0))
-            score = score + idf_of(F.col("s.n"), F.coalesce(F.try_element_at("df", F.lit(w)), F.lit(0))) * term_score(tf, F.col("doc_len"), F.col("s.mean"))
+            score = score + idf_of(F.lit(n), F.coalesce(F.try_element_at("df", F.lit(w)), F.lit(0))) * term_score(tf, F.col("doc_len"), F.lit(tokens / max(1, n)))
         return rows.select(F.col("key").alias(self.key), score.alias("score"))
 
     def search(self, query: str, limit: int = 20, phrase: bool = False, quality: DataFrame | None = None) -> DataFrame:
         """key, score, rank. quality: (key, quality), weighting results before they are ranked."""
-        from tessera.operators.search import weighted
-
         return ranked(weighted(self.scored(query, phrase), self.key, quality), self.key, "score", limit)
 
 
+def prepared(docs: DataFrame, key: str, text: str | Column, op: str | None = None) -> DataFrame:
+    """key, tag, text (and op) of some rows."""
+    own = F.coalesce((text if isinstance(text, Column) else F.col(f"`{text}`")).cast("string"), F.lit(""))
+    more = [F.col(f"`{op}`").alias("op")] if op else []
+    return docs.select(F.col(f"`{key}`").alias("key"), own.alias("text"), *more).withColumn("tag", F.xxhash64("text"))
+
+
+def phrase_of(query: str) -> list[list[tuple[str, list[str]]]]:
+    """A text as one phrase, cut into words as texts are."""
+    words = [stem_word(w) for w in re.findall(r"[^\W_]+", query.lower())]
+    if not words:
+        raise ValueError("the query has no words")
+    return [[("", words)]]
+
+
 def satisfied(parsed: list[list[tuple[str, list[str]]]], own: Column) -> Column:
     """Does a map of term to (tf, positions) satisfy the query? Phrases by positions."""
 

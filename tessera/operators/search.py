@@ -47,7 +47,11 @@ def term_score(tf: Column, doc_len: Column, mean: Column) -> Column:
 def bm25(analyzed_docs: DataFrame, key: str, query: str, phrase: bool = False, stem: bool = True) -> DataFrame:
     """key, score of each row that satisfies the query. Corpus statistics are one row (a scalar subquery); rows are scored where they lie. stem: as the rows were analyzed."""
     word = stem_word if stem else str.lower
-    parsed = [[("", [word(w) for w in query.split()])]] if phrase else parse_query(query, word)
+    if phrase:
+        words = [word(w) for w in re.findall(r"[^\W_]+", query.lower())]
+        if not words:
+            raise ValueError("the query has no words")
+    parsed = [[("", words)]] if phrase else parse_query(query, word)
     terms = query_terms(parsed)
     counted = analyzed_docs.select("*", F.size("tokens").alias("doc_len"), *[occurrences("tokens", w).alias(f"tf_{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("doc_len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])).toDF("s").scalar()

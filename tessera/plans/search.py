@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import posixpath
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,10 +13,10 @@ from tessera.operators import engine, fusion, search
 from tessera.operators.corpus import Corpus
 from tessera.operators.index import Index
 from tessera.operators.iterate import cut
+from tessera.operators.manifest import source_state
 from tessera.plans.registry import query
 
 TOK = r"list_transform(regexp_extract_all(lower(coalesce({t},'')), '[\p{{L}}\p{{N}}]+'), lambda x: strip_accents(x))"
-INDEXES: dict[tuple[str, str], Index] = {}
 QUALITY = "0.8 + 0.04 * greatest(0.0, least(5.0, q.quality))"
 
 
@@ -35,7 +33,7 @@ def bm25_sql(terms: list[str], where: str, table: str = "documents", key: str =
 
 
 # Words of the tables that have the stem of a query's word (found by stemming all of them), without accents.
-FORMS = {"the": "thes", "of": "ofed ofes", "un": "une", "de": "des", "la": "las", "en": "ened enes ening ene", "and": "andes anding"}
+FORMS = {"the": "thes", "of": "ofed ofes", "un": "une", "de": "des", "la": "las", "en": "ened enes ening ene", "and": "andes anding", "changed": "chang change changes changing"}
 
 
 def forms(word: str) -> str:
@@ -46,17 +44,21 @@ def has(*words: str, any_of: bool = False) -> str:
     return "(" + (" or " if any_of else " and ").join(f"list_has_any(tk, [{forms(w)}])" for w in words) + ")"
 
 
+def shared_folder(spark) -> str:
+    """A folder that all executors share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(spark.range(1))  # sets it
+    return context.getCheckpointDir()
+
+
 def shared_index(spark, sf) -> Index:
-    """The index of the documents of a folder, built once a session beside the checkpoints; searches read it."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in INDEXES or not INDEXES[at].exists():
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            cut(spark.range(1))  # sets the folder
-        path = f"{context.getCheckpointDir()}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
-        INDEXES[at] = Index.build(Corpus(spark, sf).documents, "doc_id", "text", path)
-    own = INDEXES[at]
-    return Index(spark, own.path, own.key)
+    """The index of the documents of a folder, built beside the checkpoints when a session first needs it, and again when the table has changed; searches read it."""
+    table = f"{sf}/documents.parquet"
+    own, now = Index(spark, f"{shared_folder(spark)}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"), source_state(spark, table)
+    if not own.exists() or own.state["source"] != now:
+        Index.build(Corpus(spark, sf).documents, "doc_id", "text", own.path, now)
+    return Index(spark, own.path)
 
 
 def quality(spark, sf):
@@ -120,14 +122,32 @@ def term_statistics(spark, sf):
 @query(r"""select count(*) as tokens, count(distinct doc_id) as documents from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}]+')) as term from documents)""")
 def index_build(spark, sf):
     """A new index, by how many tokens and documents its postings have."""
-    path = f"{posixpath.dirname(shared_index(spark, sf).path)}/index-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/index-build-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
     return Index.build(Corpus(spark, sf).documents, "doc_id", "text", path).postings().agg(F.sum("tf").alias("tokens"), F.count_distinct("key").alias("documents"))
 
 
-@query("""select (select count(*) from documents) as n_rows, (select count(distinct doc_id) from documents where lang = 'en') as n_indexed, true as stale""")
+@query("""select count(*) as n_rows, count(distinct (doc_id, text)) as n_indexed, false as stale from documents""")
 def fts_status(spark, sf):
-    docs = Corpus(spark, sf).documents
-    return search.index_status(docs, docs.where("lang = 'en'"), "doc_id")
+    """What the index of the whole table says of itself, held against the table."""
+    own = shared_index(spark, sf)
+    return own.status(Corpus(spark, sf).documents, source_state(spark, f"{sf}/documents.parquet")).select("n_rows", "n_indexed", "stale")
+
+
+CHANGED = "select doc_id, case when source = 'src1' then coalesce(text, '') || ' the changed text of ' || source else text end as text from documents where lang is distinct from 'fr'"
+
+
+@query(
+    f"""with f as ({CHANGED}), {bm25_sql(["the", "changed", "of"], has("the", "changed", "of", any_of=True), table="f")}
+    select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 40"""
+)
+def changed_index_search(spark, sf):
+    """An index of all documents, kept up to date: one batch deletes a language, the next one rewrites a source; the search reads three segments."""
+    docs, path = Corpus(spark, sf).documents, f"{shared_folder(spark)}/index-changed-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    own = Index.build(docs, "doc_id", "text", path)
+    own.apply(docs.where("lang = 'fr'").select("doc_id", "text", F.lit("delete").alias("op")), batch=("changes", 0))
+    new = F.concat(F.coalesce("text", F.lit("")), F.lit(" the changed text of "), F.col("source"))
+    own.apply(docs.where("source = 'src1' and not (lang <=> 'fr')").select("doc_id", new.alias("text"), F.lit("upsert").alias("op")), batch=("changes", 1))
+    return own.search("the OR changed OR of", 40).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -295,7 +315,7 @@ def engine_search(spark, sf):
 def two_kinds(spark, sf):
     c = Corpus(spark, sf)
     shared = shared_index(spark, sf)
-    path = f"{posixpath.dirname(shared.path)}/index-{hashlib.sha256(f'images {sf}'.encode()).hexdigest()[:16]}"
+    path = f"{shared_folder(spark)}/index-{hashlib.sha256(f'images {sf}'.encode()).hexdigest()[:16]}"
     pictures = Index.build(c.benchmark, "item_id", "text", path)
     chunks = c.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("document"), "text")
     images = c.benchmark.select(F.col("item_id").alias("item"), F.lit("benchmark").alias("document"), "text")

@@ -52,11 +52,21 @@ def states(events: DataFrame, key: str, state: str, order: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, previous string, valid boolean", "state string", "append", "NoTimeout")
 
 
-def index_sink(path: str, key: str, text: str):
-    """A foreachBatch function that appends postings of new rows; a batch that is repeated after a failure overwrites its own folder."""
-    from tessera.operators.search import analyzed, postings
+def index_sink(path: str, key: str, text: str, op: str | None = None, name: str = "stream", merge: int = 8):
+    """A foreachBatch function that keeps an index: each batch is a segment in which its keys' newest rows replace earlier ones (or delete them, where column `op` says so).
+
+    A batch that is repeated after a failure changes nothing. Segments are
+    merged when there are more than `merge`.
+    """
+    from tessera.operators.index import Index
 
     def batch(df: DataFrame, epoch: int) -> None:
-        postings(analyzed(df, key, text), key).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        own = Index(df.sparkSession, path, key)
+        if not own.exists():
+            Index.build(df.limit(0), key, text, path)
+        changes = df if op else df.withColumn("op", F.lit("upsert"))
+        own.apply(changes, text, op or "op", batch=(name, epoch))
+        if len(own.state["segments"]) > merge:
+            own.compact()
 
     return batch

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.operators.index import Index
 from tessera.streaming import events as streaming
 
 
@@ -45,4 +46,7 @@ def test_index_sink(spark, sf, tmp_path):
     q = stream.writeStream.foreachBatch(streaming.index_sink(str(tmp_path / "index"), "doc_id", "text")).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "index")).agg(F.count_distinct("doc_id")).first()[0] >= 190
+    own = Index(spark, str(tmp_path / "index"))
+    assert own.postings().agg(F.count_distinct("key")).first()[0] >= 190
+    whole = Index.build(static, "doc_id", "text", str(tmp_path / "whole"))
+    assert sorted(map(tuple, own.scored("the OR of").collect())) == sorted(map(tuple, whole.scored("the OR of").collect()))
