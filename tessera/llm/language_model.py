@@ -173,12 +173,35 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def built(t: pa.Table) -> tuple[list[list[np.ndarray]], mmap.mmap]:
-    """What each block has sent to a bucket, and the levels of its trie."""
-    own = [unbundled(x) for x in t.column("grams").to_pylist()]
-    first, pairs, total, second, triples, third, count = (np.concatenate([x[k] for x in own]) for k in range(7))
-    parent = np.repeat(np.repeat(np.arange(len(first)), pairs), triples)
-    return own, Trie.levels(first[parent], np.repeat(second, triples), third, count, total[parent], PRIORS)
+class Sent:
+    """What a bucket was sent by all blocks: its distinct words, pairs and triples, and of each block's which they are."""
+
+    def __init__(self, t: pa.Table):
+        own = [unbundled(x) for x in t.column("grams").to_pylist()]
+        first, pairs, total, second, triples, third, count = (np.concatenate([x[k] for x in own]) for k in range(7))
+        self.words, which = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+        n, size = len(first), len(self.words)
+        parent = np.repeat(np.arange(n), pairs)
+        key, self.pair = np.unique(which[:n][parent] * size + which[n : n + len(second)], return_inverse=True)
+        self.first, self.second = key // size, key % size
+        self.total = np.zeros(len(key), np.int64)
+        self.total[self.pair] = total[parent]
+        key, self.triple = np.unique(np.repeat(self.pair, triples) * size + which[n + len(second) :], return_inverse=True)
+        self.context, self.third = key // size, key % size
+        self.count = np.bincount(self.triple, weights=count, minlength=len(key)).astype(np.int64)
+        self.pair_edges, self.triple_edges = np.cumsum([0, *[len(x[3]) for x in own]]), np.cumsum([0, *[len(x[5]) for x in own]])
+
+    def levels(self) -> mmap.mmap:
+        return Trie.levels(self.words, self.first, self.second, self.total, self.context, self.third, self.count, PRIORS)
+
+    def answers(self) -> list[bytes]:
+        """The codes of each block's pairs, weights and triples, in its order."""
+        pairs, weights, triples = Trie(self.levels()).look_up(self.words, self.first, self.second, self.context, self.third)
+        out = []
+        for i in range(len(self.pair_edges) - 1):
+            p, t = self.pair[self.pair_edges[i] : self.pair_edges[i + 1]], self.triple[self.triple_edges[i] : self.triple_edges[i + 1]]
+            out.append(packed(pairs[p].tobytes() + weights[p].tobytes() + triples[t].tobytes()))
+        return out
 
 
 class Model:
@@ -241,7 +264,7 @@ class Model:
 
         def run(t: pa.Table) -> pa.Table:
             arrays.release()
-            return pa.table([t.column("bucket")[:1], pa.array([built(t)[1][:]], pa.binary())], names=["bucket", "levels"])
+            return pa.table([t.column("bucket")[:1], pa.array([Sent(t).levels()[:]], pa.binary())], names=["bucket", "levels"])
 
         return self.sent.applyInArrow(run, "bucket int, levels binary")
 
@@ -251,12 +274,7 @@ class Model:
 
         def answer(t: pa.Table) -> pa.Table:
             arrays.release()
-            own, levels = built(t)
-            trie, out = Trie(levels), []
-            for first, pairs, _, second, triples, third, _ in own:
-                found = trie.look_up(first, second, np.repeat(np.arange(len(first)), pairs), third, np.repeat(np.arange(len(second)), triples))
-                out.append(packed(b"".join(x.tobytes() for x in found)))
-            return pa.table([t.column("block"), t.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "codes"])
+            return pa.table([t.column("block"), t.column("bucket"), pa.array(Sent(t).answers(), pa.binary())], names=["block", "bucket", "codes"])
 
         def finish(t: pa.Table, known: pa.Table) -> pa.Table:
             arrays.release()

@@ -30,33 +30,37 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.where(code <= 255, np.maximum(code, 1), 0).astype(np.uint8)
 
 
-def packed_bits(bits: np.ndarray) -> np.ndarray:
-    """64-bit words of some bits, with a word to spare."""
-    raw = np.packbits(bits.astype(np.uint8), bitorder="little")
-    out = np.zeros((len(raw) >> 3) + 2, U64)
-    out.view(np.uint8)[: len(raw)] = raw
-    return out
-
-
 class EliasFano:
-    """An ascending sequence of n whole numbers: the low bits of each as they are, the high ones in unary."""
-
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones.astype(np.int64)
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - self.ones
+    """An ascending sequence of n whole numbers: the low bits of each as they are, the high ones in unary. Set and clear bits are counted by byte when it is read."""
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.low_bits, self.low = n, low_bits, low
+        self.bytes = high.view(np.uint8)
+        count = np.bitwise_count(self.bytes)
+        self.ones = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 8 - self.ones
         self.top = int(self.zeros[-1])
 
     @staticmethod
     def arrays(values: np.ndarray) -> list[np.ndarray]:
-        """(n and low bits), low, high, set bits before each word of high (a shard's level has fewer than 2**32)."""
+        """(n and low bits), low, high."""
         values = np.asarray(values, np.int64)
         n, u = len(values), int(values[-1]) + 1 if len(values) else 1
         k = max(0, (u // max(1, n)).bit_length() - 1)
-        low = packed_bits(((values[:, None] >> np.arange(k)) & 1).reshape(-1))
+        low = np.zeros((n * k >> 6) + 2, U64)
+        if n and k:
+            at, own = np.arange(n) * k, (values & ((1 << k) - 1)).view(U64)
+            word, off = at >> 6, (at & 63).astype(U64)
+            # some value begins in every word, as none is longer than a word
+            low[: word[-1] + 1] = np.bitwise_or.reduceat(own << off, np.searchsorted(word, np.arange(word[-1] + 1)))
+            over = np.flatnonzero(off + U64(k) > U64(64))
+            low[word[over] + 1] |= own[over] >> (U64(64) - off[over])
         bits = np.zeros((u >> k) + n + 1, np.uint8)
         bits[(values >> k) + np.arange(n)] = 1
-        high = packed_bits(bits)
-        return [np.array([n, k], np.int64), low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)]
+        raw = np.packbits(bits, bitorder="little")
+        high = np.zeros(-(-len(raw) // 8), U64)
+        high.view(np.uint8)[: len(raw)] = raw
+        return [np.array([n, k], np.int64), low, high]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -70,18 +74,9 @@ class EliasFano:
     def select(self, i: np.ndarray, one: bool) -> np.ndarray:
         """Place of the i-th set (or clear) bit of high."""
         before = self.ones if one else self.zeros
-        word = np.searchsorted(before, i, "right") - 1
-        rest = i - before[word]
-        w = self.high[word] if one else ~self.high[word]
-        out = word * 64
-        # halve: does the bit lie in the upper 32, 16, 8 bits?
-        for width in (32, 16, 8):
-            n = np.bitwise_count(w & U64((1 << width) - 1)).astype(np.int64)
-            upper = rest >= n
-            rest = np.where(upper, rest - n, rest)
-            w = np.where(upper, w >> U64(width), w)
-            out += np.where(upper, width, 0)
-        return out + _place[(w & U64(255)).astype(np.int64), rest]
+        byte = np.searchsorted(before, i, "right") - 1
+        own = self.bytes[byte] if one else ~self.bytes[byte]
+        return byte * 8 + _place[own, i - before[byte]]
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self.select(i, True) - i) << self.low_bits) | self.lows(i)
@@ -99,14 +94,13 @@ class EliasFano:
         if end is not None:
             lo, hi = np.maximum(lo, begin[ok]), np.minimum(hi, end[ok])
         last, low = np.minimum(hi, self.n), x & ((1 << self.low_bits) - 1)
-        hi = last
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & (self.lows(np.minimum(mid, self.n - 1)) < low)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        hi = last.copy()
+        at = np.flatnonzero(lo < hi)
+        while len(at):
+            mid = (lo[at] + hi[at]) >> 1
+            less = self.lows(mid) < low[at]
+            lo[at], hi[at] = np.where(less, mid + 1, lo[at]), np.where(less, hi[at], mid)
+            at = at[lo[at] < hi[at]]
         found = lo < last
         found[found] = self.lows(lo[found]) == low[found]
         out[ok[found]] = lo[found]
@@ -117,60 +111,64 @@ class Trie:
     """Vocabulary, first words, pairs and triples, read from one block of bytes."""
 
     SEQUENCES = ("words", "first", "first_to", "second", "second_to", "third")
+    KINDS = [np.int64, U64, U64] * len(SEQUENCES) + [np.uint8] * 3
 
     def __init__(self, data):
         """data: bytes, or a memory map, as `levels` gives."""
         view, arrays = memoryview(data), []
-        sizes = np.frombuffer(view, np.int64, 27)
-        at = 27 * 8
-        for size, kind in zip(sizes.tolist(), [np.int64, U64, U64, np.uint32] * 6 + [np.uint8] * 3, strict=True):
+        at = len(self.KINDS) * 8
+        for size, kind in zip(np.frombuffer(view, np.int64, len(self.KINDS)).tolist(), self.KINDS, strict=True):
             arrays.append(np.frombuffer(view, kind, size, at))
             at += -(-arrays[-1].nbytes // 8) * 8
         for k, name in enumerate(self.SEQUENCES):
-            own = arrays[4 * k : 4 * k + 4]
+            own = arrays[3 * k : 3 * k + 3]
             setattr(self, name, EliasFano(int(own[0][0]), int(own[0][1]), *own[1:]))
-        self.pair_code, self.weight_code, self.triple_code = arrays[24:]
-
-    @staticmethod
-    def levels(first: np.ndarray, second: np.ndarray, third: np.ndarray, count: np.ndarray, total: np.ndarray, priors: tuple[float, float]) -> mmap.mmap:
-        """The levels of some triples, as a memory map; total: how often each triple's first word begins a pair anywhere. Triples may repeat; those of count 0 are left out."""
-        some = count > 0
-        first, second, third, count, total = (x[some] for x in (first, second, third, count, total))
-        words, which = np.unique(np.concatenate([first, second, third]), return_inverse=True)
-        size, n = len(words), len(first)
-        a, b, c = which[:n], which[n : 2 * n], which[2 * n :]
-        pairs, pair = np.unique(a * size + b, return_inverse=True)
-        triples, triple = np.unique(pair * size + c, return_inverse=True)
-        counts = np.bincount(triple, weights=count, minlength=len(triples))
-        of_pair = np.bincount(pair, weights=count, minlength=len(pairs))
-        begins = np.zeros(len(pairs))
-        begins[pair] = total
-        firsts, parent = np.unique(pairs // max(1, size), return_inverse=True)
-        up = triples // max(1, size)
-        level = [words, firsts, np.searchsorted(parent, np.arange(len(firsts) + 1)), parent * size + pairs % max(1, size), np.searchsorted(up, np.arange(len(pairs) + 1)), triples]
+        self.pair_code, self.weight_code, self.triple_code = arrays[-3:]
+
+    @classmethod
+    def levels(cls, words: np.ndarray, first: np.ndarray, second: np.ndarray, total: np.ndarray, context: np.ndarray, third: np.ndarray, count: np.ndarray, priors: tuple[float, float]) -> mmap.mmap:
+        """The levels as a memory map.
+
+        words: distinct, ascending. first, second: places of each pair's words,
+        ascending by pair; total: how often its first word begins a pair
+        anywhere. context, third: place of each triple's pair and last word,
+        ascending by triple; count: how often it was seen. What was never seen
+        is left out.
+        """
+        seen = count > 0
+        context, third, count = context[seen], third[seen], count[seen]
+        pair = np.zeros(len(first), bool)
+        pair[context] = True
+        first, second, total, context = first[pair], second[pair], total[pair], (np.cumsum(pair) - 1)[context]
+        word = np.zeros(len(words), bool)
+        word[first] = word[second] = word[third] = True
+        place = np.cumsum(word) - 1
+        words, first, second, third = words[word], place[first], place[second], place[third]
+        size, of_pair = len(words), np.bincount(context, weights=count, minlength=len(first))
+        new = np.flatnonzero(np.diff(first, prepend=-1))
+        parent = np.cumsum(np.diff(first, prepend=-1) != 0) - 1
+        level = [words, first[new], np.append(new, len(first)), parent * size + second, np.searchsorted(context, np.arange(len(first) + 1)), context * size + third]
         arrays = [x for values in level for x in EliasFano.arrays(values)]
-        arrays += [quantised(of_pair / (begins + priors[0])), quantised(priors[1] / (of_pair + priors[1])), quantised(counts / (of_pair[up] + priors[1]))]
+        arrays += [quantised(of_pair / (total + priors[0])), quantised(priors[1] / (of_pair + priors[1])), quantised(count / (of_pair[context] + priors[1]))]
         # an own map, not the heap: its pages go back to the system with it
-        out = mmap.mmap(-1, 27 * 8 + sum(-(-x.nbytes // 8) * 8 for x in arrays))
+        out = mmap.mmap(-1, len(arrays) * 8 + sum(-(-x.nbytes // 8) * 8 for x in arrays))
         out.write(np.array([len(x) for x in arrays], np.int64).tobytes())
         for x in arrays:
             out.write(x.tobytes() + bytes(-x.nbytes % 8))
         return out
 
-    def look_up(self, first: np.ndarray, second: np.ndarray, parent: np.ndarray, third: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of pairs, of the contexts' weights, and of triples. parent: of each second word its first; context: of each third word its pair."""
-        size = self.words.n
-        a = self.first.find(self.words.find(first))
-        pair = self.down(a[parent], self.words.find(second), self.first_to, self.second, size)
-        triple = self.down(pair[context], self.words.find(third), self.second_to, self.third, size)
+    def look_up(self, words: np.ndarray, first: np.ndarray, second: np.ndarray, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pairs, of their weights as contexts, and of triples, given as for `levels`."""
+        word = self.words.find(words)
+        pair = self.down(self.first.find(word)[first], word[second], self.first_to, self.second)
+        triple = self.down(pair[context], word[third], self.second_to, self.third)
         code = lambda codes, at: np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint8) if len(codes) else np.zeros(len(at), np.uint8)
         return code(self.pair_code, pair), code(self.weight_code, pair), code(self.triple_code, triple)
 
-    @staticmethod
-    def down(node: np.ndarray, word: np.ndarray, pointers: EliasFano, level: EliasFano, size: int) -> np.ndarray:
+    def down(self, node: np.ndarray, word: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
         """The child of each node (-1: none) for a word."""
         out = np.full(len(node), -1, np.int64)
         ok = np.flatnonzero((node >= 0) & (word >= 0))
         n = node[ok]
-        out[ok] = level.find(n * size + word[ok], pointers[n], pointers[n + 1])
+        out[ok] = level.find(n * self.words.n + word[ok], pointers[n], pointers[n + 1])
         return out

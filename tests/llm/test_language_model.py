@@ -12,8 +12,8 @@ from tessera.llm.ngram_trie import STEP, VALUE, EliasFano, Trie
 
 
 def sequence(values):
-    n, low, high, ones = EliasFano.arrays(np.array(values, np.int64))
-    return EliasFano(int(n[0]), int(n[1]), low, high, ones)
+    n, low, high = EliasFano.arrays(np.array(values, np.int64))
+    return EliasFano(int(n[0]), int(n[1]), low, high)
 
 
 @pytest.mark.parametrize("values", [[], [0], [7], [2**40], [0] * 5, [3, 3, 3, 9, 9, 2**33], list(range(1000)), sorted(random.Random(1).randrange(10**6) for _ in range(5000)), sorted(random.Random(2).randrange(3000) ** 4 for _ in range(700))])
@@ -33,7 +33,7 @@ def test_sequences(values):
 
 def test_sequences_are_compact():
     values = np.sort(np.random.default_rng(1).integers(0, 2**32, 100_000))
-    assert sum(x.nbytes for x in EliasFano.arrays(values)) * 8 / len(values) < 2 + math.log2(2**32 / len(values)) + 1.5
+    assert sum(x.nbytes for x in EliasFano.arrays(values)) * 8 / len(values) < 2 + math.log2(2**32 / len(values)) + 0.1
 
 
 def rounded(p):
@@ -115,20 +115,25 @@ def test_next_words_sum_to_at_most_one():
     """The probabilities of all words after each context, with what is left to unknown words."""
     r = np.random.default_rng(4)
     text = r.integers(2, 14, 600)
-    first, second, third = text[:-2], text[1:-1], text[2:]
-    total = Counter(first.tolist())
-    begins = np.array([total[x] for x in first.tolist()])
     m2, m3 = language_model.PRIORS
-    trie = Trie(Trie.levels(first, second, third, np.ones(len(first), np.int64), begins, (m2, m3)))
+    total = Counter(text[:-2].tolist())
     words = np.arange(2, 14)
-    for u in words:
-        for v in words:
-            n = len(words)
-            a2, _, _ = trie.look_up(np.array([v]), words, np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            _, b3, a3 = trie.look_up(np.array([u]), np.array([v]), np.zeros(1, np.int64), words, np.zeros(n, np.int64))
+    pairs = sorted(set(zip(text[:-2].tolist(), text[1:-1].tolist())))
+    seen = Counter(zip(text.tolist(), text[1:].tolist(), text[2:].tolist()))
+    triples = sorted(seen)
+    first, second = np.array(pairs).T - 2
+    context, third = np.array([(pairs.index((a, b)), c - 2) for a, b, c in triples]).T
+    trie = Trie(Trie.levels(words, first, second, np.array([total[a] for a, _ in pairs]), context, third, np.array([seen[x] for x in triples]), (m2, m3)))
+    n = len(words)
+    every = np.arange(n)
+    for u in every:
+        for v in every:
+            a2, _, _ = trie.look_up(words, np.full(n, v), every, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            _, b3, a3 = trie.look_up(words, np.array([u]), np.array([v]), np.zeros(n, np.int64), every)
             left = VALUE[b3[0]] if b3[0] else 1.0
-            sum_ = VALUE[a3].sum() + left * (VALUE[a2].sum() + m2 / (total[v] + m2))
-            assert 0.9 < sum_ < 1 + 2 / (total[v] + m2)
+            began = total[int(v) + 2]
+            sum_ = VALUE[a3].sum() + left * (VALUE[a2].sum() + m2 / (began + m2))
+            assert 0.9 < sum_ < 1 + 2 / (began + m2)
 
 
 def test_tries_are_read_in_place(spark):
