@@ -17,8 +17,9 @@ The three are combined to one p-value of "this is prose or a name"; false
 discoveries among all strings of the corpus are controlled by weighted
 Benjamini-Hochberg at `FDR`, the weights growing with the string's length. Only
 a histogram of p-values (at most `BINS` rows) is gathered; its cut is a scalar
-subquery. One scan finds, another counts: no text is shuffled. Work is linear in
-the length of a text and of a string, but for a factor of `CHUNK` in folds.
+subquery. One scan finds; its spans (and, to mask them, the rows) go through one
+exchange that the histogram and the result both read. Work is linear in the
+length of a text and of a string, but for a factor of `CHUNK` in folds.
 
 Defined cases: a null or empty text has no spans; base spans of different kinds
 may overlap, a battery span does not overlap a base span (strings are looked for
@@ -110,17 +111,27 @@ def candidates(text: str) -> Column:
 
 
 def battery(strings: str) -> str:
-    """SQL: for an array of spans, the same spans with their evidence, `score`."""
+    """SQL: for an array of spans, the same spans with their evidence, `score`.
+
+    The tests go from the cheapest to the dearest, and a string that has failed
+    one is not looked at again. Each symbol's count is the length of its run in
+    the sorted string; the serial test needs three sums over neighbours.
+    """
     kind = r"case when x.word rlike '^([0-9a-f]+|[0-9A-F]+)=*$' then 'hex' when x.word rlike '^[A-Z2-7]+=*$' then 'base32' else 'base64' end"
     pick = lambda i: "case e.kind " + " ".join(f"when '{k}' then {float(v[i])}D" for k, v in PROSE.items()) + " end"
     symbols = "case e.kind " + " ".join(f"when '{k}' then '{a}'" for k, a in ALPHABET.items()) + " end"
+    runs = "regexp_extract_all(array_join(sort_array(split(replace(e.word, '=', ''), '')), ''), '(.)\\\\1*', 0)"
+    serial = "sqrt(e.n) * (e.pairs - e.sum / e.n * (2 * e.sum - get(e.codes, 0) - element_at(e.codes, -1)) + (e.n - 1) * (e.sum / e.n) * (e.sum / e.n)) / greatest(1e-9D, e.squares - e.sum * (e.sum / e.n))"
     steps = [
         f"transform({strings}, x -> struct(x.start as start, x.end as end, {kind} as kind, trim(trailing '=' from x.word) as word))",
-        f"e -> struct(e.start as start, e.end as end, e.kind as kind, case when e.kind = 'hex' then lower(e.word) else translate(e.word, '-_', '+/') end as word, translate(translate(translate(e.word, 'abcdefghijklmnopqrstuvwxyz', repeat('a', 26)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', repeat('A', 26)), '0123456789', repeat('0', 10)) as shape, {symbols} as symbols, {pick(0)} as k, {pick(1)} as s2, {pick(2)} as s3, cast(char_length(e.word) as double) as n)",
-        "e -> struct(e.start as start, e.end as end, e.k as k, e.s2 as s2, e.s3 as s3, e.n as n, transform(filter(array_distinct(split(e.word, '')), c -> instr(e.symbols, c) > 0), c -> char_length(e.word) - char_length(replace(e.word, c, ''))) as counts, transform(split(e.word, ''), c -> cast(instr(e.symbols, c) as double)) as codes, char_length(regexp_replace(e.shape, '(.)\\\\1+', '$1')) - 1 as switches)",
-        "e -> struct(e.start as start, e.end as end, e.n as n, e.codes as codes, aggregate(e.codes, 0D, (a, c) -> a + c) / e.n as mean, e.k * aggregate(e.counts, 0D, (a, c) -> a + c * c) / e.n - e.n as chi, e.k * ((e.n - 1) * e.s2 + 1) - e.n as prose, 2 * e.k * sqrt(e.n * (e.s3 - e.s2 * e.s2)) as deviation, e.switches as switches)",
-        f"e -> struct(e.start as start, e.end as end, e.n as n, (e.prose - e.chi) / e.deviation as z1, (e.switches - {SWITCH}D * (e.n - 1) - 0.5D) / sqrt({SWITCH * (1 - SWITCH)}D * (e.n - 1)) as z2, sqrt(e.n) * aggregate(zip_with(e.codes, slice(e.codes, 2, size(e.codes)), (a, b) -> (a - e.mean) * (b - e.mean)), 0D, (a, c) -> a + coalesce(c, 0D)) / greatest(1e-9D, aggregate(e.codes, 0D, (a, c) -> a + (c - e.mean) * (c - e.mean))) as serial)",
-        f"e -> struct(e.start as start, e.end as end, least(4D, greatest(0.5D, e.n / 32)) as weight, case when e.z1 > 0 and e.z2 > 0 then (e.z1 + e.z2 - greatest(0D, abs(e.serial) - {SERIAL}D)) / sqrt(2D) else 0D end as z)",
+        "e -> struct(e.start as start, e.end as end, e.kind as kind, case when e.kind = 'hex' then lower(e.word) else translate(e.word, '-_', '+/') end as word, translate(e.word, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10))) as shape, cast(char_length(e.word) as double) as n)",
+        f"e -> struct(e.start as start, e.end as end, e.kind as kind, e.word as word, e.n as n, (char_length(regexp_replace(e.shape, '(.)\\\\1+', '$1')) - 1 - {SWITCH}D * (e.n - 1) - 0.5D) / sqrt({SWITCH * (1 - SWITCH)}D * (e.n - 1)) as z2)",
+        f"e -> struct(e.start as start, e.end as end, e.kind as kind, e.word as word, e.n as n, e.z2 as z2, {pick(0)} as k, {pick(1)} as s2, {pick(2)} as s3, case when e.z2 > 0 then aggregate({runs}, 0D, (a, c) -> a + cast(char_length(c) as double) * char_length(c)) end as equal)",
+        "e -> struct(e.start as start, e.end as end, e.kind as kind, e.word as word, e.n as n, e.z2 as z2, case when e.z2 > 0 then (e.k * ((e.n - 1) * e.s2 + 1) - e.k * e.equal / e.n) / (2 * e.k * sqrt(e.n * (e.s3 - e.s2 * e.s2))) else 0D end as z1)",
+        f"e -> struct(e.start as start, e.end as end, e.n as n, e.z1 as z1, e.z2 as z2, case when e.z1 > 0 then {bound(symbols, 's', 'transform(split(e.word, %s), c -> cast(instr(s, c) as bigint))' % repr(''))} end as codes)",
+        # the last code stays in the lowest eight bits
+        "e -> struct(e.n as n, e.start as start, e.end as end, e.z1 as z1, e.z2 as z2, e.codes as codes, aggregate(e.codes, 0L, (a, c) -> a + c) as sum, aggregate(e.codes, 0L, (a, c) -> a + c * c) as squares, aggregate(e.codes, 0L, (a, c) -> shiftleft(shiftright(a, 8) + (a & 255L) * c, 8) + c, a -> shiftright(a, 8)) as pairs)",
+        f"e -> struct(e.start as start, e.end as end, least(4D, greatest(0.5D, e.n / 32)) as weight, case when e.z1 > 0 then (e.z1 + e.z2 - greatest(0D, abs({serial}) - {SERIAL}D)) / sqrt(2D) else 0D end as z)",
         # an upper bound of the normal tail
         "e -> struct(e.start as start, e.end as end, e.weight as weight, greatest(0D, case when e.z > 0 then log10(e.weight) + (e.z * e.z / 2 + ln(e.z + sqrt(e.z * e.z + 8 / pi())) - 0.5D * ln(2 / pi())) / ln(10D) else 0D end) as score)",
     ]
@@ -141,14 +152,19 @@ def discoveries(scored: DataFrame) -> Column:
     return rows.select(cut.alias("cut")).scalar()
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row (the columns of docs), text (null: empty), and the spans found: base and extra. No name of docs can clash with those."""
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
-    strings = whole.withColumn("rest", without_assignments("text")).withColumn("strings", candidates("rest"))
-    cut = discoveries(strings.select(F.expr(battery("strings")).alias("scored")))
-    found = strings.withColumn("base", base_spans("text")).withColumn("scored", F.expr(battery("strings"))).withColumn("cut", cut)
+def scan(docs: DataFrame, text: str = "text", whole: bool = True) -> DataFrame:
+    """row (the columns of docs, without the text unless whole), and the spans found: base and extra; whole: also text (null: empty). No name of docs can clash with those.
+
+    What one scan has found is dealt by all of it, so nothing of it is pruned
+    and the corpus' cut and the result read the same exchange.
+    """
+    shown = F.struct(*[docs[f"`{c}`"] for c in docs.columns if whole or c != text])
+    own = docs.select(shown.alias("row"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
+    strings = own.withColumn("rest", without_assignments("text")).withColumn("strings", candidates("rest"))
+    found = strings.select("row", *["text"] * whole, base_spans("text").alias("base"), F.expr(battery("strings")).alias("scored"))
+    found = found.repartition(F.xxhash64(*found.columns))
     extra = F.expr(f"cast(transform(filter(scored, x -> x.score >= cut), x -> struct(x.start as start, 3 as rank, x.end as end, 'random' as kind, '' as word)) as {SPANS})")
-    return found.select("row", "text", "base", extra.alias("extra"))
+    return found.withColumn("cut", discoveries(found)).select("row", *["text"] * whole, "base", extra.alias("extra"))
 
 
 def listed(spans: Column) -> Column:
@@ -158,7 +174,7 @@ def listed(spans: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(docs.select("doc_id", "text"), whole=False)
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("row.doc_id", *[count(k) for k in KINDS[:3]], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_random"))
 
