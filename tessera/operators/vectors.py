@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import clamped_dot, cosine, dot, norm, quality_multiplier
 from tessera.operators.iterate import bounded
+from tessera.operators.pairs import similar
 
 MOST = 100
 #: Centroids that are compared with each other, or sent to every task.
@@ -51,10 +52,11 @@ def similar_groups(vectors: DataFrame, group: str, vec: str, centre: DataFrame,
 
 
 def pairs(centre: DataFrame, key: str, vec: str, least: float, known: DataFrame | None = None) -> DataFrame:
-    """Pairs of centroids at `least` or more, without those in known (a, b). Centroids are one row a cluster: at most `CENTRES` of them, which is checked; more are an error (compare documents with the near-duplicate operators)."""
-    centre = bounded(centre.select(key, vec), CENTRES, "centroids")
-    a, b = centre.select(F.col(key).alias("a"), F.col(vec).alias("va")), centre.select(F.col(key).alias("b"), F.col(vec).alias("vb"))
-    out = a.join(b, F.col("a") < F.col("b")).select("a", "b", clamped_dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    """a, b, similarity: pairs at `least` or more, without those in known (a, b). Above 0 any number of vectors (`pairs.similar`); at 0 every pair qualifies, so at most `CENTRES` of them, which is checked."""
+    if least > 0:
+        out = similar(centre, key, vec, least)
+    else:
+        out = matrix(centre, key, vec).where((F.col("a") < F.col("b")) & (F.col("similarity") >= least))
     if known is not None:
         out = out.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import cosine
-from tessera.operators import compare, vectors
+from tessera.operators import compare, pairs, vectors
 from tessera.operators.corpus import Corpus
 from tessera.plans.registry import query
 
@@ -71,6 +71,24 @@ def similar_pairs(spark, sf):
     return vectors.pairs(centre(spark, sf), "label", "centroid", 0.01, known).withColumn("similarity", F.round("similarity", 4))
 
 
+UNIT = f"{V}, u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v), s as (select x.vec_id as a, y.vec_id as b, list_dot_product(x.u, y.u) as s from u x join u y on x.vec_id < y.vec_id)"
+
+
+@query(f"""with {UNIT} select a, b, round(least(1.0, s), 4) as similarity from s where s >= 0.3""")
+def vector_pairs(spark, sf):
+    """Every pair of vectors of the table that are alike."""
+    return pairs.similar(embeddings(spark, sf), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(
+    f"""with {UNIT}, m as (select a, b, s from s order by s desc, a, b limit 1), l as (select a, b, s from s order by s, a, b limit 1)
+    select (select count(*) from v) as n, (select count(*) from s) as pairs, (select round(avg(s), 6) from s) as mean, m.a as most_a, m.b as most_b, round(m.s, 6) as most, l.a as least_a, l.b as least_b, round(l.s, 6) as least from m, l"""
+)
+def matrix_summary(spark, sf):
+    """The most and the least similar pair of all vectors, and the mean of all pairs, without their matrix."""
+    return pairs.extremes(embeddings(spark, sf), "vec_id", "embedding").withColumns({c: F.round(c, 6) for c in ("mean", "most", "least")})
+
+
 @query(f"""with {CENTRE} select x.label as a, y.label as b, round({CLAMP}, 4) as similarity from c x, c y""")
 def similarity_matrix(spark, sf):
     return vectors.matrix(centre(spark, sf), "label", "centroid").withColumn("similarity", F.round("similarity", 4))
