@@ -121,11 +121,29 @@ def classes(payloads: list[bytes], _keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner, place, suffix_classes(joined, begin[owner] + place)
 
 
+def hashes(block: Block, at: np.ndarray) -> np.ndarray:
+    if not len(at):
+        return np.zeros(0, U64)
+    return arrays.span_hash(arrays.prefix(arrays.BYTE_VALUE[block.data]), at, at + LENGTH)
+
+
+def same(block: Block, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Byte by byte, a slice at a time."""
+    out = at == other
+    todo = np.flatnonzero(~out)
+    for i in range(0, len(todo), 1 << 16):
+        k = todo[i : i + (1 << 16)]
+        step = np.arange(LENGTH)
+        out[k] = (block.data[at[k][:, None] + step] == block.data[other[k][:, None] + step]).all(1)
+    return out
+
+
 SCHEME = Scheme(
     K=LENGTH,
     load=load,
     payload=lambda block, first, count: block.data[first : first + count - 1 + LENGTH].tobytes(),
-    window_hash=lambda payload, w: int.from_bytes(hashlib.blake2b(payload[w : w + LENGTH], digest_size=8).digest(), "little", signed=True),
+    hashes=hashes,
+    same=same,
     classes=classes,
 )
 

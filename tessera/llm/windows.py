@@ -9,12 +9,17 @@ with the size of a group of copies:
 1. documents are dealt to blocks by a hash of doc_id (one exchange of texts,
    reused by the later steps); a block finds its distinct (anchor, context)
    pairs, keeps the earliest document of each, and sends those, packed, to the
-   bucket of the anchor;
+   bucket of the anchor; of an anchor with many contexts in the block it sends
+   only that;
 2. a bucket sorts them: a context that an earlier document has is covered
    whole; an anchor with several contexts is unresolved, the earliest document
    of each context has to be compared window by window;
 3. blocks send the contexts of unresolved anchors; the scheme finds equal
-   windows among them (for bytes a suffix sort by bucket-pointer refinement);
+   windows among them (for bytes a suffix sort by bucket-pointer refinement).
+   Of a hot anchor (with very many contexts, or many in some block) a block
+   sends each distinct window once, with its earliest document, to a place of
+   the window's own: what one group gets grows with the number of blocks, not
+   of documents, and only its earliest row is held;
 4. blocks mark what is covered and rewrite their documents.
 
 Anchors are told apart by 48 bits of a hash (two that fall together are only
@@ -47,6 +52,8 @@ SHARE = 1
 TASK = 8
 #: Contexts of one anchor from which its windows are dealt out singly, by their own hash.
 HOT = 20_000
+#: Contexts of one anchor in a block from which the block doesn't send them, and the anchor is hot everywhere.
+LOCAL = 32
 #: Rows that are resolved at once in a bucket of unresolved contexts.
 CHUNK_ROWS = 10_000
 LATEST = np.iinfo(np.int64).max
@@ -77,12 +84,13 @@ class Block:
 
 @dataclass
 class Scheme:
-    """K: units in a window. load: Arrow texts to a Block. payload: the windows [first, first + count) as bytes. classes: of each window of each payload its payload, its place and its class."""
+    """K: units in a window. load: Arrow texts to a Block. payload: the windows [first, first + count) as bytes. hashes: of the windows at some units. same: whether windows at units of one hash are equal. classes: of each window of each payload its payload, its place and its class."""
 
     K: int
     load: Callable[[pa.ChunkedArray], Block]
     payload: Callable[[Block, int, int], bytes]
-    window_hash: Callable[[bytes, int], int]
+    hashes: Callable[[Block, np.ndarray], np.ndarray]
+    same: Callable[[Block, np.ndarray, np.ndarray], np.ndarray]
     classes: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -119,6 +127,43 @@ def representatives(block: Block, order: np.ndarray) -> tuple[np.ndarray, np.nda
     return rep, d[rep], pair, d > d[rep][pair]
 
 
+def crowded(keys: np.ndarray, least: int) -> np.ndarray:
+    """Of ascending keys those that occur `least` times or more."""
+    edges = np.flatnonzero(np.diff(keys, prepend=~keys[:1], append=~keys[-1:]) != 0)
+    size = np.diff(edges)
+    return np.repeat(size >= least, size)
+
+
+@dataclass
+class Singles:
+    """The windows of some pairs, by equal windows of one anchor, each group by document: the pair, place, unit and document of each, its group, and where groups begin."""
+
+    pair: np.ndarray
+    window: np.ndarray
+    at: np.ndarray
+    doc: np.ndarray
+    hash: np.ndarray
+    group: np.ndarray
+    head: np.ndarray
+
+    @classmethod
+    def of(cls, block: Block, pairs: np.ndarray, rep: np.ndarray, d: np.ndarray, scheme: Scheme) -> Singles:
+        a, own = block.anchors, rep[pairs]
+        count = a.count[own]
+        owner = np.repeat(np.arange(len(pairs)), count)
+        window = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at, doc = a.first[own][owner] + window, d[pairs][owner]
+        hashes = scheme.hashes(block, at)
+        both = arrays.mix(hashes ^ a.key[own][owner])
+        o = np.lexsort((doc, both))
+        new = np.ones(len(o), bool)
+        new[1:] = both[o][1:] != both[o][:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(o) else np.zeros(0, np.int64)
+        # windows that only share a hash are groups of their own
+        new |= ~scheme.same(block, at[o], at[o][first])
+        return cls(pairs[owner[o]], window[o], at[o], doc[o], hashes[o], np.cumsum(new) - 1, np.flatnonzero(new))
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Ranges of the key, so that sorted keys have sorted buckets."""
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
@@ -144,22 +189,25 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         a, out = block.anchors, []
         low = int(d.min()) if len(d) else 0
         width = max(1, (int(d.max()) - low).bit_length() + 7 >> 3) if len(d) else 1
+        many = crowded(a.key[rep], LOCAL)
+        marks, rep, d = np.unique(a.key[rep[many]]), rep[~many], d[~many]
         keys, contexts, checks = a.key[rep], a.context[rep], a.check[rep]
-        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            s = slice(edges[p], edges[p + 1])
-            out.append((p, int(t.column("block")[0].as_py()), low, width, short(keys[s], 6), short(contexts[s], 8), short(checks[s], 4), short((d[s] - low).view(U64), width)))
-        cols = list(zip(*out, strict=True)) or [[]] * 8
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "block", "low", "width", "keys", "contexts", "checks", "docs"])
+        edges, marked = (np.searchsorted(bucket_of(k, buckets), np.arange(buckets + 1)) for k in (keys, marks))
+        for p in np.flatnonzero(np.diff(edges) + np.diff(marked)).tolist():
+            s, m = slice(edges[p], edges[p + 1]), slice(marked[p], marked[p + 1])
+            out.append((p, int(t.column("block")[0].as_py()), low, width, short(keys[s], 6), short(contexts[s], 8), short(checks[s], 4), short((d[s] - low).view(U64), width), short(marks[m], 6)))
+        cols = list(zip(*out, strict=True)) or [[]] * 9
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "block", "low", "width", "keys", "contexts", "checks", "docs", "marks"])
 
     def judge(t: pa.Table) -> pa.Table:
-        """0: nothing known, 1: covered, 2: to be compared, 3: the same of an anchor with very many contexts."""
+        """0: nothing known, 1: covered, 2: to be compared, 3: the same of a hot anchor."""
         arrays.release()
-        rows = t.select(["block", "low", "width", "keys", "contexts", "checks", "docs"]).to_pylist()
+        rows = t.select(["block", "low", "width", "keys", "contexts", "checks", "docs", "marks"]).to_pylist()
         size = [len(r["keys"]) // 6 for r in rows]
         joined = lambda c, kind: np.frombuffer(b"".join([r[c] for r in rows]), kind)
         keys, contexts, checks = np.concatenate([long(r["keys"], 6) for r in rows]), joined("contexts", "<u8"), joined("checks", "<u4")
         docs_at = np.concatenate([long(r["docs"], r["width"]).view(np.int64) + r["low"] for r in rows])
+        hot = np.unique(np.concatenate([long(r["marks"], 6) for r in rows]))
         verdict = np.zeros(len(keys), np.uint8)
         # a share of the anchors at a time: sorting holds several arrays
         for share in range(SHARE):
@@ -169,6 +217,7 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
             several = np.zeros(len(by), bool)
             several[1:] |= same
             several[:-1] |= same
+            several |= np.isin(keys[by], hot)
             at = by[several]
             if not len(at):
                 continue
@@ -184,38 +233,41 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
             several_contexts = np.bincount(group[first])[group]
             earliest = d[first][np.cumsum(new) - 1]
             verdict[at[d > earliest]] = 1
-            open_ = (d == earliest) & (several_contexts > 1)
-            verdict[at[open_]] = np.where(several_contexts[open_] > HOT, 3, 2)
+            dealt = (several_contexts > HOT) | np.isin(key, hot)
+            open_ = (d == earliest) & ((several_contexts > 1) | dealt)
+            verdict[at[open_]] = np.where(dealt[open_], 3, 2)
         edges = np.cumsum([0, *size])
         found = [(rows[i]["block"], verdict[edges[i] : edges[i + 1]].tobytes()) for i in range(len(rows))]
         return pa.table([pa.array([b for b, _ in found], pa.int32()), pa.array([t.column("bucket")[0].as_py()] * len(found), pa.int32()), pa.array([v for _, v in found], pa.binary())], names=["block", "bucket", "verdict"])
 
-    def verdicts(t: pa.Table, size: int) -> np.ndarray:
+    def verdicts(t: pa.Table, keys: np.ndarray) -> np.ndarray:
         rows = sorted((r["bucket"], r["verdict"]) for r in t.select(["bucket", "verdict"]).to_pylist() if r["verdict"] is not None)
-        raw = np.frombuffer(b"".join([v for _, v in rows]), np.uint8)
-        assert len(raw) == size, f"{len(raw)} verdicts for {size} anchors"
-        return raw
+        raw, many = np.frombuffer(b"".join([v for _, v in rows]), np.uint8), crowded(keys, LOCAL)
+        assert len(raw) == len(keys) - many.sum(), f"{len(raw)} verdicts for {len(keys) - many.sum()} contexts"
+        out = np.full(len(keys), 3, np.uint8)
+        out[~many] = raw
+        return out
 
     def show(t: pa.Table, known: pa.Table) -> pa.Table:
         block, order = read(t)
         rep, d, _, _ = representatives(block, order)
-        verdict, a, out = verdicts(known, len(rep)), block.anchors, []
+        a, out = block.anchors, []
+        verdict = verdicts(known, a.key[rep])
         number = t.column("block")[0].as_py() if t.num_rows else 0
-        todo = np.flatnonzero(verdict >= 2)
+        todo = np.flatnonzero(verdict == 2)
         keys = (a.key[rep[todo]]).view(np.int64).tolist()
-        for r, k, v, i, dd in zip(todo.tolist(), keys, verdict[todo].tolist(), rep[todo].tolist(), d[todo].tolist(), strict=True):
-            first, count = int(a.first[i]), int(a.count[i])
-            if v == 2:
-                out.append((k, 0, number, r, 0, dd, scheme.payload(block, first, count)))
-            else:
-                for w in range(count):
-                    own = scheme.payload(block, first + w, 1)
-                    out.append((k, scheme.window_hash(own, 0), number, r, w, dd, own))
+        for r, k, i, dd in zip(todo.tolist(), keys, rep[todo].tolist(), d[todo].tolist(), strict=True):
+            out.append((k, 0, number, r, 0, dd, scheme.payload(block, int(a.first[i]), int(a.count[i]))))
+        one = Singles.of(block, np.flatnonzero(verdict == 3), rep, d, scheme)
+        h = one.head
+        keys = a.key[rep[one.pair[h]]].view(np.int64).tolist()
+        for k, salt, r, w, at, dd in zip(keys, one.hash[h].view(np.int64).tolist(), one.pair[h].tolist(), one.window[h].tolist(), one.at[h].tolist(), one.doc[h].tolist(), strict=True):
+            out.append((k, salt, number, r, w, dd, scheme.payload(block, at, 1)))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "salt", "block", "pair", "window", "doc", "payload"])
 
     def compare(batches):
-        """Equal windows of contexts that share an anchor; (key, salt) come sorted, so groups are seen whole while a chunk is held."""
+        """Equal windows of contexts that share an anchor; rows come sorted by (key, salt, doc), so groups are seen whole while a chunk is held, and of a single window only its earliest row is."""
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
@@ -228,8 +280,13 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
             cut = int(np.argmax((k == k[-1]) & (s == s[-1])))
             if cut:
                 yield from resolve(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-                rows = t.num_rows - cut
+                t = t.slice(cut)
+            elif s[-1]:
+                yield from resolve(t)
+                kinds = t.column("payload").combine_chunks().dictionary_encode().indices.to_numpy()
+                t = t.take(pa.array(np.unique(kinds, return_index=True)[1]))
+            held = t.combine_chunks().to_batches()
+            rows = t.num_rows
         if held:
             yield from resolve(pa.Table.from_batches(held))
 
@@ -256,30 +313,38 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         if not t.num_rows:
             return empty
         block, order = read(t)
-        rep, _, pair, later = representatives(block, order)
+        rep, d, pair, later = representatives(block, order)
         a = block.anchors
         covered = np.zeros(int(block.starts[-1]) + 1, np.int32)
         if len(rep):
-            whole = later | (verdicts(known, len(rep))[pair] == 1)
+            verdict = verdicts(known, a.key[rep])
+            whole = later | (verdict[pair] == 1)
             np.add.at(covered, a.first[whole], 1)
             np.add.at(covered, a.first[whole] + a.count[whole] - 1 + scheme.K, -1)
             part = known.filter(pc.is_valid(known.column("mask")))
-            if part.num_rows:
-                mask = np.zeros(len(rep), U64)
-                np.bitwise_or.at(mask, part.column("pair").to_numpy(), part.column("mask").to_numpy().view(U64))
-                some = np.flatnonzero(~whole & (mask[pair] != 0))
-                bits = mask[pair[some]]
-                for w in range(int(a.count.max())):
-                    at = a.first[some[(bits >> U64(w)) & U64(1) == 1]] + w
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + scheme.K, -1)
+            mask = np.zeros(len(rep), U64)
+            np.bitwise_or.at(mask, part.column("pair").to_numpy(), part.column("mask").to_numpy().view(U64))
+            one = Singles.of(block, np.flatnonzero(verdict == 3), rep, d, scheme)
+            if len(one.pair):
+                # an earlier document elsewhere covers the whole group, one of the block those after it
+                bit = U64(1) << one.window.astype(U64)
+                hit = (mask[one.pair] & bit)[one.head] != 0
+                gone = hit[one.group] | (one.doc > one.doc[one.head][one.group])
+                mask[verdict == 3] = 0
+                np.bitwise_or.at(mask, one.pair[gone], bit[gone])
+            some = np.flatnonzero(~whole & (mask[pair] != 0))
+            bits = mask[pair[some]]
+            for w in range(int(a.count.max())):
+                at = a.first[some[(bits >> U64(w)) & U64(1) == 1]] + w
+                np.add.at(covered, at, 1)
+                np.add.at(covered, at + scheme.K, -1)
         return finish(block, np.cumsum(covered[:-1]) > 0, t)
 
     empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
     blocks = keyed.repartition(parts, "block").groupBy("block")
-    sent = blocks.applyInArrow(send, "bucket int, block int, low long, width int, keys binary, contexts binary, checks binary, docs binary")
+    sent = blocks.applyInArrow(send, "bucket int, block int, low long, width int, keys binary, contexts binary, checks binary, docs binary, marks binary")
     known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(judge, "block int, bucket int, verdict binary")
     shown = blocks.cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(show, "key long, salt long, block int, pair int, window int, doc long, payload binary")
-    masks = shown.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(compare, "block int, pair int, mask long")
+    masks = shown.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(compare, "block int, pair int, mask long")
     both = known.select("block", "bucket", "verdict", F.lit(None).cast("int").alias("pair"), F.lit(None).cast("long").alias("mask")).unionByName(masks, allowMissingColumns=True)
     return blocks.cogroup(both.repartition(parts, "block").groupBy("block")).applyInArrow(mark, schema)

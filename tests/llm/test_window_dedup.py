@@ -103,3 +103,54 @@ def test_null_ids_are_dealt_to_several_blocks(spark, monkeypatch):
     want = [r[:5] for r in brute.remove_bytes(rows)]
     got = [tuple(r) for r in suffix_dedup.digests(table(spark, rows)).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def passages(n, seed, size):
+    """A passage in many documents of different surroundings, some with a second one; copies and plain texts between."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    one, two = (" ".join(word() for _ in range(size)) for _ in range(2))
+    rows = []
+    for i in range(n):
+        own = " ".join(word() for _ in range(8))
+        rows.append((r.choice([i, i, i, None]) if i % 50 else 3, f"{own} {one} {own[::-1]}" if i % 3 else f"{own} {two} x {one[:400]}" if i % 2 else own * 3))
+    return rows
+
+
+@pytest.mark.parametrize("op, plain", [(suffix_dedup, lambda rows: [r[:5] for r in brute.remove_bytes(rows)]), (cover_dedup, brute.remove_words)])
+@pytest.mark.parametrize("local, hot", [(2, windows.HOT), (5, 3), (10**6, 5), (10**6, windows.HOT)])
+def test_hot_passages_match_brute_force(spark, monkeypatch, op, plain, local, hot):
+    monkeypatch.setattr(windows, "BLOCK", 8000)
+    monkeypatch.setattr(windows, "LOCAL", local)
+    monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "CHUNK_ROWS", 3)
+    rows = passages(150, local + hot, 90)
+    got = [tuple(r) for r in op.digests(table(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(plain(rows), key=key)
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, cover_dedup])
+def test_a_passage_everywhere_is_no_hot_group(spark, monkeypatch, op):
+    """20,000 documents of different surroundings share a passage: what a bucket gets, and what is shown of one window, is a row a block."""
+    r = random.Random(11)
+    shared = " ".join(f"p{r.randrange(10**6)}" for _ in range(80))
+    df = spark.range(20_000, numPartitions=4).selectExpr("id as doc_id", f"concat(sha2(cast(id as string), 256), ' {shared} ', sha2(cast(-id - 1 as string), 256)) as text")
+    monkeypatch.setattr(windows, "BLOCK", 1 << 20)
+    seen = []
+    apply = type(df.groupBy("doc_id")).applyInArrow
+
+    def watched(self, f, schema):
+        out = apply(self, f, schema)
+        if "marks binary" in str(schema):
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(type(df.groupBy("doc_id")), "applyInArrow", watched)
+    got = op.digests(df)
+    sent = seen[0].selectExpr("sum(length(keys)) / 6 as contexts", "sum(length(marks)) / 6 as marks").first()
+    # an anchor at the passage's edges has 20,000 contexts
+    assert sent.contexts < 20_000 * 40 and sent.marks > 0
+    rows = {x.doc_id: x for x in got.collect()}
+    gone = {x.n_removed for i, x in rows.items() if i}
+    # bytes around the passage may agree with an earlier document by chance
+    assert rows[0].n_removed == 0 and (gone == {80} if op is cover_dedup else len(shared) + 2 <= min(gone) and max(gone) < len(shared) + 20)
