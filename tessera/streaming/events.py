@@ -34,17 +34,17 @@ def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay:
 
 
 def states(events: DataFrame, key: str, state: str, order: str) -> DataFrame:
-    """key, state, previous, valid: the workflow state machine over a stream, one kept state a key."""
+    """key, state, previous (null at first), valid: the workflow state machine over a stream, one kept state a key."""
 
     def run(own: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now = held.get[0] if held.exists else ""
+        now = held.get[0] if held.exists else None
         rows = []
-        for pdf in parts:
-            for s in pdf.sort_values(order)[state]:
-                ok = s in TRANSITIONS.get(now, [])
-                rows.append((own[0], s, now, ok))
-                if ok:
-                    now = s
+        # the rows of a batch come in parts: they are ordered together
+        for s in pd.concat(list(parts)).sort_values(order)[state]:
+            ok = s in TRANSITIONS.get(now or "", [])
+            rows.append((own[0], s, now, ok))
+            if ok:
+                now = s
         held.update((now,))
         yield pd.DataFrame(rows, columns=[key, "state", "previous", "valid"])
 
