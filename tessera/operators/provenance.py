@@ -9,8 +9,6 @@ from tessera.functions.scalar import chain_hash, content_hash, slug_agent
 from tessera.operators.iterate import cut
 from tessera.operators.reports import page
 
-#: Steps of a walk after which records are taken to be in a cycle.
-MOST = 1000
 # The types of records from the root to each type.
 PATHS = {
     "DOCUMENT": ("DOCUMENT",),
@@ -74,20 +72,21 @@ def verify_records(records: DataFrame) -> DataFrame:
 
 
 def lineage(records: DataFrame, start: DataFrame) -> DataFrame:
-    """item, step, id, type: each start id (column id) and its ancestors up to the root, or up to where a walk would return to its start."""
+    """item, step, id, type: each start id (column id) and its ancestors up to the root, or up to where a walk would come to an id again. Walks have any length; one row a walk is carried, with the ids it has met."""
     edges = cut(records.select("id", "parent_id", "type"))
-    now = start.select(F.col("id").alias("item"), "id").join(edges, "id").withColumn("step", F.lit(0))
-    out = now
-    for d in range(1, MOST):
-        now = cut(now.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("item"))).select("item", F.col("parent_id").alias("id")).join(edges, "id").withColumn("step", F.lit(d)))
+    now = start.select(F.col("id").alias("item"), "id").join(edges, "id").withColumn("step", F.lit(0)).withColumn("met", F.array("id"))
+    out, d = now, 0
+    while True:
+        d += 1
+        up = now.where(F.col("parent_id").isNotNull() & ~F.array_contains("met", F.col("parent_id"))).select("item", F.col("parent_id").alias("id"), F.array_append("met", F.col("parent_id")).alias("met"))
+        now = cut(up.join(edges, "id").select("item", "id", "parent_id", "type", F.lit(d).alias("step"), "met"))
         if now.isEmpty():
             return out.select("item", "step", "id", "type")
         out = out.unionByName(now)
-    raise ValueError(f"a walk of {MOST} steps: parent ids form a cycle")
 
 
 def ancestors(records: DataFrame) -> DataFrame:
-    """id, depth, path: the ids above each record, nearest first. Records that no root leads to (an absent parent, a cycle) have the path as far as it goes up to an absent record, or none."""
+    """id, depth, path: the ids above each record, nearest first. Where no root leads to a record, the path goes as far as an absent record, or once round a cycle."""
     walk = lineage(records, records.select("id"))
     return walk.groupBy(F.col("item").alias("id")).agg(F.max("step").alias("depth"), F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", F.col("id").cast("string").alias("id"))))).alias("p")).select("id", "depth", F.transform("p", lambda x: x["id"]).alias("path"))
 

@@ -31,3 +31,39 @@ def test_roles(spark):
     scopes = spark.createDataFrame([("viewer", "read"), ("admin", "read"), ("admin", "write")], "role string, scope string")
     tools = spark.createDataFrame([("search", "read"), ("delete", "write")], "tool string, scope string")
     assert sorted(tuple(r) for r in enrich.allowed(users, scopes, tools).collect()) == [(1, "search"), (2, "delete"), (2, "search")]
+
+
+def test_sql_lineage_equals_the_operator_with_cycles(spark):
+    from tessera.functions.register import lineage_view
+    from tessera.operators import provenance
+
+    # a chain, a fork, a loop that is entered from outside, a record that is its own parent, an absent parent
+    rows = [("r", None), ("a", "r"), ("b", "a"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("l", "gone")]
+    df = spark.createDataFrame([(i, p, "T") for i, p in rows], "id string, parent_id string, type string")
+    df.createOrReplaceTempView("walk_records")
+    lineage_view(spark, "walk_records")
+    got = {tuple(r) for r in spark.sql("select item, step, id, type from prov_lineage").collect()}
+    assert got == {tuple(r) for r in provenance.lineage(df, df.select("id")).collect()}
+    assert {(r.item, r.id) for r in spark.sql("select item, id from prov_lineage where cycle").collect()} == {("x", "z"), ("y", "z"), ("z", "y"), ("s", "s")}
+    paths = {r.id: r.path for r in provenance.ancestors(df).collect()}
+    assert paths == {"r": [], "a": ["r"], "b": ["a", "r"], "c": ["a", "r"], "x": ["y", "z"], "y": ["z"], "z": ["y"], "s": [], "l": []}
+
+
+def test_long_walks_have_no_limit(spark, monkeypatch):
+    from tessera.operators import provenance
+
+    df = spark.createDataFrame([(i, i - 1 if i else None, "T") for i in range(40)], "id long, parent_id long, type string")
+    assert provenance.lineage(df, df.where("id = 39").select("id")).count() == 40
+
+
+def test_vectors_and_tables_in_sql(spark):
+    from tessera.operators import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, None)], "g int, v array<double>")
+    df.createOrReplaceTempView("some_vectors")
+    got = {r.g: r.c for r in spark.sql("select g, vec_centroid(v) as c from some_vectors group by g").collect()}
+    want = {r.g: r.centroid for r in vectors.centroids(df.where("v is not null"), "g", "v").collect()}
+    assert got[3] is None and all(all(abs(a - b) < 1e-12 for a, b in zip(got[g], want[g])) for g in (1, 2))
+    cells = spark.sql("select * from html_tables('<table><tr><th>A</th><td> b <i>c</i></td></tr><tr><td>1</td></tr></table>')").collect()
+    assert [tuple(r) for r in cells] == [(0, 0, "A"), (0, 1, "b c"), (1, 0, "1")]
+    assert spark.sql("select * from html_tables(null)").collect() == []
