@@ -68,7 +68,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
         new[1:] = place[1:] != place[:-1]
         head = np.flatnonzero(new)
         first, count, place = ok[head], np.diff(np.append(head, len(ok))), place[head]
-        gram, end = grams[place], first + count - 1 + LENGTH
+        # mixed: least hashes crowd near zero, and buckets are ranges
+        gram, end = arrays.mix(grams[place]), first + count - 1 + LENGTH
         context = arrays.mix(arrays.span_hash(sums, first, end) + (place - first).astype(U64))
         del grams, least, sums
         check = arrays.span_hash(arrays.prefix(arrays.OTHER_VALUE[part]), first, end).astype(np.uint32)
