@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import quality_multiplier
 from tessera.functions.text import parse_query, query_terms, snippet
 from tessera.operators import engine, fusion, search
 from tessera.operators.corpus import Corpus
@@ -292,18 +291,62 @@ COSINE = "list_cosine_similarity(embedding::double[], (select embedding::double[
 )
 def unified_search(spark, sf):
     """Text and vectors fused by typed keys, weighted by quality, without copies, three to a source."""
+    best = two_branches(spark, sf).search("the OR of", first_embedding(spark, sf), 10, weights=(1.0, 1.0))
+    return engine.compact(best, "hybrid").select("item", F.round("rrf_score", 8).alias("rrf_score"), "rank")
+
+
+def two_branches(spark, sf) -> engine.Engine:
     c = Corpus(spark, sf)
     chunks = c.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("document"), "text")
     vectors = c.embeddings.select(F.lit("chunk").alias("kind"), F.col("vec_id").alias("item"), "embedding")
-    own = engine.Engine({"chunk": engine.Kind(shared_index(spark, sf), chunks)}, vectors)
-    first = F.array(*map(F.lit, c.embeddings.where("vec_id = 0").first().embedding))
-    hits = own.text("the OR of", 20), own.nearest(first, 20, 0.0)
-    fused = engine.fuse([(h, 1.0) for h in hits], "dedup_key").withColumn("item", F.split_part("dedup_key", F.lit(":"), F.lit(2)).cast("long"))
-    found = fused.join(chunks, "item").join(quality(spark, sf).withColumnRenamed("doc_id", "item"), "item", "left").withColumn("score", F.col("score") * quality_multiplier(F.col("quality")))
-    order = F.struct(F.negative("score").alias("s"), "dedup_key")
-    kept = fusion.first_by_hash(found.withColumn("h", F.sha2("text", 256)).withColumn("o", order), "h", "o")
-    best = search.ranked(fusion.diverse(kept, "document", "o", 3), "dedup_key", "score", 10)
-    return engine.compact(best.withColumn("kind", F.lit("chunk")), "hybrid").select("item", F.round("rrf_score", 8).alias("rrf_score"), "rank")
+    return engine.Engine({"chunk": engine.Kind(shared_index(spark, sf), chunks)}, vectors, quality(spark, sf).withColumnRenamed("doc_id", "item"))
+
+
+def first_embedding(spark, sf):
+    return F.array(*map(F.lit, Corpus(spark, sf).embeddings.where("vec_id = 0").first().embedding))
+
+
+def one_branch(ranks: str) -> str:
+    return f"""f as (select doc_id, 1.0 / (60 + n) as s from ({ranks})),
+    {QUALITY_CTE}, w as (select f.doc_id, d.text, d.source, s * (case when q.quality is null then 0.9 else {QUALITY} end) as score from f join documents d on f.doc_id = d.doc_id left join q on f.doc_id = q.doc_id),
+    u as (select *, row_number() over (partition by text order by score desc, 'chunk:' || doc_id) as c from w), v as (select *, row_number() over (partition by source order by score desc, 'chunk:' || doc_id) as k from u where c = 1)
+    select doc_id as item, round(score, 8) as score, row_number() over (order by score desc, 'chunk:' || doc_id) as rank from v where k <= 3 order by score desc, 'chunk:' || doc_id limit 10"""
+
+
+@query(f"""with {bm25_sql(["of", "the"], has("the", "of", any_of=True))}, {one_branch("select doc_id, row_number() over (order by score desc, 'chunk:' || doc_id) as n from (select * from r order by score desc, doc_id limit 20)")}""")
+def keyword_search(spark, sf):
+    """The engine's text branch alone, with all that follows it."""
+    return two_branches(spark, sf).search("the OR of", None, 10, "keyword", weights=(1.0, 1.0)).select("item", F.round("score", 8).alias("score"), "rank")
+
+
+@query(f"""with {one_branch(f"select vec_id as doc_id, row_number() over (order by {COSINE} desc, 'chunk:' || vec_id) as n from embeddings qualify n <= 20")}""")
+def semantic_search(spark, sf):
+    """The engine's vector branch alone, with all that follows it."""
+    return two_branches(spark, sf).search("the OR of", first_embedding(spark, sf), 10, "semantic", weights=(1.0, 1.0)).select("item", F.round("score", 8).alias("score"), "rank")
+
+
+#: Characters of a chunk, and from one chunk to the next: neighbours overlap by more than half.
+CHUNK, STEP = 1200, 500
+
+
+def overlapping_chunks(spark, sf):
+    """item, document, start, end, text: every document in overlapping chunks."""
+    docs = Corpus(spark, sf).documents
+    each = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length("text") - 1), F.lit(STEP))).alias("start"))
+    text = F.substring("text", F.col("start") + 1, F.lit(CHUNK))
+    return each.select((F.col("doc_id") * 1_000_000 + F.floor(F.col("start") / STEP)).alias("item"), F.col("doc_id").alias("document"), "start", (F.col("start") + F.char_length(text)).alias("end"), text.alias("text"))
+
+
+@query(None)
+def rag_hybrid(spark, sf):
+    """Context for a question from overlapping chunks: both branches, three times the limit, overlaps, diversity, a budget of tokens; held against plain code in the tests."""
+    c, chunks = Corpus(spark, sf), overlapping_chunks(spark, sf)
+    own, now = Index(spark, f"{shared_folder(spark)}/index-{hashlib.sha256(f'chunks {sf}'.encode()).hexdigest()[:16]}", "item"), source_state(spark, f"{sf}/documents.parquet")
+    if not own.exists() or own.state["source"] != now:
+        Index.build(chunks, "item", "text", own.path, now)
+    vectors = c.embeddings.select(F.lit("chunk").alias("kind"), (F.col("vec_id") * 1_000_000).alias("item"), "embedding")
+    found = engine.Engine({"chunk": engine.Kind(Index(spark, own.path, "item"), chunks)}, vectors).rag("the OR of OR with", first_embedding(spark, sf), 8, 2, 900)
+    return found.select("rank", "item", "document", "tokens", F.round("score", 8).alias("score"))
 
 
 @query(None)

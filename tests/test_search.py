@@ -126,3 +126,56 @@ def test_engine(spark, tmp_path):
 def test_expansion_is_explained():
     got = search.explain_expansion("Injury date", {"injury": ["wound"]}, columns=["injury date", "x"])
     assert got["synonyms"] == {"injury": ["wound"]} and got["table_columns"] == ["injury date"] and got["expanded"] == "injury OR date OR wound OR injury date"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rag_equals_plain_code(spark, tmp_path, seed):
+    import random
+    import re
+
+    r = random.Random(seed)
+    words = "alpha beta gamma delta the of".split()
+    rows = []
+    for d in range(6):
+        own = [r.choice(words) for _ in range(40)]
+        for k in range(0, 36, r.choice([2, 3, 9])):
+            rows.append((d * 100 + k, f"d{d}", k, k + 10, " ".join(own[k : k + 10])))
+    rows.append((999, "d9", None, None, "alpha the alpha"))
+    chunks = spark.createDataFrame(rows, "item long, document string, start long, end long, text string")
+    index = Index.build(chunks, "item", "text", str(tmp_path / "i"), None)
+    embedded = spark.createDataFrame([("chunk", i, [float(r.random()), float(r.random())]) for i, *_ in rows if i % 2 == 0], "kind string, item long, embedding array<double>")
+    own = engine.Engine({"chunk": engine.Kind(index, chunks)}, embedded)
+    vector, limit, per = F.array(F.lit(1.0), F.lit(0.2)), 6, 2
+    score = {}
+    for hits in (own.text("alpha OR of", 3 * limit), own.nearest(vector, 3 * limit, 0.0)):
+        for h in hits.collect():
+            score[h.dedup_key] = score.get(h.dedup_key, 0) + 1 / (60 + h["rank"])
+    best = sorted(score, key=lambda k: (-score[k], k))[: 3 * limit]
+    of = {f"chunk:{i}": (d, s, e, t) for i, d, s, e, t in rows}
+    kept, used = [], {}
+    for k in best:
+        d, s, e, _ = of[k]
+        if s is not None and any(of[x][0] == d and of[x][1] is not None and min(e, of[x][2]) - max(s, of[x][1]) > 0.5 * max(1, min(e - s, of[x][2] - of[x][1])) for x in kept):
+            continue
+        kept.append(k)
+    assert len(kept) < len(best)
+    final = []
+    for k in kept:
+        used[of[k][0]] = used.get(of[k][0], 0) + 1
+        if used[of[k][0]] <= per:
+            final.append(k)
+    final = final[:limit]
+    assert [h.dedup_key for h in own.rag("alpha OR of", vector, limit, per, expand=False).orderBy("rank").collect()] == final
+    budget, total, want = 25, 0, []
+    for k in final:
+        total += len(re.findall(r"\w+", of[k][3]))
+        if total <= budget or not want:
+            want.append(k)
+    got = own.rag("alpha OR of", vector, limit, per, budget, expand=False)
+    assert [h.dedup_key for h in got.orderBy("rank").collect()] == want
+    text = engine.context_of(got, F.col("document"), 4000).first()
+    assert text.results == len(want) and text.context.startswith("## Relevant Document Excerpts\n\n### Result 1 (Score: ") and text.context.count("### Result") == len(want)
+    assert len(engine.context_of(got, F.col("document"), 50).first().context) == 50
+    assert "No relevant documents" in engine.context_of(got.limit(0), F.col("document"), 4000).first().context
+    with pytest.raises(ValueError):
+        own.search("alpha", None, mode="semantic")
