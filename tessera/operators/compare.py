@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import norm
 from tessera.operators.iterate import bounded
 
 
@@ -238,14 +239,18 @@ def density_labels(points: np.ndarray, least: int = 3) -> np.ndarray:
 
 
 def cluster_centroids(centroids: DataFrame, key: str, how: str, **options) -> DataFrame:
-    """key, cluster for at most `CENTRES` centroids, which is checked: the distance matrix needs them together. Use `kmeans` for more."""
+    """key, cluster. hdbscan: any number of centroids (`density.hdbscan`); agglomerative: at most `CENTRES`, which is checked, as the distance matrix needs them together (use `kmeans` for more)."""
+    if how == "hdbscan":
+        from tessera.operators.density import hdbscan
+
+        return hdbscan(centroids, key, "centroid", **options)
     centroids = bounded(centroids.select(key, "centroid"), CENTRES, "centroids")
     kind = centroids.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         points = np.stack(pdf["centroid"].to_numpy())
-        labels = density_labels(points, **options) if how == "hdbscan" else linkage(points, options.get("n_clusters"), options.get("distance"), options.get("how", "average"))
+        labels = linkage(points, options.get("n_clusters"), options.get("distance"), options.get("how", "average"))
         return pd.DataFrame({key: pdf[key], "cluster": labels})
 
     return centroids.select(key, "centroid", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, cluster long")
@@ -256,9 +261,12 @@ def kmeans(vectors: DataFrame, key: str, vec: str, k: int | None = None, seed: i
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select(key, array_to_vector(vec).alias("features"))
+    # a vector of length 0 (or null) has no direction: its cluster is null
+    size = F.coalesce(norm(F.col(vec)), F.lit(0.0))
+    rows = vectors.where(size > 0).select(key, array_to_vector(vec).alias("features"))
     if k is None:
         n = rows.count()
         k = max(2, min(n - 1, int(n**0.5)))
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(rows)
-    return model.transform(rows).select(key, F.col("prediction").cast("long").alias("cluster"))
+    found = model.transform(rows).select(key, F.col("prediction").cast("long").alias("cluster"))
+    return found.unionByName(vectors.where(~(size > 0)).select(key, F.lit(None).cast("long").alias("cluster")))

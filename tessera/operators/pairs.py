@@ -96,10 +96,12 @@ class Strips:
         met = cells.join(a, "a").join(b, "b")
         return met.where((F.col("a") != F.col("b")) | (F.col("x") <= F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    def compared(self, which: np.ndarray, compare, schema: str) -> DataFrame:
-        """compare(keys, vectors, keys, vectors, same) for each pair of strips that meets, as one table."""
+    def compared(self, which: np.ndarray, compare, schema: str, state: DataFrame | None = None) -> DataFrame:
+        """compare(table, vectors, table, vectors, same) for each pair of strips that meets, as one table. The tables have the keys, and what `state` has by key."""
         met = self.met(which)
-        sides = [self.rows.join(met, self.rows["strip"] == met[s]).select("a", "b", F.lit(s).alias("side"), "key", "v") for s in "ab"]
+        rows = self.rows if state is None else self.rows.join(state, "key")
+        more = [c for c in rows.columns if c not in ("key", "v", "strip")]
+        sides = [rows.join(met, rows["strip"] == met[s]).select("a", "b", F.lit(s).alias("side"), "key", "v", *more) for s in "ab"]
         both = sides[0].unionByName(sides[1].where("a <> b"))
         dims = self.dims
 
@@ -109,7 +111,7 @@ class Strips:
             parts = []
             for side in (left, ~left):
                 t = held.filter(pa.array(side))
-                parts.append((t.column("key").combine_chunks(), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dims)))
+                parts.append((t.drop(["a", "b", "side", "v"]), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dims)))
             same = not len(parts[1][1])
             yield from compare(*parts[0], *(parts[0] if same else parts[1]), same)
 
@@ -147,7 +149,8 @@ def similar(vectors: DataFrame, key: str, vec: str, least: float) -> DataFrame:
         raise ValueError("every pair has a similarity of 0 or more")
     strips = Strips(vectors, key, vec)
 
-    def compare(ka, x, kb, y, same):
+    def compare(ta, x, tb, y, same):
+        ka, kb = ta.column("key").combine_chunks(), tb.column("key").combine_chunks()
         for i, s in slices(x, y, same):
             p, q = np.nonzero(s >= least)
             a, b = ordered(ka.take(pa.array(p + i)), kb.take(pa.array(q)))
@@ -173,8 +176,8 @@ def extremes(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     pairs = n * (n - 1) // 2
     mean = (total - strips.n) / 2 / pairs if pairs else None
 
-    def compare(ka, x, kb, y, same):
-        best = []
+    def compare(ta, x, tb, y, same):
+        ka, kb, best = ta.column("key").combine_chunks(), tb.column("key").combine_chunks(), []
         for i, s in slices(x, y, same):
             for sign in (1, -1):
                 own = np.where(s > -1.5, sign * s, -np.inf)
