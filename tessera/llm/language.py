@@ -4,7 +4,8 @@ Each letter has a random vector of +1 and -1. A trigram's vector binds (by
 products) its letters' vectors, permuted by their place; a text's vector
 bundles (adds) its trigrams'. A language's prototype bundles all trigrams of
 its training documents, so it follows from the trigram counts of the language:
-a table of at most languages x 64**3 rows, whatever the corpus. The language
+a table of at most languages x 64**3 rows, whatever the corpus, for at most
+`MOST` languages, which is checked. The language
 whose prototype has the greatest cosine with the document is predicted.
 
 Two scans: one counts trigrams by language (partial sums in each task), one
@@ -28,6 +29,8 @@ from tessera.llm.arrays import mix
 
 SIZE = 512
 K = 64
+#: Languages that may be learned; more are an error. A task has 1 MB for each, the driver their trigrams' counts.
+MOST = 100
 UNKNOWN = "und"
 _codes: np.ndarray | None = None
 
@@ -107,16 +110,18 @@ def learn(docs: DataFrame) -> Profiles:
     def run(parts):
         for b in parts:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            names = sorted(set(langs))
-            own = np.array([names.index(x) for x in langs], np.int64)
-            counts = np.zeros(len(names) * K**3, np.int64)
-            for i, j in batches(texts):
-                row, gram = trigrams(texts[i:j])
-                counts += np.bincount(own[i:j][row] * K**3 + gram, minlength=len(counts))
-            at = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array([names[k] for k in (at // K**3).tolist()], pa.string()), pa.array((at % K**3).astype(np.int32)), pa.array(counts[at])], names=["lang", "gram", "n"])
-
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+            # a language at a time, so that one table of counts is held
+            for name in sorted(set(langs)):
+                own, counts = [t for t, x in zip(texts, langs, strict=True) if x == name], np.zeros(K**3, np.int64)
+                for i, j in batches(own):
+                    counts += np.bincount(trigrams(own[i:j])[1], minlength=K**3)
+                at = np.flatnonzero(counts)
+                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "gram", "n"])
+
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = [r[0] for r in rows.select("lang").distinct().limit(MOST + 1).collect()]
+    if len(known) > MOST:
+        raise ValueError(f"more than {MOST} languages: {sorted(known)[:5]} and others")
     got = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(names), K**3), np.int64)
@@ -128,9 +133,11 @@ def learn(docs: DataFrame) -> Profiles:
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
     def run(parts):
         for b in parts:
-            names, score = profiles.predict(b.column(2).to_pylist())
+            names, score = shared.value.predict(b.column(2).to_pylist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import language
 
@@ -70,3 +71,14 @@ def test_predictions_match_plain_bundles(spark):
 def test_ties_go_to_the_first_language(spark):
     df = spark.createDataFrame([(1, "same text", "xx"), (3, "same text", "aa"), (4, "same text", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.identify(df, language.learn(df)).collect()} == {"aa"}
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(4 * i + k, f"{letters[i]}{letters[(i + 1) % 26]}{letters[(i + 2) % 26]} " * 20, f"l{i:02}") for i in range(26) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = {r.doc_id: r.lang_pred for r in language.identify(df, language.learn(df)).collect()}
+    assert all(found[d] == lang for d, _, lang in rows)
+    monkeypatch.setattr(language, "MOST", 25)
+    with pytest.raises(ValueError, match="more than 25 languages"):
+        language.learn(df)
