@@ -105,8 +105,10 @@ def blocks(text: str) -> list[Markdown]:
 
 @dataclass
 class Chunk:
+    """A chunk and where it lies: `pieces` are the places in its text and in the source of the runs that it is made of; between them the source may have markers and blank lines."""
+
     text: str
-    start: int
+    pieces: list[tuple[int, int]]
     kinds: list[str] = field(default_factory=list)
     heading: str | None = None
     level: int | None = None
@@ -117,6 +119,30 @@ class Chunk:
     overlap_previous: int = 0
     overlap_next: int = 0
 
+    def source(self, place: int) -> int:
+        """Where a character of the text is in the source."""
+        at, origin = self.pieces[max(0, bisect_right(self.pieces, (place, len(self.text) + 2**62)) - 1)]
+        return origin + place - at
+
+    @property
+    def start(self) -> int:
+        return self.source(0)
+
+    @property
+    def end(self) -> int:
+        return self.source(len(self.text) - 1) + 1 if self.text else self.start
+
+    def add(self, text: str, pieces: list[tuple[int, int]]) -> None:
+        """Join a text on, a blank line between."""
+        if self.text:
+            self.text += "\n\n"
+        self.pieces += [(len(self.text) + at, origin) for at, origin in pieces]
+        self.text += text
+
+    def part(self, low: int, high: int) -> tuple[str, list[tuple[int, int]]]:
+        inner = [(at - low, origin) for at, origin in self.pieces if low < at < high]
+        return self.text[low:high], [(0, self.source(low)), *inner]
+
 
 def split_point(text: str, most: int, back: int = 500) -> int:
     """The last sentence end, blank line, line end or blank at or before `most`, at most `back` characters before; else `most`."""
@@ -140,8 +166,8 @@ def chunks(text: str, target: int = 2000, most: int = 8000, overlap: float = 0.1
             out.append(now)
         now = None
 
-    def fresh(start: int, kinds: list[str] = ()) -> Chunk:
-        return Chunk("", start, list(kinds), heading, level, section)
+    def fresh(kinds: list[str] = ()) -> Chunk:
+        return Chunk("", [], list(kinds), heading, level, section)
 
     for b in blocks(text):
         if b.kind in ("empty", "page_marker"):
@@ -153,7 +179,15 @@ def chunks(text: str, target: int = 2000, most: int = 8000, overlap: float = 0.1
         alone = b.kind in ("table", "code") and len(b.text) >= target // 4
         if alone:
             close()
+            # the runs between tags
+            runs = [(0, 0)] if b.kind == "code" else [(0, 0), *((m.end(), m.end()) for m in re.finditer("<[^>]*>", b.text))]
             own = re.sub("<[^>]*>", "", b.text) if b.kind == "table" else b.text
+            whole = Chunk(own, [(0, b.start)])
+            if b.kind == "table":
+                gone, whole.pieces = 0, []
+                for (_, begin), nxt in zip(runs, [*re.finditer("<[^>]*>", b.text), None], strict=True):
+                    whole.pieces.append((begin - gone, b.start + begin))
+                    gone += len(nxt[0]) if nxt else 0
             pos = 0
             while pos < len(own):
                 end = len(own)
@@ -161,42 +195,46 @@ def chunks(text: str, target: int = 2000, most: int = 8000, overlap: float = 0.1
                     end = own.rfind("\n", pos + 1, pos + most + 1)
                     end = end if end > pos else pos + most
                 if own[pos:end].strip():
-                    c = fresh(b.start + pos, [b.kind])
-                    c.text, c.atomic = own[pos:end], True
+                    c = fresh([b.kind])
+                    c.add(*whole.part(pos, end))
+                    c.atomic = True
                     out.append(c)
                 pos = end + (end < len(own) and own[end] == "\n")
             continue
         if now is None:
-            now = fresh(b.start)
-        now.text += ("\n\n" if now.text else "") + b.text
+            now = fresh()
+        now.add(b.text, [(0, b.start)])
         kind = "text" if b.kind == "paragraph" else b.kind
         if kind not in now.kinds:
             now.kinds.append(kind)
         while now is not None and len(now.text) > target:
-            cut, rest, kinds, start = split_point(now.text, target), now.text, now.kinds, now.start
-            now.text = rest[:cut]
+            cut, kinds = split_point(now.text, target), now.kinds
+            one, rest = now.part(0, cut), now.part(cut, len(now.text))
+            now.text, now.pieces = one
             close()
-            now = fresh(start + cut, kinds)
-            now.text = rest[cut:]
+            now = fresh(kinds)
+            now.add(*rest)
     close()
     # a small chunk that is a heading only joins the next, the last one the one before
     merged: list[Chunk] = []
     for c in out:
         p = merged[-1] if merged else None
         if p is not None and p.kinds == ["heading"] and len(p.text) < least and not p.atomic:
-            c.text, c.start, c.kinds = p.text + "\n\n" + c.text, p.start, p.kinds + [k for k in c.kinds if k not in p.kinds]
+            own, c.text, c.pieces = (c.text, c.pieces), p.text, p.pieces
+            c.add(*own)
+            c.kinds = p.kinds + [k for k in c.kinds if k not in p.kinds]
             merged[-1] = c
         else:
             merged.append(c)
     if len(merged) > 1 and merged[-1].kinds == ["heading"] and len(merged[-1].text) < least:
         tail = merged.pop()
-        merged[-1].text += "\n\n" + tail.text
+        merged[-1].add(tail.text, tail.pieces)
     size = int(target * overlap)
     for a, b in zip(merged, merged[1:], strict=False):
         if not a.atomic and not b.atomic:
             a.overlap_next = b.overlap_previous = size
     for c in merged:
-        c.page, last = page_at(marks, c.start), page_at(marks, c.start + max(0, len(c.text) - 1))
+        c.page, last = page_at(marks, c.start), page_at(marks, max(c.start, c.end - 1))
         c.page_range = None if c.page is None or c.page == last else f"{c.page}-{last}"
     return merged
 
@@ -219,7 +257,7 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chunked(docs: DataFrame, key: str, text: str, target: int = 2000, most: int = 8000) -> DataFrame:
-    make = lambda t: [(i, c.text, c.start, c.start + len(c.text), c.kinds, c.heading, c.level, c.section, c.atomic, c.page, c.page_range, c.overlap_previous, c.overlap_next) for i, c in enumerate(chunks(t, target, most))]
+    make = lambda t: [(i, c.text, c.start, c.end, c.kinds, c.heading, c.level, c.section, c.atomic, c.page, c.page_range, c.overlap_previous, c.overlap_next) for i, c in enumerate(chunks(t, target, most))]
     return mapped(docs, key, text, make, "chunk_index int, text string, start_offset int, end_offset int, content_types array<string>, heading string, heading_level int, section_path string, is_atomic boolean, page_number int, page_range string, overlap_previous int, overlap_next int")
 
 

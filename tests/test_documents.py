@@ -134,3 +134,37 @@ def test_contracts_and_context(spark):
 def test_lineage_cycle_ends(spark):
     r = spark.createDataFrame([("a", "b", "T"), ("b", "a", "T")], "id string, parent_id string, type string")
     assert provenance.lineage(r, r.select("id")).count() == 2 * 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_lie_where_they_say(seed):
+    """The source between a chunk's offsets is the chunk, but for markers, blank lines and tags."""
+    import random
+    import re
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 9)))
+    prose = lambda: " ".join(word() + r.choice(["", "", ".", "?"]) for _ in range(r.randint(1, 160)))
+    table = lambda n: "| a | <b>c</b> |\n|---|---|\n" + "\n".join(f"| {word()} | <i>{word()}</i> |" for _ in range(n))
+    page = [0]
+
+    def mark():
+        page[0] += 1
+        return f"{{{page[0]}}}" + "-" * 48
+
+    parts = [r.choice([prose, prose, prose, lambda: "# " + word(), lambda: table(r.randint(1, 60)), lambda: "```\n" + prose() + "\n\n" + prose() + "\n```", mark, lambda: ""])() for _ in range(60)]
+    source = "\n\n".join(parts)
+    plain = lambda t: re.sub(r"\s+", "", re.sub("<[^>]*>", "", parse.PAGE.sub("", t)))
+    out, marks, last = parse.chunks(source, 300, 900), parse.page_marks(source), 0
+    assert len(out) > 20
+    for c in out:
+        assert last <= c.start < c.end <= len(source)
+        assert plain(source[c.start : c.end]) == plain(c.text)
+        for (at, origin), nxt in zip(c.pieces, [*c.pieces[1:], (len(c.text), None)]):
+            run = c.text[at : nxt[0]].rstrip("\n")
+            assert source[origin : origin + len(run)] == run
+        assert c.page == parse.page_at(marks, c.start)
+        end = parse.page_at(marks, c.end - 1)
+        assert c.page_range == (None if c.page is None or end == c.page else f"{c.page}-{end}")
+        last = c.end
+    assert any(c.page_range for c in out)
