@@ -106,8 +106,8 @@ def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, most: int =
 
 
 def cluster_pairs(members: DataFrame, cluster: object, key: str) -> DataFrame:
-    """All pairs (a, b), a < b, of the documents of one cluster: a report on one small group that was asked for."""
-    own = members.where(F.col("cluster") == cluster).select(key).distinct()
+    """All pairs (a, b), a < b, of the documents of one cluster: a report on one small group that was asked for, of at most `CENTRES` documents, which is checked."""
+    own = bounded(members.where(F.col("cluster") == cluster).select(key).distinct(), CENTRES, "documents in the cluster")
     return own.select(F.col(key).alias("a")).join(own.select(F.col(key).alias("b")), F.col("a") < F.col("b"))
 
 

@@ -256,12 +256,12 @@ def diff_operations(spark, sf):
     return compare.compared(begin, docs, "doc_id", "text").select("a", "b", "similarity", "insertions", "deletions", "unchanged")
 
 
-@query("""with m as (select vec_id from embeddings where label = 4 and vec_id < 200), p as (select a.vec_id as a, b.vec_id as b from m a join m b on a.vec_id < b.vec_id), d as (select doc_id, source, n_chars from documents)
+@query("""with m as (select vec_id from embeddings where label = 4), p as (select a.vec_id as a, b.vec_id as b from m a join m b on a.vec_id < b.vec_id), d as (select doc_id, source, n_chars from documents)
     select a, b, x.n_chars as n_chars_a, y.n_chars as n_chars_b, 'Comparison of "' || x.source || '" vs "' || y.source || '". Text similarity: 50%. 1 insertions, 2 deletions, 3 unchanged sections.' || case when x.n_chars <> y.n_chars then ' Page count difference: ' || abs(x.n_chars - y.n_chars) || ' pages.' else '' end as summary from p join d x on a = x.doc_id join d y on b = y.doc_id""")
 def comparison_batch(spark, sf):
     """All pairs of one cluster, side by side and in words."""
     c = Corpus(spark, sf)
-    pairs = compare.cluster_pairs(c.embeddings.where("vec_id < 200").withColumn("cluster", F.col("label")), 4, "vec_id")
+    pairs = compare.cluster_pairs(c.embeddings.withColumn("cluster", F.col("label")), 4, "vec_id")
     both = compare.side_by_side(pairs, c.documents.select("doc_id", "source", "n_chars"), "doc_id").where("source_a is not null and source_b is not null")
     words = compare.comparison_summary(F.col("source_a"), F.col("source_b"), F.lit(0.5), F.lit(1), F.lit(2), F.lit(3), F.col("n_chars_a"), F.col("n_chars_b"))
     return both.select("a", "b", "n_chars_a", "n_chars_b", words.alias("summary"))
