@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalar import quality_multiplier
 from tessera.functions.text import matches, parse_query, query_terms, stem_word, stemmed_tokens, tokens
@@ -62,6 +64,60 @@ def bm25(analyzed_docs: DataFrame, key: str, query: str, phrase: bool = False, s
     return found.select(key, score.alias("score"))
 
 
+def found_terms(parsed: list[list[tuple[str, list[str]]]], scored: list[str]):
+    """A pandas UDF of a text: its tokens, 1 if it satisfies the query or else 0, and how often it has each of the scored terms. Words are looked up as they are; of a text only the places of the query's words are kept."""
+    every = sorted({w for a in parsed for _, own in a for w in own})
+    place = {w: i for i, w in enumerate(every)}
+    shown = [place[w] for w in scored]
+    clauses = [[(sign, [place[w] for w in own]) for sign, own in a] for a in parsed]
+    known: dict[str, int] = {}
+
+    def has(at: list[list[int]], words: list[int]) -> bool:
+        if not all(at[w] for w in words):
+            return False
+        others = [set(at[w]) for w in words[1:]]
+        return any(all(p + i + 1 in x for i, x in enumerate(others)) for p in at[words[0]])
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[int]:
+            at: list[list[int]] = [[] for _ in every]
+            words = re.findall(r"[^\W_]+", (t or "").lower())
+            for i, w in enumerate(words):
+                k = known.get(w)
+                if k is None:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    k = known[w] = place.get(stem_word(w), -1)
+                if k >= 0:
+                    at[k].append(i)
+            ok = any(all(has(at, own) != bool(sign) for sign, own in a) for a in clauses)
+            return [len(words), int(ok), *(len(at[k]) for k in shown)]
+
+        return text.map(one)
+
+    return run
+
+
+def bm25_texts(docs: DataFrame, key: str, text: str | Column, query: str, phrase: bool = False) -> DataFrame:
+    """The same as `bm25` over stemmed tokens, of texts where they lie: of each text only counts leave the worker."""
+    if phrase:
+        words = [stem_word(w) for w in re.findall(r"[^\W_]+", query.lower())]
+        if not words:
+            raise ValueError("the query has no words")
+    parsed = [[("", words)]] if phrase else parse_query(query, stem_word)
+    terms = query_terms(parsed)
+    own = found_terms(parsed, terms)(text if isinstance(text, Column) else F.col(text))
+    counted = docs.select(key, own.alias("_f"))
+    tf = lambda i: F.get("_f", F.lit(i + 2))
+    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg(F.get("_f", F.lit(0))).alias("mean"), *[F.count_if(tf(i) > 0).alias(f"df_{i}") for i in range(len(terms))])).toDF("s").scalar()
+    found = counted.where(F.get("_f", F.lit(1)) == 1).withColumn("s", stats)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        score = score + idf_of(F.col("s.n"), F.col(f"s.df_{i}")) * term_score(tf(i), F.get("_f", F.lit(0)), F.col("s.mean"))
+    return found.select(key, score.alias("score"))
+
+
 def weighted(scored: DataFrame, key: str, quality: DataFrame | None) -> DataFrame:
     if quality is None:
         return scored
@@ -76,7 +132,7 @@ def ranked(scored: DataFrame, key: str, score: str, limit: int) -> DataFrame:
 
 def search(docs: DataFrame, key: str, text: str | Column, query: str, limit: int = 20, quality: DataFrame | None = None, phrase: bool = False) -> DataFrame:
     """key, score, rank. quality: (key, quality) with a score of 0 to 5, weighting results before they are ranked."""
-    return ranked(weighted(bm25(analyzed(docs, key, text), key, query, phrase), key, quality), key, "score", limit)
+    return ranked(weighted(bm25_texts(docs, key, text, query, phrase), key, quality), key, "score", limit)
 
 
 def metadata_filter(docs: DataFrame, **contains: str) -> DataFrame:

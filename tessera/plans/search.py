@@ -100,7 +100,7 @@ def bm25_phrase(spark, sf):
 def bm25_filtered(spark, sf):
     docs = search.metadata_filter(Corpus(spark, sf).documents, source="SRC1")
     docs = search.quality_filter(docs, "doc_id", quality(spark, sf), 3.0)
-    return search.bm25(search.analyzed(docs, "doc_id", "text"), "doc_id", "der OR die").orderBy(F.desc("score"), "doc_id").limit(30).withColumn("score", F.round("score", 6))
+    return search.bm25_texts(docs, "doc_id", "text", "der OR die").orderBy(F.desc("score"), "doc_id").limit(30).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -109,7 +109,7 @@ def bm25_filtered(spark, sf):
 )
 def metadata_search(spark, sf):
     docs = Corpus(spark, sf).documents.withColumn("meta", F.concat_ws(" ", "source", "lang"))
-    return search.bm25(search.analyzed(docs, "doc_id", "meta"), "doc_id", "src3 en").withColumn("score", F.round("score", 6))
+    return search.bm25_texts(docs, "doc_id", "meta", "src3 en").withColumn("score", F.round("score", 6))
 
 
 @query(r"""select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}]+')) as term from documents) group by all) group by term""")
@@ -171,7 +171,7 @@ def query_classes(spark, sf):
 )
 def cross_corpus_search(spark, sf):
     docs = Corpus(spark, sf).documents
-    best = lambda d: search.bm25(search.analyzed(d, "doc_id", "text"), "doc_id", "the OR of").orderBy(F.desc("score"), "doc_id").limit(10)
+    best = lambda d: search.bm25_texts(d, "doc_id", "text", "the OR of").orderBy(F.desc("score"), "doc_id").limit(10)
     return search.across({"first": best(docs.where("lang = 'en'")), "second": best(docs.where("lang <> 'en'"))}, "score", 15).select("database_name", "doc_id", F.round("normalized_score", 6).alias("normalized_score"))
 
 

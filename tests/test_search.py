@@ -88,6 +88,8 @@ def test_index_and_scan_equal_sqlite_with_stems(spark, tmp_path, query):
     con.executemany("insert into f(rowid, t) values (?, ?)", [(i, t or "") for i, t in STEMMED])
     want = {i: -s for i, s in con.execute("select rowid, bm25(f) from f where f match ?", (query,))}
     scan = {r.id: r.score for r in search.bm25(search.analyzed(docs, "id", "text"), "id", query).collect()}
+    texts = {r.id: r.score for r in search.bm25_texts(docs, "id", "text", query).collect()}
+    assert texts.keys() == scan.keys() and all(abs(texts[i] - scan[i]) < 1e-12 for i in scan)
     own = Index.build(docs, "id", "text", str(tmp_path / "i"))
     index = {r.id: r.score for r in own.scored(query).collect()}
     assert scan.keys() == want.keys() == index.keys() and want
