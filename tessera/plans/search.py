@@ -136,8 +136,8 @@ CHANGED = "select doc_id, case when source = 'src1' then coalesce(text, '') || '
 
 
 @query(
-    f"""with f as ({CHANGED}), {bm25_sql(["the", "changed", "of"], has("the", "changed", "of", any_of=True), table="f")}
-    select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by score desc, doc_id limit 40"""
+    f"""with f as ({CHANGED}), {bm25_sql(["changed", "of", "the"], has("the", "changed", "of", any_of=True), table="f")}
+    select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from r order by rank limit 40"""
 )
 def changed_index_search(spark, sf):
     """An index of all documents, kept up to date: one batch deletes a language, the next one rewrites a source; the search reads three segments."""
