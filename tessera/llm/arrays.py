@@ -7,7 +7,7 @@ by the batch and nothing here depends on which rows share a batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,14 @@ _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
 
+#: How to drop tables that an operator keeps in a worker, which the stages after it don't need.
+caches: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Give freed memory back to the system: the workers of an executor share its memory with the JVM."""
+    """Drop what other operators keep, and give freed memory back to the system: the workers of an executor share its memory with the JVM."""
+    for forget in caches:
+        forget()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import arrays
 from tessera.llm.boosting import Forest, fit
 from tessera.llm.stats import BASE, FEATURES, measure
 
@@ -39,6 +40,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(own, "doc_id").select("text", "quality")
 
     def run(parts):
+        arrays.release()
         for b in parts:
             _, x = measure(b.column(0))
             yield pa.record_batch([b.column(1).cast(pa.int32()), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], names=["quality", *FEATURES])
@@ -56,6 +58,7 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, quality_score for each row of docs."""
 
     def run(parts):
+        arrays.release()
         for b in parts:
             counts, x = measure(b.column(1))
             bad, score = failed(counts), forest.probability(x)
@@ -70,6 +73,7 @@ def keep(docs: DataFrame, forest: Forest) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(parts):
+        arrays.release()
         for b in parts:
             counts, x = measure(b.column(at))
             yield b.filter(pa.array(~failed(counts) & (forest.probability(x) >= THRESHOLD)))

@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm import arrays
 from tessera.llm.bpe import Bpe, Words, batches
 
 LIMIT = 1024
 #: Pieces in each half of a worker's table: small integers, about 100 bytes a piece.
 COUNTS = 600_000
 _models: dict[str, tuple[Bpe, Words, re.Pattern | None]] = {}
+arrays.caches.append(_models.clear)
 
 
 def model(path: str) -> tuple[Bpe, Words, re.Pattern | None]:
