@@ -23,7 +23,8 @@ read once and never shuffled.
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero, and links like any other; fewer words than a shingle give one shingle;
 a null doc_id is never the least of a component unless it is alone there
-(component_id null); repeated rows each give a row.
+(component_id null); repeated rows each give a row; doc_ids are whole numbers,
+others fail when they are read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Defined cases: a null or empty text has the empty set, likeness 1 to another
 empty set and 0 to any other; a text with words but without signatures has one
 signature of each word and its successor (the last word alone); documents are
 ordered by doc_id (null last), rows that share it by text; a table of one
-document is its own next; other columns are ignored.
+document is its own next; other columns are ignored; doc_ids are whole numbers,
+others fail when they are read.
 """
 
 from __future__ import annotations
