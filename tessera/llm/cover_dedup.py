@@ -65,16 +65,17 @@ def load(texts: pa.ChunkedArray) -> Block:
     return Block(starts, Anchors(row, arrays.span_hash(sums, at, at + GRAM), context, check, begin, count), extra={"sums": sums})
 
 
-def payload(block: Block, first: int, count: int) -> bytes:
-    at = np.arange(first, first + count)
-    return arrays.span_hash(block.extra["sums"], at, at + LENGTH).tobytes()
+def payloads(block: Block, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], count)
+    return hashes(block, at).view(np.uint8), 8 * offsets
 
 
-def classes(payloads: list[bytes], _keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count = np.array([len(p) // 8 for p in payloads], np.int64)
-    owner = np.repeat(np.arange(len(payloads)), count)
+def classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count = np.diff(offsets) // 8
+    owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return owner, place, np.unique(np.frombuffer(b"".join(payloads), U64), return_inverse=True)[1]
+    return owner, place, np.unique(np.frombuffer(data.tobytes(), U64), return_inverse=True)[1]
 
 
 def hashes(block: Block, at: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ def hashes(block: Block, at: np.ndarray) -> np.ndarray:
 
 
 #: Windows are told apart by their hashes, so windows of one hash are equal.
-SCHEME = Scheme(K=LENGTH, load=load, payload=payload, hashes=hashes, same=lambda _, at, other: np.ones(len(at), bool), classes=classes)
+SCHEME = Scheme(K=LENGTH, load=load, payloads=payloads, hashes=hashes, same=lambda _, at, other: np.ones(len(at), bool), classes=classes)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -85,41 +85,60 @@ def load(texts: pa.ChunkedArray) -> Block:
 def suffix_classes(joined: np.ndarray, places: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """For suffixes at places: equal numbers exactly where the first depth bytes are equal. places + depth must not pass the end.
 
-    Bucket-pointer refinement: `rank` holds the bucket of every suffix by its
-    first `known` bytes; only suffixes in buckets of several are sorted again,
-    by their bucket and the bucket at a later offset.
+    Bucket-pointer refinement: `rank` holds the bucket of a suffix by its first
+    `known` bytes; only suffixes in buckets of several are sorted again, by
+    their bucket and the bucket at a later offset. A pass sorts the suffixes
+    that a later one looks at, and no others: of a window alone these are 8.
     """
     n = len(joined)
-    padded = np.concatenate([joined, np.zeros(8, np.uint8)])
-    grams = np.zeros(n, U64)
-    for b in range(8):
-        grams = grams << U64(8) | padded[b : b + n].astype(U64)
-    rank = np.unique(grams, return_inverse=True)[1].astype(np.int64)
-    where, low, top, known = np.arange(n), 0, n, 8
+    passes, known = [], 8
     while known < depth:
+        passes.append(min(known, depth - known))
+        known += passes[-1]
+    need = np.zeros(n, bool)
+    need[places] = True
+    wanted = [need]
+    for offset in reversed(passes):
+        need = need.copy()
+        need[offset:] |= wanted[-1][:-offset]
+        wanted.append(need)
+    padded = np.concatenate([joined, np.zeros(8, np.uint8)])
+    where = np.flatnonzero(wanted.pop())
+    grams = np.ndarray((n,), ">u8", padded, 0, (1,))[where].astype(U64)
+    rank = np.zeros(n, np.int64)
+    rank[where] = np.unique(grams, return_inverse=True)[1]
+    low, top = 0, n
+    for offset in passes:
         bucket = rank[where] - low
-        where = where[np.bincount(bucket)[bucket] > 1]
+        where = where[(np.bincount(bucket)[bucket] > 1) & wanted.pop()[where]]
         if not len(where):
             break
-        offset = min(known, depth - known)
-        later, bucket = rank[np.minimum(where + offset, n - 1)], rank[where]
-        o = np.lexsort((later, bucket))
+        key = rank[where] * (top + 1) + rank[np.minimum(where + offset, n - 1)]
+        o = np.argsort(key)
+        key = key[o]
         new = np.ones(len(o), bool)
-        new[1:] = (bucket[o][1:] != bucket[o][:-1]) | (later[o][1:] != later[o][:-1])
+        new[1:] = key[1:] != key[:-1]
         rank[where[o]] = top + np.cumsum(new)
-        low, top, known = top, top + len(o) + 1, known + offset
+        low, top = top, top + len(o) + 1
     return rank[places]
 
 
-def classes(payloads: list[bytes], _keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of each payload: the payload, the window's place in it, the class of equal windows."""
-    size = np.array([len(p) for p in payloads], np.int64)
-    begin = np.cumsum(size) - size
-    count = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(payloads)), count)
+    count = np.diff(offsets) - LENGTH + 1
+    owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    joined = np.frombuffer(b"".join(payloads), np.uint8)
-    return owner, place, suffix_classes(joined, begin[owner] + place)
+    return owner, place, suffix_classes(data, offsets[:-1][owner] + place)
+
+
+def payloads(block: Block, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = count - 1 + LENGTH
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(offsets[-1]), np.uint8)
+    for i, j in arrays.slices(offsets):
+        at = np.arange(offsets[i], offsets[j]) + np.repeat(first[i:j] - offsets[i:j], size[i:j])
+        out[offsets[i] : offsets[j]] = block.data[at]
+    return out, offsets
 
 
 def hashes(block: Block, at: np.ndarray) -> np.ndarray:
@@ -142,7 +161,7 @@ def same(block: Block, at: np.ndarray, other: np.ndarray) -> np.ndarray:
 SCHEME = Scheme(
     K=LENGTH,
     load=load,
-    payload=lambda block, first, count: block.data[first : first + count - 1 + LENGTH].tobytes(),
+    payloads=payloads,
     hashes=hashes,
     same=same,
     classes=classes,

@@ -84,14 +84,14 @@ class Block:
 
 @dataclass
 class Scheme:
-    """K: units in a window. load: Arrow texts to a Block. payload: the windows [first, first + count) as bytes. hashes: of the windows at some units. same: whether windows at units of one hash are equal. classes: of each window of each payload its payload, its place and its class."""
+    """K: units in a window. load: Arrow texts to a Block. payloads: the windows [first, first + count) of each pair as bytes, one after another, and where each begins. hashes: of the windows at some units. same: whether windows at units of one hash are equal. classes: of such payloads the payload, the place and the class of each window."""
 
     K: int
     load: Callable[[pa.ChunkedArray], Block]
-    payload: Callable[[Block, int, int], bytes]
+    payloads: Callable[[Block, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     hashes: Callable[[Block, np.ndarray], np.ndarray]
     same: Callable[[Block, np.ndarray, np.ndarray], np.ndarray]
-    classes: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    classes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def short(values: np.ndarray, width: int) -> bytes:
@@ -251,20 +251,22 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
     def show(t: pa.Table, known: pa.Table) -> pa.Table:
         block, order = read(t)
         rep, d, _, _ = representatives(block, order)
-        a, out = block.anchors, []
+        a = block.anchors
         verdict = verdicts(known, a.key[rep])
         number = t.column("block")[0].as_py() if t.num_rows else 0
         todo = np.flatnonzero(verdict == 2)
-        keys = (a.key[rep[todo]]).view(np.int64).tolist()
-        for r, k, i, dd in zip(todo.tolist(), keys, rep[todo].tolist(), d[todo].tolist(), strict=True):
-            out.append((k, 0, number, r, 0, dd, scheme.payload(block, int(a.first[i]), int(a.count[i]))))
+        own = rep[todo]
         one = Singles.of(block, np.flatnonzero(verdict == 3), rep, d, scheme)
         h = one.head
-        keys = a.key[rep[one.pair[h]]].view(np.int64).tolist()
-        for k, salt, r, w, at, dd in zip(keys, one.hash[h].view(np.int64).tolist(), one.pair[h].tolist(), one.window[h].tolist(), one.at[h].tolist(), one.doc[h].tolist(), strict=True):
-            out.append((k, salt, number, r, w, dd, scheme.payload(block, at, 1)))
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "salt", "block", "pair", "window", "doc", "payload"])
+        parts = [(a.key[own], np.zeros(len(own), U64), todo, np.zeros(len(own), np.int64), d[todo], a.first[own], a.count[own])]
+        parts.append((a.key[rep[one.pair[h]]], one.hash[h], one.pair[h], one.window[h], one.doc[h], one.at[h], np.ones(len(h), np.int64)))
+        tables = []
+        for key, salt, pair, window, doc, first, count in parts:
+            data, offsets = scheme.payloads(block, first, count)
+            raw = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+            columns = [pa.array(key.view(np.int64)), pa.array(salt.view(np.int64)), pa.array(np.full(len(key), number, np.int32)), pa.array(pair.astype(np.int32)), pa.array(window.astype(np.int32)), pa.array(doc), raw]
+            tables.append(pa.table(columns, names=["key", "salt", "block", "pair", "window", "doc", "payload"]))
+        return pa.concat_tables(tables)
 
     def compare(batches):
         """Equal windows of contexts that share an anchor; rows come sorted by (key, salt, doc), so groups are seen whole while a chunk is held, and of a single window only its earliest row is."""
@@ -293,15 +295,12 @@ def remove_windows(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
     def resolve(t: pa.Table):
         arrays.release()
         d = t.column("doc").to_numpy()
-        owner, place, kind = scheme.classes(t.column("payload").to_pylist(), t.column("key").to_numpy())
+        owner, place, kind = scheme.classes(*arrays.utf8(t.column("payload")))
         if not len(kind):
             return
-        o = np.lexsort((d[owner], kind))
-        new = np.ones(len(o), bool)
-        new[1:] = kind[o][1:] != kind[o][:-1]
-        least = np.empty(len(o), np.int64)
-        least[o] = d[owner[o][new]][np.cumsum(new) - 1]
-        hit = d[owner] > least
+        least = np.full(int(kind.max()) + 1, LATEST)
+        np.minimum.at(least, kind, d[owner])
+        hit = d[owner] > least[kind]
         window = t.column("window").to_numpy()[owner[hit]] + place[hit]
         masks = np.zeros(t.num_rows, U64)
         np.bitwise_or.at(masks, owner[hit], U64(1) << window.astype(U64))

@@ -84,6 +84,21 @@ def test_suffix_sort_is_exact():
     assert len(set(kinds.tolist())) == len(set(strings)) == len(set(zip(kinds.tolist(), strings)))
 
 
+def test_a_window_alone_is_not_sorted_at_every_byte(monkeypatch):
+    r = np.random.default_rng(4)
+    pool = r.integers(97, 100, (300, 50)).astype(np.uint8)
+    pool[:, :40] = pool[0, :40]
+    own = pool[r.integers(0, 300, 4000)]
+    sizes, sort, unique = [], np.argsort, np.unique
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or sort(x, *a, **k))
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: sizes.append(len(x)) or unique(x, *a, **k))
+    owner, place, kinds = suffix_dedup.classes(own.ravel(), np.arange(0, own.size + 1, 50))
+    monkeypatch.undo()
+    assert owner.tolist() == list(range(4000)) and not place.any() and max(sizes) <= 8 * 4000
+    strings = [x.tobytes() for x in own]
+    assert len(set(kinds.tolist())) == len(set(strings)) == len(set(zip(kinds.tolist(), strings)))
+
+
 @pytest.mark.parametrize("op", [suffix_dedup, cover_dedup])
 def test_no_name_clashes_and_long_texts(spark, op):
     r = random.Random(5)
