@@ -148,3 +148,14 @@ def test_model_answers(spark):
     df = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), ("I think {\"a\": 2} fits",), ("none",), ("",), (None,)], "t string")
     assert [r[0] and r[0].a for r in df.select(lists.model_json("t", "a int")).collect()] == [1, 2, None, None, None]
     assert lists.safe_count(spark, "no_such_table") == 0
+
+
+def test_pairs_of_a_cluster_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(compare, "CENTRES", 20)
+    monkeypatch.setattr(compare, "GROUP", 7, raising=False)
+    members = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 0), (None, 0)], "id long, cluster int")
+    got = sorted(map(tuple, compare.cluster_pairs(members, 0, "id").select("a", "b").collect()))
+    assert got == [(a, b) for a in range(0, 60, 2) for b in range(a + 2, 60, 2)]
+    facts = spark.createDataFrame([(i, f"s{i}") for i in range(50)] + [(2, "again")], "id long, source string")
+    got = compare.cluster_pairs(members, 0, "id", facts).collect()
+    assert sorted((r.a, r.source_a, r.b, r.source_b) for r in got) == sorted((a, x, b, y) for a in range(0, 50, 2) for b in range(a + 2, 50, 2) for x in ([f"s{a}", "again"] if a == 2 else [f"s{a}"]) for y in ([f"s{b}", "again"] if b == 2 else [f"s{b}"]))
