@@ -34,13 +34,13 @@ CHAIN = f"""{RECORDS}, c0 as (select id, content_hash, sha256(content_hash) as h
 
 @query(f"with {CHAIN} select id, h as chain_hash from ch")
 def chain_hashes(spark, sf):
-    return provenance.with_chain_hashes(records(spark, sf)).select("id", "chain_hash")
+    return provenance.with_chain_hashes(records(spark, sf).select("id", "parent_id", "content_hash")).select("id", "chain_hash")
 
 
 @query(f"with {CHAIN} select root_document_id, count(*) filter (type <> 'CHUNK' or h is null) as checked, count(*) filter (type = 'EMBEDDING') as mismatched, count(*) filter (type = 'CHUNK') as missing from ch group by 1")
 def verify_chain(spark, sf):
     """Of every record; chunks are made to lack their hash, so what is below them can't match."""
-    r = provenance.with_chain_hashes(records(spark, sf))
+    r = provenance.with_chain_hashes(records(spark, sf).select("id", "parent_id", "root_document_id", "type", "content_hash"))
     return provenance.verify_chains(r.withColumn("chain_hash", F.when(F.col("type") != "CHUNK", F.col("chain_hash"))))
 
 
