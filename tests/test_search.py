@@ -181,3 +181,17 @@ def test_rag_equals_plain_code(spark, tmp_path, seed):
     assert "No relevant documents" in engine.context_of(got.limit(0), F.col("document"), 4000).first().context
     with pytest.raises(ValueError):
         own.search("alpha", None, mode="semantic")
+
+
+def test_only_words_that_may_have_a_term_are_stemmed(monkeypatch):
+    import pandas as pd
+
+    from tessera.functions.text import parse_query, query_terms
+
+    seen, stem = [], search.stem_word
+    parsed = parse_query("the OR élan OR 42", stem)
+    run = search.found_terms(parsed, query_terms(parsed)).func
+    monkeypatch.setattr(search, "stem_word", lambda w: seen.append(w) or stem(w))
+    got = run(pd.Series(["Thes cats élan Elan 42 and sat", None, "_the_ été"])).tolist()
+    assert got == [[7, 1, 1, 2, 1], [0, 0, 0, 0, 0], [2, 1, 0, 0, 1]]
+    assert not {"cats", "and", "sat"} & set(seen) and search.KNOWN <= 1 << 16
