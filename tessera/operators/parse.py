@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts whose rows a worker holds at once.
+TEXTS = 256
 PAGE = re.compile(r"<!--\s*Page\s+(\d+)\s*-->|^\{(\d+)\}-{3,}", re.M)
 HEADING = re.compile(r"(#{1,6})\s+(.+)")
 BOLD = re.compile(r"\*\*(.+?)\*\*$")
@@ -246,8 +248,9 @@ def mapped(docs: DataFrame, key: str, text: str, make: Callable[[str], list[tupl
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(k, *r) for k, t in zip(pdf[key], pdf[text], strict=True) for r in make(t or "")]
-            yield pd.DataFrame(rows, columns=names)
+            for i in range(0, len(pdf), TEXTS):
+                own = pdf.iloc[i : i + TEXTS]
+                yield pd.DataFrame([(k, *r) for k, t in zip(own[key], own[text], strict=True) for r in make(t or "")], columns=names)
 
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, {columns}")
 

@@ -168,3 +168,22 @@ def test_chunks_lie_where_they_say(seed):
         assert c.page_range == (None if c.page is None or end == c.page else f"{c.page}-{end}")
         last = c.end
     assert any(c.page_range for c in out)
+
+
+def test_rows_of_a_batch_are_made_some_texts_at_a_time(spark, monkeypatch):
+    from tessera.operators import parse
+
+    sizes, frame = [], parse.pd.DataFrame
+    texts = frame({"doc_id": range(3000), "text": ["a\n\nb"] * 3000})
+
+    class Docs:
+        schema = spark.range(1).withColumnRenamed("id", "doc_id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return [len(x) for x in run(iter([texts]))]
+
+    sizes = parse.markdown_blocks(Docs(), "doc_id", "text")
+    assert sum(sizes) == 6000 and max(sizes) <= 512
