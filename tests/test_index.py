@@ -175,3 +175,24 @@ def test_folders_and_files_follow_the_corpus(spark, tmp_path, monkeypatch):
     assert files > 5  # a frequent term lies in many files
     plan = own.of(["alpha"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_a_task_sorts_one_file_and_only_phrases_read_places(spark, tmp_path, monkeypatch):
+    from tessera.operators import index
+
+    monkeypatch.setattr(index, "SHARE", 200)
+    docs = frame(spark, texts(10, 100))
+    own = Index.build(docs, "id", "text", str(tmp_path / "i"))
+    same(own, docs, ("alpha OR the", '"of the" OR beta'))
+    own_file = F.regexp_extract("f", r"bucket=(-?\d+)/part-(\d+)-", 2)
+    files = own.live(lambda rows, _: rows).select(F.input_file_name().alias("f")).distinct().select(own_file.alias("task"))
+    assert files.groupBy("task").count().where("count > 1").isEmpty()
+    plan = lambda q: own.scored(q)._jdf.queryExecution().executedPlan().toString()
+    assert "positions" in plan('"of the"') and "positions" not in plan("alpha OR the")
+
+
+def test_items_without_repeated_keys_need_no_tags(spark, tmp_path):
+    one = Index.build(frame(spark, [(1, "a"), (2, "a b")]), "id", "text", str(tmp_path / "i"))
+    two = Index.build(frame(spark, [(1, "a"), (1, "a b"), (1, "a")]), "id", "text", str(tmp_path / "j"))
+    assert {x.tag for x in one.items().collect()} == {0} and len({x.tag for x in two.items().collect()}) == 2
+    assert one.state["n"] == two.state["n"] == 2
