@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +35,27 @@ CSV_COLUMNS = (
 def with_chain_hashes(records: DataFrame) -> DataFrame:
     """chain_hash of each record (id, parent_id, content_hash), level by level from the roots until a level is empty.
 
-    Records that no root leads to (an absent parent, a cycle) stay, with a null hash.
+    Records are dealt and sorted by their parent once and kept so while levels
+    are worked off; of a level only ids and hashes move. Records that no root
+    leads to (an absent parent, a cycle) stay, with a null hash.
     """
-    records = cut(records)
     none = F.lit(None).cast("string")
-    level = records.where(F.col("parent_id").isNull()).withColumn("chain_hash", chain_hash(F.col("content_hash"), none))
-    below = records.where(F.col("parent_id").isNotNull())
-    out = level
-    while True:
-        parents = level.select(F.col("id").alias("parent_id"), F.col("chain_hash").alias("_parent")).dropDuplicates(["parent_id"])
-        level = cut(below.join(parents, "parent_id").withColumn("chain_hash", chain_hash(F.col("content_hash"), F.col("_parent"))).select(*out.columns))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    lost = below.join(out.select("id").distinct(), "id", "left_anti").withColumn("chain_hash", none)
-    return out.unionByName(lost.select(*out.columns))
+    level = cut(records.where(F.col("parent_id").isNull()).withColumn("chain_hash", chain_hash(F.col("content_hash"), none)))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    below = records.where(F.col("parent_id").isNotNull()).repartition(parts, "parent_id").sortWithinPartitions("parent_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = level
+        while True:
+            parents = level.select(F.col("id").alias("parent_id"), F.col("chain_hash").alias("_parent")).dropDuplicates(["parent_id"])
+            level = cut(below.join(parents, "parent_id").withColumn("chain_hash", chain_hash(F.col("content_hash"), F.col("_parent"))).select(*out.columns))
+            if level.isEmpty():
+                break
+            out = out.unionByName(level)
+        # what no level reached: its parent has no hash
+        lost = cut(below.join(out.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").withColumn("chain_hash", none).select(*out.columns))
+    finally:
+        below.unpersist()
+    return out.unionByName(lost)
 
 
 def verify_chains(records: DataFrame) -> DataFrame:
@@ -86,11 +93,37 @@ def lineage(records: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def ancestors(records: DataFrame) -> DataFrame:
-    """id, depth, path: the ids above each record, nearest first. Where no root leads to a record, the path goes as far as an absent record, or once round a cycle."""
+    """id, depth, path: the ids above each record, nearest first. Where no root leads to a record, the path goes as far as an absent record, or once round a cycle.
+
+    Each round puts the path of a path's end behind it, so there are as many
+    rounds as the logarithm of the longest path. Where ids are repeated, ways
+    branch, and are walked step by step.
+    """
+    if records.groupBy("id").count().where((F.col("count") > 1) & F.col("id").isNotNull()).isEmpty():
+        return doubled(records)
     walk = lineage(records, records.select("id"))
     return walk.groupBy(F.col("item").alias("id")).agg(F.max("step").alias("depth"), F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", F.col("id").cast("string").alias("id"))))).alias("p")).select("id", "depth", F.transform("p", lambda x: x["id"]).alias("path"))
 
 
+def doubled(records: DataFrame) -> DataFrame:
+    """`ancestors` of records whose ids differ. up: the id that follows a path, null where it is at its end."""
+    none = F.array().cast(f"array<{records.schema['id'].dataType.simpleString()}>")
+    now = cut(records.where(F.col("id").isNotNull()).select("id", none.alias("path"), F.col("parent_id").alias("up")))
+    out = now.where(F.col("up").isNull())
+    now = now.where(F.col("up").isNotNull())
+    while not now.isEmpty():
+        ends = out.unionByName(now).select(F.col("id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        both = now.join(ends, "up", "left")
+        longer = both.select("id", F.when(F.col("_path").isNotNull(), F.concat("path", F.array("up"), "_path")).otherwise(F.col("path")).alias("path"), F.col("_up").alias("up"))
+        # an id that is met again: what comes before it is once round the cycle
+        own = F.concat(F.array("id"), F.col("path"))
+        once = longer.withColumn("_once", F.array_distinct(own))
+        again = F.size("_once") <= F.size("path")
+        now = cut(once.select("id", F.when(again, F.slice("_once", 2, F.size("_once"))).otherwise(F.col("path")).alias("path"), F.when(~again, F.col("up")).alias("up")))
+        out, now = out.unionByName(now.where(F.col("up").isNull())), now.where(F.col("up").isNotNull())
+    return out.select("id", F.size("path").alias("depth"), F.transform("path", lambda x: x.cast("string")).alias("path"))
+
+
 def create(records: DataFrame, parents: DataFrame) -> DataFrame:
     """New records (id, type, source_id, ...) with parent_id, parent_ids (the parent's, then the parent), chain_depth, chain_path and root_document_id, from the parents' rows (id, parent_ids, chain_depth, root_document_id). A type that is not known, or a source that is not there, fails the row."""
     up = parents.select(F.col("id").alias("source_id"), F.col("parent_ids").alias("_ids"), F.col("chain_depth").alias("_depth"), F.col("root_document_id").alias("_root"), F.lit(True).alias("_found"))

@@ -111,7 +111,7 @@ def deep(spark, sf) -> DataFrame:
 
 @query(f"with recursive {DEEP}, w(id, h) as (select id, sha256(content_hash) from r where parent_id is null union all select r.id, sha256(r.content_hash || ':' || w.h) from r join w on r.parent_id = w.id) select r.id, w.h as chain_hash from r left join w on r.id = w.id")
 def deep_chain_hashes(spark, sf):
-    return provenance.with_chain_hashes(deep(spark, sf)).select("id", "chain_hash")
+    return provenance.with_chain_hashes(deep(spark, sf).select("id", "parent_id", "content_hash")).select("id", "chain_hash")
 
 
 @query(f"with recursive {DEEP}, w(item, step, up) as (select id, 0, parent_id from r union all select w.item, w.step + 1, r.parent_id from w join r on w.up = r.id) select item as id, max(step)::integer as depth from w group by item")

@@ -159,3 +159,29 @@ def test_pairs_of_a_cluster_of_any_size(spark, monkeypatch):
     facts = spark.createDataFrame([(i, f"s{i}") for i in range(50)] + [(2, "again")], "id long, source string")
     got = compare.cluster_pairs(members, 0, "id", facts).collect()
     assert sorted((r.a, r.source_a, r.b, r.source_b) for r in got) == sorted((a, x, b, y) for a in range(0, 50, 2) for b in range(a + 2, 50, 2) for x in ([f"s{a}", "again"] if a == 2 else [f"s{a}"]) for y in ([f"s{b}", "again"] if b == 2 else [f"s{b}"]))
+
+
+def test_long_chains_take_few_rounds_and_records_move_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import provenance
+
+    plans, cut = [], provenance.cut
+    monkeypatch.setattr(provenance, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    chain = [(i, i - 1 if i % 20 else None) for i in range(60)]
+    odd = [(200, 201), (201, 202), (202, 200), (203, 202), (204, 203), (300, 300), (400, 999), (401, 400)]
+    records = spark.createDataFrame(chain + odd, "id long, parent_id long").withColumns({"type": F.lit("x"), "content_hash": F.col("id").cast("string")})
+    found = {r.id: r.path for r in provenance.ancestors(records).collect()}
+    assert len(plans) < 9
+    up = dict(chain + odd)
+    for i in up:
+        path, at = [], up[i]
+        while at in up and at != i and str(at) not in path:
+            path.append(str(at))
+            at = up[at]
+        assert found.pop(i) == path
+    assert not found
+    plans.clear()
+    hashed = {r.id: r.chain_hash for r in provenance.with_chain_hashes(records).collect()}
+    assert len(hashed) == len(up) and {i for i, h in hashed.items() if h is None} == {i for i, _ in odd}
+    assert all("InMemoryTableScan" in p for p in plans[1:])
