@@ -111,9 +111,9 @@ def process(rows: DataFrame, key: str, column: str, work: Callable[[object], str
     return (own.repartition(tasks) if tasks else own).mapInPandas(run, f"{key} {kind}, result string, error string")
 
 
-def results(processed: DataFrame, at: Column, seq: int) -> DataFrame:
-    """Status events of processed documents."""
-    return processed.select(F.col("document_id"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"), "error", at.alias("at"), F.lit(seq).cast("long").alias("seq"))
+def results(processed: DataFrame, at: Column, seq: int, *more: str) -> DataFrame:
+    """Status events of processed documents, with further columns of them."""
+    return processed.select(F.col("document_id"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"), "error", at.alias("at"), F.lit(seq).cast("long").alias("seq"), *more)
 
 
 def rerun(table: DataFrame, again: DataFrame, key: str) -> DataFrame:
