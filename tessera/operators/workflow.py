@@ -177,6 +177,11 @@ def approval_steps(applied: DataFrame, chains: DataFrame) -> DataFrame:
     return applied.join(chains, "chain_id").select("document_id", "chain_id", F.posexplode("steps").alias("pos", "required_role")).select("document_id", "chain_id", (F.col("pos") + 1).alias("step_order"), "required_role", F.lit("pending").alias("status"))
 
 
+def parts(rows: DataFrame, each: int = 1_000_000) -> int:
+    """In how many parts rows are dealt so that a task sorts about `each` of them, however many there are."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def decided(steps: DataFrame) -> DataFrame:
     """Steps after a rejection are skipped."""
     own = Window.partitionBy("document_id", "chain_id").orderBy("step_order").rowsBetween(Window.unboundedPreceding, -1)

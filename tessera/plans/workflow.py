@@ -120,7 +120,9 @@ STEPS = """st as (select o_orderkey as document_id, o_custkey % 3 as chain_id, l
 def approval_progress(spark, sf):
     c = Corpus(spark, sf)
     status = F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "approved").otherwise("pending")
-    steps = c.orders.join(c.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 3).alias("chain_id"), (F.col("l_linenumber") * F.lit(100000000000000) + F.col("l_partkey") * 10000000 + F.col("l_suppkey")).alias("step_order"), status.alias("status"))
+    # the join, the window and the counts all follow this one dealing
+    n = workflow.parts(c.lineitem)
+    steps = c.orders.repartition(n, "o_orderkey").join(c.lineitem.repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 3).alias("chain_id"), (F.col("l_linenumber") * F.lit(100000000000000) + F.col("l_partkey") * 10000000 + F.col("l_suppkey")).alias("step_order"), status.alias("status"))
     return workflow.approval_progress(workflow.decided(steps))
 
 

@@ -185,3 +185,27 @@ def test_long_chains_take_few_rounds_and_records_move_once(spark, monkeypatch):
     hashed = {r.id: r.chain_hash for r in provenance.with_chain_hashes(records).collect()}
     assert len(hashed) == len(up) and {i for i, h in hashed.items() if h is None} == {i for i, _ in odd}
     assert all("InMemoryTableScan" in p for p in plans[1:])
+
+
+def test_a_job_runs_each_row_once_and_steps_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from tessera.operators import workflow
+    from tessera.plans import records, workflow as plans
+
+    plan = records.jobs_processed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    n = spark.range(10)
+    assert workflow.parts(n) == 4 and workflow.parts(n, 1) == 10
+    monkeypatch.setattr(workflow, "parts", lambda rows: 37)
+    plan = plans.approval_progress(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "37), REPARTITION_BY_NUM" in plan
+
+
+def test_line_diffs_take_texts_out_of_arrow_one_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import compare
+
+    rows = spark.createDataFrame([(1, "a\nb\n", "a\nc\n"), (2, None, None), (3, "", "x"), (4, "é\n", "é\n")], "i int, a string, b string")
+    out = rows.select("i", compare.line_diff_ratio("a", "b").alias("r"))
+    assert [r.r for r in out.orderBy("i").collect()] == [0.5, 1.0, 0.0, 1.0]
+    assert "pd.Series" not in str(compare.line_diff_ratio.__annotations__)
