@@ -195,3 +195,15 @@ def test_only_words_that_may_have_a_term_are_stemmed(monkeypatch):
     got = run(pd.Series(["Thes cats élan Elan 42 and sat", None, "_the_ été"])).tolist()
     assert got == [[7, 1, 1, 2, 1], [0, 0, 0, 0, 0], [2, 1, 0, 0, 1]]
     assert not {"cats", "and", "sat"} & set(seen) and search.KNOWN <= 1 << 16
+
+
+def test_scores_have_the_bits_of_their_sql(spark, sf):
+    """Parts are multiplied and added in the SQL's order, so scores that are equal or a bit apart are ranked alike."""
+    from tessera.operators import search
+    from tessera.operators.corpus import Corpus
+    from tessera.plans.search import bm25_sql, has
+    from tests import oracle
+
+    sql = f'with {bm25_sql(["the", "was", "this"], has("the", "was", "this", any_of=True))} select doc_id, score from r'
+    found = search.bm25_texts(Corpus(spark, sf).documents, "doc_id", "text", "Thes OR was OR THIS")
+    assert dict(map(tuple, found.collect())) == dict(oracle.connect(sf).sql(sql).fetchall())
