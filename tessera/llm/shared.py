@@ -35,14 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: every node sends its larger neighbours to the least
     node near it, then its smaller neighbours to the least of them, until
     nothing changes. Only minima and joins by node: no neighbour list is held.
+    Edges are dealt once by each end in a round; minimum and join read the same.
     """
-    spark = edges.sparkSession
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").repartition("a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        # b > a, said with m (never more than a) so that it is not pushed below the exchange, which then serves both sides
+        large = both.join(least, "a").where(F.greatest("a", "m") < F.col("b")).select(F.col("m").alias("a"), "b").where("a < b").repartition("b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e")).select("e.*").where("a < b").distinct()
         now = cut(small)
