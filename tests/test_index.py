@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import search
+from tessera.operators import index, search
 from tessera.operators.index import Index
 from tessera.operators.manifest import source_state
 from tessera.streaming import events as streaming
@@ -196,3 +198,30 @@ def test_items_without_repeated_keys_need_no_tags(spark, tmp_path):
     two = Index.build(frame(spark, [(1, "a"), (1, "a b"), (1, "a")]), "id", "text", str(tmp_path / "j"))
     assert {x.tag for x in one.items().collect()} == {0} and len({x.tag for x in two.items().collect()}) == 2
     assert one.state["n"] == two.state["n"] == 2
+
+
+def test_postings_move_in_lists(spark, tmp_path, monkeypatch):
+    """Lists hold what single rows hold, whatever the salts and lengths, and take fewer bytes than they."""
+    r = random.Random(9)
+    rows = [(k * 10**9, " ".join(r.choices([f"w{i}" for i in range(60)], k=r.choice([0, 1, 40, 900])))) for k in range(700)] + [(5, None), (7, "w1 " * 40_000 + "last")]
+    texts = pa.record_batch([pa.array([k for k, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], names=["key", "tag", "text"])
+    want = sorted((x["key"], x["tag"], x["doc_len"], x["term"] or "", x["tf"], x["positions"]) for b in index.analyse([texts]) for x in b.to_pylist())
+    monkeypatch.setattr(index, "PIECE", 100_000)
+    for salts in (1, 7):
+        cells = pa.record_batch([texts.column(0), texts.column(2), pa.array([k % salts for k, _ in rows], pa.int32()), pa.array([k % 2 for k, _ in rows], pa.int32())], names=["key", "text", "salt", "item"])
+        lists = [b.append_column("bucket", b.column("at")).drop_columns(["at"]) for b in index.pack([cells])]
+        got = [x for b in index.unpack(lists) for x in b.to_pylist()]
+        assert sorted((x["key"], x["tag"], x["doc_len"], x["term"] or "", x["tf"], x["positions"]) for x in got) == want
+        assert all(x["bucket"] == (x["key"] % salts if x["term"] else x["key"] % 2) for x in got)
+    assert sum(b.num_rows for b in lists) < len(want)
+    edges = np.array([0, 2, 2, 5])
+    assert index.long_of(index.short(np.array([0, 127, 128, 2**28, 2**31 - 1]), edges)).tolist() == [0, 127, 128, 2**28, 2**31 - 1]
+
+    # a segment of different keys moves lists, one of repeated keys single rows
+    monkeypatch.setattr(index, "SHARE", 1 << 12)
+    monkeypatch.setattr(index, "BUCKETS", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = index.Index.build(df, "doc_id", "text", f"{tmp_path}/a")
+    b = index.Index.build(df.unionByName(df), "doc_id", "text", f"{tmp_path}/b")
+    of = lambda x: sorted(map(str, x.postings().drop("tag").collect()))
+    assert of(a) == of(b) and a.state["n"] == b.state["n"] == len(rows) and a.state["tokens"] == b.state["tokens"]
