@@ -225,3 +225,26 @@ def test_postings_move_in_lists(spark, tmp_path, monkeypatch):
     b = index.Index.build(df.unionByName(df), "doc_id", "text", f"{tmp_path}/b")
     of = lambda x: sorted(map(str, x.postings().drop("tag").collect()))
     assert of(a) == of(b) and a.state["n"] == b.state["n"] == len(rows) and a.state["tokens"] == b.state["tokens"]
+
+
+def test_rare_words_do_not_drive_out_the_others(spark, tmp_path):
+    """Of a text's words only repeated ones are remembered, and lists are sorted before they are taken apart, so postings come in the files' order."""
+    index._stems.clear()
+    rare = [f"rare{i}x" for i in range(500)]
+    size, doc, code, place, terms = index.tokenized(pa.array([" ".join(rare) + " often", None, "", "Often OFTEN running runs"]))
+    assert size.tolist() == [501, 0, 0, 4] and doc.tolist() == [0] * 501 + [3] * 4 and place.tolist() == [*range(501), *range(4)]
+    assert [terms[k].as_py() for k in code] == [*rare, "often", "often", "often", "run", "run"]
+    assert set(index._stems) == {"often"}
+    assert [len(x) for x in index.tokenized(pa.array([None, ""], pa.string()))] == [2, 0, 0, 0, 0]
+
+    seen, store = [], Index.store
+
+    def kept(self, dealt, entry, kind):
+        seen.append(dealt.withColumn("at", F.monotonically_increasing_id()).select("bucket", "term", "key", F.spark_partition_id().alias("p")).collect())
+        return store(self, dealt, entry, kind)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Index, "store", kept)
+        Index.build(frame(spark, texts(3, 300)).repartition(3), "id", "text", str(tmp_path / "i"))
+    rows = [(x.p, x.bucket, x.term or "", x.key) for x in seen[0]]
+    assert [r[:3] for r in rows] == sorted([r[:3] for r in rows], key=lambda r: (r[0], r[2])) and len(rows) > 1000
